@@ -181,7 +181,7 @@ def test_line_dedup_edges(spark):
     for r in got:
         by.setdefault(r.doc_id, []).append((r.text, r.n_chars))
     assert by[None] == [(text, 1)] and by[1] == [(None, 2)] and by[2] == [("", 3)]
-    assert by[3] == [(text, 4)] * 2 and by[4] == [("a\n\n\nb", 6)] and by[5] == [("", 0)]
+    assert by[3] == [(text, 4)] * 2 and by[4] == [("a\n\n\nb", 5)] and by[5] == [("", 0)]
     assert by[6][0][0].count("same") == 30
     assert line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, removed_runs string").limit(0)).count() == 0
 
