@@ -9,10 +9,11 @@ documents that hold them, then by hash.
    all documents keep it as ``HOT``, last in the order, and the fragment sees one entry for each chunk.
 2. *Documents.* Shared shingles are gathered for each document. A partner must share ``THRESHOLD`` of the set, so
    documents with fewer shared shingles are done. Equal sets are one representative from here on.
-3. *Candidates.* Two sets that link share a shingle among the first n - ceil(t n) + 1 of the global order. On each
-   such shingle the smallest set is the hub, and pairs with it are counted; sets that are then in one component
-   need no further pair. What is left in several components goes to the next round without the hub, short lists
-   as all pairs that could still join two components. So a group of copies costs one pair for each member.
+3. *Candidates.* Two sets that link share a shingle among the first n - ceil(t n) + 1 of the global order. Of the
+   sets on one such shingle a few are hubs, and pairs of a hub with any other are counted; sets that are then in one
+   component need no further pair. In the next round the hubs are out, and of what is left in several components
+   the sets outside each list's largest component are hubs: all of them where that makes few pairs, else some,
+   chosen by hash. So a group of copies costs a few pairs for each member, and no pair that could join is left out.
 4. *Overlaps.* A pair's overlap is counted in ``PARTS`` ranges of the order apart, and summed for each pair.
 
 Every link that could join two components is counted exactly. A shingle is a 52-bit hash.
@@ -39,7 +40,8 @@ CHUNK_DOCS, CHUNK_WORDS = (1 << IDX) - 1, 600_000
 FRAGMENT = 1_200_000  # shingles in a fragment, as planned
 HOT_IN_CHUNK = 64
 HOT = 2**31 - 1
-SHORT_LIST = 48
+FIRST_HUBS = 2  # sets of each list that are paired with the others in the first round, as expected
+PAIRS_IN_LIST = 40_000  # pairs of one list in a later round, as expected
 WORDS = 400_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -231,41 +233,41 @@ def _links(pairs: DataFrame, sets: DataFrame, share: tuple[int, int], parts: int
     return counted.where(of * F.col("common") >= need * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
+def _lists(active: DataFrame) -> DataFrame:
+    """One row for each shingle list that could still join components: key, size, and its largest component (big, in_big).
+
+    Neighbouring shingles of copies have the same members; of lists with equal members one stays. Members are compared
+    by their number and two sums of hashes, which partial aggregates can add up.
+    """
+    by_comp = active.groupBy("key", "comp").agg(F.count("*").alias("m"), *(F.sum(F.xxhash64("doc", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)))
+    lists = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("size"), F.max(F.struct("m", F.col("comp").alias("big"))).alias("b"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).where("comps > 1")
+    return lists.groupBy("size", "h1", "h2").agg(F.min(F.struct("key", F.col("b.big").alias("big"), F.col("b.m").alias("in_big"))).alias("k")).select("k.*", "size")
+
+
 def _resolve(sets: DataFrame, share: tuple[int, int], parts: int) -> DataFrame:
-    """doc, component for every representative that links with another: rounds of candidates as the module says."""
+    """node, component for every representative that links with another: rounds of candidates as the module says."""
     need, of = share
-    active = cut(sets.select(F.col("doc"), F.col("n_shingles").alias("n"), F.col("doc").alias("comp"), F.explode(F.slice("shared", F.lit(1), F.col("head"))).alias("key")))
-    found = None
-    first = True
+    active = sets.select("doc", F.col("n_shingles").alias("n"), F.col("doc").alias("comp"), F.explode(F.slice("shared", F.lit(1), F.col("head"))).alias("key"))
+    found = comps = None
+    turn = 0
     while True:
-        lists = active.groupBy("key").agg(F.min(F.struct("n", "doc", "comp")).alias("hub"), F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "hub", "size")
-        met = active.join(lists, "key")
-        fits = lambda small, large: of * small >= need * large
-        pairs = met.where((F.col("comp") != F.col("hub.comp")) & fits(F.col("hub.n"), F.col("n"))).select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b"))
-        if first:
-            rest = met.where(F.struct("n", "doc", "comp") > F.col("hub"))
-        else:
-            short = met.where(F.col("size") <= SHORT_LIST)
-            x, y = short.select("key", "n", "doc", "comp"), short.select("key", F.col("n").alias("n2"), F.col("doc").alias("doc2"), F.col("comp").alias("comp2"))
-            both = x.join(y, "key").where((F.col("comp") != F.col("comp2")) & (F.struct("n", "doc") < F.struct("n2", "doc2")) & fits(F.col("n"), F.col("n2")))
-            pairs = pairs.union(both.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")))
-            rest = met.where((F.col("size") > SHORT_LIST) & (F.struct("n", "doc", "comp") > F.col("hub")))
-        pairs = cut(pairs.distinct())
-        if not pairs.limit(1).count():
-            left = rest.limit(1).count()
-        else:
-            links = cut(_links(pairs, sets, share, parts))
-            found = links if found is None else cut(found.union(links))
-            left = rest.limit(1).count()
-        if not left:
-            break
-        rest = rest.select("doc", "n", "comp", "key")
-        if found is not None:
-            comps = connected_components(found)
-            rest = rest.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("comp"), "key")
-        active = cut(rest)
-        first = False
-    return connected_components(found) if found is not None else active.select(F.col("doc").alias("node"), F.col("comp").alias("component")).limit(0)
+        met = cut(active.join(_lists(active), "key"))
+        chance = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(1_000_000)) / 1e6
+        rest = F.col("size") - F.col("in_big")
+        pick = chance * F.col("size") < FIRST_HUBS if turn == 0 else (F.col("comp") != F.col("big")) & (chance * rest * F.col("size") < PAIRS_IN_LIST)
+        least = met.where(F.col("comp") != F.col("big") if turn else F.lit(True)).groupBy("key").agg(F.min("doc").alias("least"))
+        met = cut(met.join(least, "key").withColumn("hub", pick | (F.col("doc") == F.col("least"))).drop("least", "big", "in_big", "size"))
+        hubs = met.where("hub").select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+        fits = (of * F.least("n", "n2") >= need * F.greatest("n", "n2")) & (F.col("comp") != F.col("comp2")) & (~F.col("hub") | (F.col("doc") < F.col("doc2")))
+        pairs = cut(met.join(hubs, "key").where(fits).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct())
+        links = _links(pairs, sets, share, parts)
+        found = cut(links if found is None else found.union(links))
+        comps = connected_components(found)
+        left = met.where("not hub").select("doc", "n", "key").join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("comp"), "key")
+        active = cut(left)
+        turn += 1
+        if not _lists(active).limit(1).count():
+            return comps
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, share: tuple[int, int] = SHARE, parts: int = PARTS) -> DataFrame:
