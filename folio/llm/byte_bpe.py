@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a doubly linked list of symbols. Each merge rank has a bucket of list positions at which that
-merge may be made, and a three-level bitmap over the ranks has a bit for each bucket that isn't empty. The next
-merge is found by find-first-set from the top level down; positions in a bucket are taken from left to right,
+merge may be made, and a two-level bitmap over the ranks has a bit for each bucket that isn't empty. The next
+merge is found by find-first-set in the top word, then in the word it names; positions in a bucket are taken from left to right,
 and entries whose symbols have changed since are skipped. Every merge adds two entries at most, so a pre-token
 of n bytes takes O(n log n) steps, however long it is.
 
@@ -16,7 +16,8 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,59 +27,12 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import text_bytes
 
-CACHE = 300_000
+CACHE = 800_000
 CACHED_BYTES = 64
-NONE = 1 << 30
-
-
-class RankQueue:
-    """Positions by merge rank; ``pop`` gives the leftmost position of the lowest rank."""
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.mid: dict[int, int] = {}
-        self.low: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            word, group = rank >> 6, rank >> 12
-            self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-            self.mid[group] = self.mid.get(group, 0) | 1 << (word & 63)
-            self.top |= 1 << group
-        else:
-            heappush(bucket, at)
-
-    def fill(self, rank: int, positions: list[int]) -> None:
-        """As many pushes, for a rank that has no bucket yet."""
-        self.push(rank, positions[0])
-        self.buckets[rank] = positions
-        heapify(positions)
-
-    def first(self) -> int:
-        """The lowest rank that has positions, or -1."""
-        if not self.top:
-            return -1
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[group]
-        word = (group << 6) | ((bits & -bits).bit_length() - 1)
-        bits = self.low[word]
-        return (word << 6) | ((bits & -bits).bit_length() - 1)
-
-    def pop(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            word, group = rank >> 6, rank >> 12
-            self.low[word] &= ~(1 << (rank & 63))
-            if not self.low[word]:
-                self.mid[group] &= ~(1 << (word & 63))
-                if not self.mid[group]:
-                    self.top &= ~(1 << group)
-        return at
+
+
+BITS = 8  # a word of the lower bitmap covers 2^BITS ranks; words are Python integers of any width
+MASK = (1 << BITS) - 1
 
 
 class ByteBpe:
@@ -87,6 +41,8 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.table = [[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]  # ranks of two bytes
         self.split = regex.compile(pattern).findall
         self.cache = _Cache(self)
 
@@ -96,36 +52,76 @@ class ByteBpe:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        """The ids of one pre-token.
+
+        The queue is written out here, as this is the inner loop: ``buckets`` has a heap of positions for each rank,
+        ``low`` a bit for each bucket and ``top`` a bit for each word of ``low`` that isn't zero.
+        """
+        find, table = self.ranks.get, self.table
+        if (whole := find(piece)) is not None:
             return [whole]
         n = len(piece)
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that starts at a position; 0: no symbol starts there
-        queue, starts = RankQueue(), {}
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                starts.setdefault(r, []).append(i)
-        for r, positions in starts.items():
-            queue.fill(r, positions)
-        while (r := queue.first()) >= 0:
-            i = queue.pop(r)
-            j = end[i]
-            if not j or j == n or ranks.get(piece[i : end[j]]) != r:
+        # by the position at which a symbol starts: its id (-1: none starts there), its end, the symbol before it, and the rank of its merge with the next one
+        ids, end, before, wanted = [self.single[b] for b in piece], list(range(1, n + 1)), list(range(-1, n - 1)), []
+        buckets, low, top = {}, {}, 0
+        row = table[piece[0]]
+        for i in range(1, n):
+            b = piece[i]
+            r = row[b]
+            row = table[b]
+            wanted.append(r)
+            if r >= 0:
+                if r in buckets:
+                    buckets[r].append(i - 1)  # positions rise, so the list is a heap
+                else:
+                    buckets[r] = [i - 1]
+                    w = r >> BITS
+                    low[w] = low.get(w, 0) | 1 << (r & MASK)
+                    top |= 1 << w
+        wanted.append(-1)
+        while top:
+            w = (top & -top).bit_length() - 1  # find first set
+            bits = low[w]
+            r = (w << BITS) + (bits & -bits).bit_length() - 1
+            bucket = buckets[r]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[r]
+                low[w] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
+            if wanted[i] != r:
                 continue  # stale: a neighbour has been merged since
+            j = end[i]
             k = end[i] = end[j]
-            end[j] = 0
+            ids[i], ids[j], wanted[j] = r, -1, -1
+            h = before[i]
             if k < n:
                 before[k] = i
-                if (s := ranks.get(piece[i : end[k]])) is not None:
-                    queue.push(s, i)
-            if (h := before[i]) >= 0 and (s := ranks.get(piece[h:k])) is not None:
-                queue.push(s, h)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return out
+                s = wanted[i] = find(piece[i : end[k]], -1)
+                if s >= 0:
+                    if s in buckets:
+                        heappush(buckets[s], i)
+                    else:
+                        buckets[s] = [i]
+                        w = s >> BITS
+                        low[w] = low.get(w, 0) | 1 << (s & MASK)
+                        top |= 1 << w
+            else:
+                wanted[i] = -1
+            if h >= 0:
+                s = wanted[h] = find(piece[h:k], -1)
+                if s >= 0:
+                    if s in buckets:
+                        heappush(buckets[s], h)
+                    else:
+                        buckets[s] = [h]
+                        w = s >> BITS
+                        low[w] = low.get(w, 0) | 1 << (s & MASK)
+                        top |= 1 << w
+        return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text, as little-endian unsigned 32-bit integers."""
@@ -143,7 +139,8 @@ class _Cache(dict):
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
-        ids = np.array(self.bpe.merge(raw), dtype="<u4").tobytes()
+        found = self.bpe.merge(raw)
+        ids = pack(f"<{len(found)}I", *found)
         if len(raw) <= CACHED_BYTES:
             if len(self) >= CACHE:
                 self.clear()

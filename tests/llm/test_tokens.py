@@ -49,17 +49,12 @@ def test_bpe_edges(spark):
     assert byte_bpe.encode_documents(docs.limit(0), *queries.bpe_files()).count() == 0
 
 
-def test_rank_queue_gives_lowest_rank_then_leftmost():
-    rng = random.Random(3)
-    queue, want = byte_bpe.RankQueue(), []
-    for _ in range(2000):
-        if want and rng.random() < 0.45:
-            r = queue.first()
-            assert (r, queue.pop(r)) == want.pop(0)
-        else:
-            x = (rng.choice([0, 5, 63, 64, 4095, 4096, 50255]), rng.randrange(10**6))
-            queue.push(*x)
-            want = sorted([*want, x])
+def test_long_pretokens_are_merged_in_order(reference):
+    bpe, rng = byte_bpe.loaded(*queries.bpe_files()), random.Random(3)
+    for size in (1, 2, 3, 50, 700, 20000):
+        for letters in ("ab", "the and", "aeiounrst"):
+            word = "".join(rng.choice(letters.replace(" ", "")) for _ in range(size))
+            assert bpe.merge(word.encode()) == reference.encode_ordinary(word)
 
 
 def viterbi(word, scores, unknown):
