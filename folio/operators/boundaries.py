@@ -88,5 +88,5 @@ def decide(rows: DataFrame, profile_type: str = "profile_type", full_indent: str
     kind = ladder(lambda r: F.lit(r[1]), F.when(keep, "HARD_PARAGRAPH").when(c("score") >= 0.5, "SOFT_WRAP").when(c("score") <= -0.5, "HARD_PARAGRAPH").otherwise("UNCERTAIN"))
     sure = ladder(lambda r: r[2], F.when(keep, 0.95).when(size >= 3, 0.99).when(size >= 2, 0.92).when(size >= 1, 0.82).otherwise(0.6))
     why = ladder(lambda r: F.array(F.lit(r[3])), F.when(keep, F.concat(scored, F.array(F.lit("SPEECH_CUE_KEEP")))).otherwise(scored))
-    mask = F.aggregate("evidence", F.lit(0).cast("long"), lambda a, e: a.bitwiseOR(F.shiftleft(F.lit(1).cast("long"), F.array_position(F.array(*map(F.lit, EVIDENCE)), e).cast("int") - 1)))
+    mask = F.aggregate("evidence", F.lit(0).cast("long"), lambda a, e: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(F.array(*map(F.lit, EVIDENCE)), e) - 1).cast("int"))))
     return rows.withColumns({"boundary_type": kind, "boundary_confidence": sure, "evidence": why}).withColumn("evidence_mask", mask)

@@ -126,13 +126,13 @@ def lcg_permutation(items: Column, seed: Column) -> Column:
     high, low, add = 6364136223846793005 >> 32, 6364136223846793005 & 0xFFFFFFFF, 1442695040888963407
     mask = F.lit(0xFFFFFFFF).cast("long")
     word = lambda x: x.cast("decimal(38,0)")
-    modulus = F.lit(2**64).cast("decimal(38,0)")
+    modulus = F.lit(str(2**64)).cast("decimal(38,0)")
 
     def following(s: Column) -> Column:
         hi, lo = F.shiftrightunsigned(s, 32), s.bitwiseAND(mask)
         cross = F.pmod(word(hi) * low + word(lo) * high, F.lit(2**32).cast("decimal(38,0)"))
-        total = F.pmod(F.pmod(word(lo) * low, modulus) + cross * F.lit(2**32).cast("decimal(38,0)") + add, modulus)
-        return F.when(total >= F.lit(2**63).cast("decimal(38,0)"), total - modulus).otherwise(total).cast("long")
+        total = F.pmod(F.pmod(word(lo) * low, modulus) + cross * F.lit(2**32).cast("decimal(38,0)") + F.lit(add), modulus)
+        return F.when(total >= F.lit(str(2**63)).cast("decimal(38,0)"), total - modulus).otherwise(total).cast("long")
 
     zero = F.struct(items.alias("a"), seed.cast("long").alias("s"))
 

@@ -66,7 +66,7 @@ def downstream(spark: SparkSession, edges: DataFrame, roots: DataFrame, limit: i
     edges.createOrReplaceTempView("__edges")
     roots.createOrReplaceTempView("__roots")
     walk = spark.sql(
-        f"""WITH RECURSIVE walk MAX RECURSION LEVEL {limit} (node, depth) AS (
+        f"""WITH RECURSIVE walk(node, depth) MAX RECURSION LEVEL {limit} AS (
             SELECT node, 0 FROM __roots UNION ALL SELECT e.dependent, w.depth + 1 FROM walk w JOIN __edges e ON e.dependency = w.node WHERE w.depth < {limit - 1})
         SELECT node, min(depth) AS depth FROM walk GROUP BY node"""
     )
