@@ -58,25 +58,29 @@ def interrupted(revisions: DataFrame, sessions: DataFrame) -> DataFrame:
     return revisions.where("state = 'BUILDING'").join(sessions.where("state = 'RUNNING'").select("revision_id"), "revision_id", "left_anti")
 
 
-def downstream(spark: SparkSession, edges: DataFrame, roots: DataFrame, limit: int = 100) -> DataFrame:
-    """node, depth (the least) of everything that depends on the roots, by recursive SQL; circles end since depth is bounded.
+def reach(spark: SparkSession, edges: DataFrame, roots: DataFrame, limit: int = 100) -> DataFrame:
+    """root, node, depth (the least, from 1) of all that depends on each root, by recursive SQL.
 
-    ``edges`` has dependency and dependent; ``roots`` has node.
+    ``edges`` has dependency and dependent; ``roots`` has node. A root is reached only by a circle; circles end since the depth is bounded.
     """
     edges.createOrReplaceTempView("__edges")
     roots.createOrReplaceTempView("__roots")
-    walk = spark.sql(
-        f"""WITH RECURSIVE walk(node, depth) MAX RECURSION LEVEL {limit} AS (
-            SELECT node, 0 FROM __roots UNION ALL SELECT e.dependent, w.depth + 1 FROM walk w JOIN __edges e ON e.dependency = w.node WHERE w.depth < {limit - 1})
-        SELECT node, min(depth) AS depth FROM walk GROUP BY node"""
+    return spark.sql(
+        f"""WITH RECURSIVE walk(root, node, depth) MAX RECURSION LEVEL {limit} AS (
+            SELECT node, node, 0 FROM __roots UNION ALL SELECT w.root, e.dependent, w.depth + 1 FROM walk w JOIN __edges e ON e.dependency = w.node WHERE w.depth < {limit - 1})
+        SELECT root, node, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY root, node"""
     )
-    return walk.where("depth > 0")
+
+
+def downstream(spark: SparkSession, edges: DataFrame, roots: DataFrame, limit: int = 100) -> DataFrame:
+    """node, depth (the least) of everything that depends on any root."""
+    return reach(spark, edges, roots, limit).groupBy("node").agg(F.min("depth").alias("depth"))
 
 
 def would_cycle(spark: SparkSession, edges: DataFrame, proposed: DataFrame, limit: int = 100) -> DataFrame:
     """``proposed`` (dependent, dependency) with cycle: whether the dependency already depends on the dependent, or is it."""
-    below = downstream(spark, edges, proposed.select(F.col("dependent").alias("node")).distinct(), limit)
-    pairs = proposed.join(below.select(F.col("node").alias("dependency"), F.lit(True).alias("__hit")), "dependency", "left")
+    below = reach(spark, edges, proposed.select(F.col("dependent").alias("node")).distinct(), limit)
+    pairs = proposed.join(below.select(F.col("root").alias("dependent"), F.col("node").alias("dependency"), F.lit(True).alias("__hit")), ["dependent", "dependency"], "left")
     return pairs.withColumn("cycle", F.coalesce("__hit", F.lit(False)) | (F.col("dependent") == F.col("dependency"))).drop("__hit")
 
 

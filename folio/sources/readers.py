@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DETECTED = "struct<charset:string,confidence:double,method:string,bom:int,alternatives:array<string>,text:string>"
+DETECTED = T.StructType().add("charset", T.StringType()).add("confidence", T.DoubleType()).add("method", T.StringType()).add("bom", T.IntegerType()).add("alternatives", T.ArrayType(T.StringType())).add("text", T.StringType())
 BOMS = [(codecs.BOM_UTF8, "UTF-8"), (codecs.BOM_UTF16_LE, "UTF-16LE"), (codecs.BOM_UTF16_BE, "UTF-16BE")]
 
 
@@ -154,7 +154,7 @@ def log_metrics(spark: SparkSession, path: str, patterns: dict[str, str]) -> Dat
     """One row for each log line that has a metric: file, and the first group of each pattern as a number."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
     found = lines.select("file", *(F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast("double").alias(n) for n, p in patterns.items()))
-    return found.where(F.coalesce(*patterns) .isNotNull())
+    return found.where(F.coalesce(*patterns).isNotNull())
 
 
 def inverted_index(docs: DataFrame, id_col: str, text_col: str, word: str = r"[^\s\p{P}]+") -> DataFrame:
