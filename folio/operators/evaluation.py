@@ -170,3 +170,8 @@ def metric_deltas(metrics: DataFrame, base: str, name: str = "run") -> DataFrame
     """Each run's metrics less those of the base run; missing values stay null. ``metrics`` has run, metric, value."""
     ref = metrics.where(F.col(name) == base).select("metric", F.col("value").alias("base_value"))
     return metrics.join(ref, "metric", "left").withColumn("delta", F.col("value") - F.col("base_value"))
+
+
+def entity_frequency(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+    """Counts of each name that reach the gate."""
+    return rows.groupBy(*keys, "name").agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -66,3 +66,36 @@ def pronoun_flags(text: Column, before: Column, pronouns: str, names: Column) ->
     """Whether a text has a pronoun, and whether an earlier text names someone it may stand for."""
     has = text.rlike(pronouns)
     return F.struct(has.alias("pronoun"), (has & F.exists(before, lambda t: F.exists(names, lambda n: F.contains(t, n)))).alias("resolvable"))
+
+
+def prompt(title: Column, sections: list[tuple[str, Column]]) -> Column:
+    """A prompt of a title and sections; an array makes one line for each item, and empty sections are left out."""
+    parts = [F.when(body != "", F.concat(F.lit(f"[{name}]\n"), body)) for name, body in sections]
+    return F.concat_ws("\n\n", title, *parts)
+
+
+def candidate_list(candidates: Column) -> Column:
+    """Numbered candidates, one on each line: C1 name."""
+    return F.array_join(F.transform(candidates, lambda c, i: F.concat(F.lit("C"), (i + 1).cast("string"), F.lit(" "), c)), "\n")
+
+
+#: Behaviours of old records and the observation that each one is.
+LEGACY_BEHAVIOURS = {"appear": "MENTION", "speak": "MENTION", "alias": "ALIAS", "disguise": "EMBODIMENT", "possess": "EMBODIMENT", "voice_change": "TEMP_VOICE", "grow": "VOICE_PHASE", "attribute": "ATTRIBUTE"}
+
+
+def legacy_observation(behaviour: Column, surface: Column, value: Column, position: Column) -> Column:
+    """An old behaviour record as an observation; null for behaviours that are none."""
+    kind = F.try_element_at(F.create_map(*(F.lit(x) for kv in LEGACY_BEHAVIOURS.items() for x in kv)), F.lower(behaviour))
+    return F.when(kind.isNotNull(), F.struct(kind.alias("type"), surface.alias("surface"), value.alias("value"), position.alias("position")))
+
+
+def pending(cases: DataFrame, done: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Cases that a stopped run hasn't answered yet."""
+    return cases.join(done.select(key).distinct(), key, "left_anti")
+
+
+def label_sheet(cases: DataFrame, arms: dict[str, DataFrame], key: str = "sample_id") -> DataFrame:
+    """Cases with each arm's answer and validity beside them; a missing answer is null."""
+    for name, rows in arms.items():
+        cases = cases.join(rows.select(key, F.col("answer").alias(f"{name}_answer"), F.col("valid").alias(f"{name}_valid")), key, "left")
+    return cases

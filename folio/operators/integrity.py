@@ -58,3 +58,9 @@ def record_diff(left: DataFrame, right: DataFrame, on: list[str], fields: list[s
 def golden(df: DataFrame) -> DataFrame:
     """Row count and an order-free digest, to compare a replay with its recording."""
     return df.agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")).cast("string").alias("digest"))
+
+
+def present(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``expected`` with status FOUND or MISSING."""
+    side = found.select(key, F.lit(True).alias("__there")).distinct()
+    return expected.join(side, key, "left").withColumn("status", F.when(F.col("__there"), "FOUND").otherwise("MISSING")).drop("__there")

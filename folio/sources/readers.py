@@ -172,3 +172,17 @@ def match_all(index: DataFrame, tokens: list[str], id_col: str) -> DataFrame:
 def probe(df: DataFrame) -> DataFrame:
     """Row count of a table that is only read."""
     return df.agg(F.count("*").alias("n_rows"))
+
+
+def lookup(df: DataFrame, **keys) -> DataFrame:
+    """Rows of the given key values; on Parquet the filters reach the scan."""
+    for name, value in keys.items():
+        df = df.where(F.col(name) == F.lit(value))
+    return df
+
+
+def scope(paragraphs: DataFrame, chapter_id: int | None = None, first: int = 0, last: int | None = None) -> DataFrame:
+    """The paragraphs of one chapter, or of an index range (both ends in it)."""
+    if chapter_id is not None:
+        paragraphs = paragraphs.where(F.col("chapter_id") == chapter_id)
+    return paragraphs.where((F.col("paragraph_index") >= first) & (F.lit(last is None) | (F.col("paragraph_index") <= F.lit(last or 0))))
