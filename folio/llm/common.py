@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,7 +48,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files and checkpoints that no plan refers to any more."""
+    """Lets Spark's cleaner drop shuffle files and checkpoints that no plan refers to any more; it works beside the next job."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

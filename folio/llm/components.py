@@ -20,18 +20,34 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    """Edges with the larger node first, without nulls, loops and repeats."""
+    return edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def contract(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """Edges (a, b) of the same components after some rounds, nearly stars already; long paths may need more rounds."""
+    now = _links(edges)
+    for _ in range(rounds):
+        now = cut(_star(_star(now, True), False))
+    return now
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node of ``edges`` (a, b: long).
 
-    Nulls and loops are left out. Each round is two shuffles of the edges, and their number falls as logarithm of
-    the longest path, squared at most; nothing but one count of changed edges comes to the driver.
+    Nulls and loops are left out. Each round is a few shuffles of the edges, and their number grows with the logarithm
+    of the longest path, squared at most; nothing but a count and a digest of the edges comes to the driver.
     """
-    now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = cut(now)
+    now, mark = _links(edges), None
     while True:
-        after = cut(_star(_star(now, True), False))
-        same = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first() == now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        now = after
-        if same:
+        now = cut(_star(_star(now, True), False))
+        last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if mark == last:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+
+
+def labels(stars: DataFrame) -> DataFrame:
+    """node, component by the edges of ``contract``: each node's least neighbour, which is in its component."""
+    return stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

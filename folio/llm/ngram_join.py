@@ -11,9 +11,9 @@ documents that hold them, then by hash.
    documents with fewer shared shingles are done. Equal sets are one representative from here on.
 3. *Candidates.* Two sets that link share a shingle among the first n - ceil(t n) + 1 of the global order. Of the
    sets on one such shingle a few are hubs, and pairs of a hub with any other are counted; sets that are then in one
-   component need no further pair. In the next round the hubs are out, and of what is left in several components
-   the sets outside each list's largest component are hubs: all of them where that makes few pairs, else some,
-   chosen by hash. So a group of copies costs a few pairs for each member, and no pair that could join is left out.
+   component need no further pair. Later the hubs are out, and of what is left in several components the sets
+   outside each list's largest component are hubs: all of them where that makes few pairs, else some, chosen by hash.
+   A set whose shared shingles are too few for any partner in a list leaves it. So a group of copies costs a few pairs for each member, and no pair that could join is left out.
 4. *Overlaps.* A pair's overlap is counted in ``PARTS`` ranges of the order apart, and summed for each pair.
 
 Every link that could join two components is counted exactly. A shingle is a 52-bit hash.
@@ -30,17 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import cut, release
-from folio.llm.components import connected_components
+from folio.llm.components import connected_components, contract, labels
 
 K = 5
 SHARE = (75, 100)  # the least similarity, as a fraction
-PARTS = 4
+PARTS = 2
 IDX = 12  # bits of a chunk's document number; the other 52 are the shingle
 CHUNK_DOCS, CHUNK_WORDS = (1 << IDX) - 1, 600_000
 FRAGMENT = 1_200_000  # shingles in a fragment, as planned
 HOT_IN_CHUNK = 64
-HOT = 2**31 - 1
-FIRST_HUBS = 2  # sets of each list that are paired with the others in the first round, as expected
+HOT = 2**16 - 1  # counts are kept in 16 bits; the largest ones are ordered by hash
+HUB_TURNS, LONG_LIST, HUBS = 2, 64, 6  # in the first rounds one set of each list is a hub, and of longer ones six more, as expected
 PAIRS_IN_LIST = 40_000  # pairs of one list in a later round, as expected
 WORDS = 400_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -93,7 +93,7 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 PACKED = "grp int, keys binary, docs binary, extra binary"
-ANSWER = "grp int, docs binary, keys binary, df binary"
+ANSWER = "grp int, docs binary, own binary, keys binary, df binary"
 
 
 def _pack(docs: DataFrame, fragments: int, k: int) -> DataFrame:
@@ -144,19 +144,20 @@ def _pack(docs: DataFrame, fragments: int, k: int) -> DataFrame:
 
 
 def _buckets(doc: np.ndarray, key: np.ndarray, df: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Rows of ANSWER that deal documents out by a hash of their ids."""
+    """Rows of ANSWER that deal documents out by a hash of their ids; ``own`` points into ``docs``."""
     b = (_mix(doc.astype("u8")) % np.uint64(buckets)).astype("i4")
     order = np.argsort(b, kind="stable")
     doc, key, df, b = doc[order], key[order], df[order], b[order]
     starts, counts = _runs(b)
     for s, n in zip(starts.tolist(), counts.tolist(), strict=True):
-        yield int(b[s]), doc[s : s + n].tobytes(), key[s : s + n].tobytes(), df[s : s + n].astype("i4").tobytes()
+        used, own = np.unique(doc[s : s + n], return_inverse=True)
+        yield int(b[s]), used.tobytes(), own.astype("u4").tobytes(), key[s : s + n].tobytes(), np.minimum(df[s : s + n], HOT).astype("u2").tobytes()
 
 
 def _answer(packed: DataFrame, fragments: int, buckets: int) -> DataFrame:
     """For each shared shingle and document that holds it, (document, shingle, count), packed by bucket of documents.
 
-    Set sizes come with the count -1, in place of a shingle.
+    Set sizes come with the count 0, in place of a shingle.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -170,7 +171,7 @@ def _answer(packed: DataFrame, fragments: int, buckets: int) -> DataFrame:
         if grp >= fragments:
             every = np.concatenate(docs)
             sizes = np.concatenate([np.frombuffer(x, dtype="i8") for x in extra])
-            doc, key, df = np.concatenate([doc, every]), np.concatenate([key, sizes.astype("u8")]), np.concatenate([np.full(len(key), HOT), np.full(len(every), -1)])
+            doc, key, df = np.concatenate([doc, every]), np.concatenate([key, sizes.astype("u8")]), np.concatenate([np.full(len(key), HOT), np.zeros(len(every), dtype="i8")])
         else:
             flagged = np.unique(np.concatenate([np.frombuffer(x, dtype="u8") for x in extra]))
             order = np.argsort(key, kind="stable")
@@ -181,9 +182,9 @@ def _answer(packed: DataFrame, fragments: int, buckets: int) -> DataFrame:
                 df = np.where(np.isin(key, flagged), HOT, df)
             shared = df >= 2
             doc, key, df = doc[shared], key[shared], df[shared]
-        rows = list(_buckets(doc, key, df, buckets)) or [(0, b"", b"", b"")]
+        rows = list(_buckets(doc, key, df, buckets)) or [(0, b"", b"", b"", b"")]
         columns = list(zip(*rows, strict=True))
-        return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["grp", "docs", "keys", "df"])
+        return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["grp", "docs", "own", "keys", "df"])
 
     return packed.groupBy("grp").applyInArrow(run, ANSWER)
 
@@ -194,8 +195,10 @@ def _gather(answers: DataFrame, share: tuple[int, int]) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         cat = lambda c, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(c).to_pylist()])
-        doc, key, df = cat("docs", "i8"), cat("keys", "u8"), cat("df", "i4")
-        size_row = df == -1
+        tables = zip(table.column("docs").to_pylist(), table.column("own").to_pylist(), strict=True)
+        doc = np.concatenate([np.frombuffer(d, dtype="i8")[np.frombuffer(o, dtype="u4")] for d, o in tables])
+        key, df = cat("keys", "u8"), cat("df", "u2")
+        size_row = df == 0
         of_doc, sizes = doc[size_row], key[size_row].astype("i8")
         order = np.lexsort((sizes, of_doc))
         of_doc, sizes = of_doc[order], sizes[order]
@@ -234,40 +237,44 @@ def _links(pairs: DataFrame, sets: DataFrame, share: tuple[int, int], parts: int
 
 
 def _lists(active: DataFrame) -> DataFrame:
-    """One row for each shingle list that could still join components: key, size, and its largest component (big, in_big).
+    """One row for each shingle list that could still join components: key, size, and its largest component (big, in_big), a member of its smallest one (small), and its least set size (low).
 
     Neighbouring shingles of copies have the same members; of lists with equal members one stays. Members are compared
     by their number and two sums of hashes, which partial aggregates can add up.
     """
-    by_comp = active.groupBy("key", "comp").agg(F.count("*").alias("m"), *(F.sum(F.xxhash64("doc", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)))
-    lists = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("size"), F.max(F.struct("m", F.col("comp").alias("big"))).alias("b"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).where("comps > 1")
-    return lists.groupBy("size", "h1", "h2").agg(F.min(F.struct("key", F.col("b.big").alias("big"), F.col("b.m").alias("in_big"))).alias("k")).select("k.*", "size")
+    by_comp = active.groupBy("key", "comp").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.min("doc").alias("doc"), *(F.sum(F.xxhash64("doc", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)))
+    lists = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("size"), F.min("low").alias("low"), F.max(F.struct("m", F.col("comp").alias("big"))).alias("b"), F.min(F.struct("m", "doc")).alias("s"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).where("comps > 1")
+    return lists.groupBy("size", "h1", "h2").agg(F.min(F.struct("key", F.col("b.big").alias("big"), F.col("b.m").alias("in_big"), F.col("s.doc").alias("small"), "low")).alias("k")).select("k.*", "size")
 
 
 def _resolve(sets: DataFrame, share: tuple[int, int], parts: int) -> DataFrame:
     """node, component for every representative that links with another: rounds of candidates as the module says."""
     need, of = share
-    active = sets.select("doc", F.col("n_shingles").alias("n"), F.col("doc").alias("comp"), F.explode(F.slice("shared", F.lit(1), F.col("head"))).alias("key"))
-    found = comps = None
-    turn = 0
-    while True:
-        met = cut(active.join(_lists(active), "key"))
+    active = sets.select("doc", F.col("n_shingles").alias("n"), F.size("shared").alias("c"), F.col("doc").alias("comp"), F.explode(F.slice("shared", F.lit(1), F.col("head"))).alias("key"))
+    # c shared shingles can't be overlap enough for sizes n and m: sets drop out of a list in which that holds for all
+    may_share = lambda c, n, m: (need + of) * c >= need * (n + m)
+    lists, found, turn = cut(_lists(active)), None, 0
+    while lists.limit(1).count():
         chance = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(1_000_000)) / 1e6
         rest = F.col("size") - F.col("in_big")
-        pick = chance * F.col("size") < FIRST_HUBS if turn == 0 else (F.col("comp") != F.col("big")) & (chance * rest * F.col("size") < PAIRS_IN_LIST)
-        least = met.where(F.col("comp") != F.col("big") if turn else F.lit(True)).groupBy("key").agg(F.min("doc").alias("least"))
-        met = cut(met.join(least, "key").withColumn("hub", pick | (F.col("doc") == F.col("least"))).drop("least", "big", "in_big", "size"))
-        hubs = met.where("hub").select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        fits = (of * F.least("n", "n2") >= need * F.greatest("n", "n2")) & (F.col("comp") != F.col("comp2")) & (~F.col("hub") | (F.col("doc") < F.col("doc2")))
+        if turn < HUB_TURNS:  # chosen by a hash of the document alone, so lists of one group of copies have the same hubs
+            pick = (F.col("size") >= LONG_LIST) & (chance * F.col("size") < HUBS)
+        else:
+            pick = (F.col("comp") != F.col("big")) & (chance * rest * F.col("size") < PAIRS_IN_LIST)
+        hub = pick | (F.col("doc") == F.col("small"))
+        met = active.join(lists, "key").where(may_share(F.col("c"), F.col("n"), F.greatest(F.col("low"), F.ceil(F.col("n") * need / of))))
+        met = cut(met.select("key", "doc", "n", "c", "comp", hub.alias("hub")))
+        hubs = met.where("hub").select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("comp").alias("comp2"))
+        fits = may_share(F.least("c", "c2"), F.col("n"), F.col("n2")) & (of * F.least("n", "n2") >= need * F.greatest("n", "n2")) & (F.col("comp") != F.col("comp2")) & (~F.col("hub") | (F.col("doc") < F.col("doc2")))
         pairs = cut(met.join(hubs, "key").where(fits).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct())
         links = _links(pairs, sets, share, parts)
-        found = cut(links if found is None else found.union(links))
-        comps = connected_components(found)
-        left = met.where("not hub").select("doc", "n", "key").join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("comp"), "key")
-        active = cut(left)
+        found = contract(links if found is None else found.union(links))
+        left = met.where("not hub").select("doc", "n", "c", "key").join(labels(found).withColumnRenamed("node", "doc"), "doc", "left")
+        active = cut(left.select("doc", "n", "c", F.coalesce("component", "doc").alias("comp"), "key"))
+        lists = cut(_lists(active))
         turn += 1
-        if not _lists(active).limit(1).count():
-            return comps
+    none = sets.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
+    return connected_components(none if found is None else found)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, share: tuple[int, int] = SHARE, parts: int = PARTS) -> DataFrame:
@@ -282,14 +289,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("raw"))
     size = given.agg(F.sum(F.octet_length("raw")).alias("b")).first().b or 0
     fragments = max(4, -(-size // (6 * FRAGMENT)))
-    answers = _answer(_pack(given, fragments, k), fragments, fragments)
-    nodes = cut(_gather(answers, share))
+    nodes = cut(_gather(_answer(_pack(given, fragments, k), fragments, fragments), share))
     release(spark)
     alive = nodes.where("shared is not null")
     equal = alive.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("m")).where("m > 1").select("digest", "rep")
     member = cut(alive.where("digest is not null").select("doc", "digest").join(equal, "digest").select("doc", "rep"))
     copies = member.where("doc <> rep").select("doc")
     sets = cut(alive.select("doc", "n_shingles", "shared", "head").join(copies, "doc", "left_anti"))
+    release(spark)
     comps = _resolve(sets, share, parts)
     via = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
     placed = comps.join(member.select(F.col("doc").alias("node")), "node", "left_anti").select(F.col("node").alias("doc"), "component").union(via)
@@ -299,10 +306,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: that with the least id, and of rows that repeat it one. Rows with a null id stay."""
     found = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-    names = docs.columns
-    marks = found.select(F.col(id_col).alias("__doc"), (F.col("copies") > 1).alias("__repeated"))
-    kept = docs.join(marks, F.col(id_col) == F.col("__doc"), "left").where(F.col("__doc").isNotNull() | F.col(id_col).isNull())
-    repeated = F.coalesce("__repeated", F.lit(False))
-    once = kept.where(~repeated).select(*names)
-    several = kept.where(repeated).groupBy("__doc").agg(F.min(F.struct(*names)).alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in names))
-    return once.unionByName(several)
+    marks = cut(found.select(F.col(id_col).alias("__doc"), (F.col("copies") > 1).alias("__repeated")))
+    of = lambda rows: docs.join(rows.select("__doc"), F.col(id_col) == F.col("__doc"), "left_semi")
+    kept = of(marks.where("not __repeated")).unionByName(docs.where(F.col(id_col).isNull()))
+    repeated = marks.where("__repeated")
+    if not repeated.limit(1).count():
+        return kept
+    one = of(repeated).groupBy(F.col(id_col).alias("__doc")).agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return kept.unionByName(one.select(*(F.col(f"r.{c}").alias(c) for c in docs.columns)))

@@ -41,7 +41,7 @@ def corpus(seed, n=160):
 def test_families_around_the_threshold(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(ngram_join, "HOT_IN_CHUNK", hot)
     monkeypatch.setattr(ngram_join, "CHUNK_WORDS", 700)
-    monkeypatch.setattr(ngram_join, "PAIRS_IN_LIST", 4 if hot == 3 else 40_000)
+    monkeypatch.setattr(ngram_join, "PAIRS_IN_LIST", 60 if hot == 3 else 40_000)
     rows = corpus(seed)
     assert as_dict(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
 
