@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import text_bytes
 
 NODES = 400_000
-TERMINALS = 400_000
+TERMINALS = 800_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
