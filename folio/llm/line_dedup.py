@@ -7,8 +7,14 @@ Fingerprints meet their earliest position in the corpus; from there a match is e
 ``RUN_WORDS`` lines at most, which reaches the next fingerprint of the run. Extended runs are deleted; the
 earliest position stays.
 
-Only fingerprints, and the hash arrays of documents that share some, are shuffled; each fingerprint joins one
-earliest position, never all others, so a passage in a third of all documents costs one row for each of them.
+The earliest holder of a fingerprint may have only a piece of a passage that later documents share. So the shortest
+run of ``RUN_WORDS`` words from each line on, and the shortest up to each line, is a window with a hash of its own,
+and a window that stands at an earlier position is deleted, whichever document holds it. Windows of both kinds cover
+every line of a run of that many words, so all lines of each such repeat go.
+
+Only fingerprints, window hashes, and the hash arrays of documents that share fingerprints, are shuffled; each
+fingerprint and window joins one earliest position, never all others, so a passage in a third of all documents costs
+one row for each of them.
 All steps are DataFrame expressions. Documents are ordered by id and, of one id, by a hash of the text.
 """
 
@@ -53,14 +59,38 @@ def fingerprints(h: Column, counts: Column, gram_words: int, run_words: int) ->
     return let(F.transform(places, gram), pick)
 
 
+def window_sizes(counts: Column, run_words: int) -> Column:
+    """struct<ahead, back>: for each line, of how many lines the shortest run of ``run_words`` words from it, and up to it, is; 0 if there is none."""
+    ahead = lambda c: F.transform(c, lambda _, i: F.coalesce(words_from(c, i, run_words), F.lit(0)))
+    return F.struct(ahead(counts).alias("ahead"), F.reverse(let(F.reverse(counts), ahead)).alias("back"))
+
+
+def windows(seq: DataFrame) -> DataFrame:
+    """doc, tx, fp, check, start, end: the hashes and the first and last places of each document's windows of ``window_sizes``."""
+    window = lambda i, m: F.when(m > 0, F.struct(i.alias("k"), m.alias("m")))
+    both = F.concat(F.transform("ahead", lambda m, i: window(i, m)), F.transform("back", lambda m, i: window(i - m + 1, m)))
+    rows = seq.select("doc", "tx", "h", "p", F.explode(F.array_distinct(F.array_compact(both))).alias("w"))
+    lines = F.slice("h", F.col("w.k") + 1, F.col("w.m"))
+    return rows.select("doc", "tx", F.xxhash64(lines).alias("fp"), F.hash(lines).alias("check"), F.get("p", F.col("w.k")).alias("start"), F.get("p", F.col("w.k") + F.col("w.m") - 1).alias("end"))
+
+
+def repeated_windows(seq: DataFrame) -> DataFrame:
+    """doc, tx, r: the [start, end] places of each document's windows that stand at an earlier position, too."""
+    seen = windows(seq)
+    first = seen.groupBy("fp", "check").agg(F.min(F.struct("doc", "tx", "start")).alias("src"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = seen.join(first, ["fp", "check"]).where(F.struct("doc", "tx", "start") > F.col("src"))
+    return met.groupBy("doc", "tx").agg(F.collect_set(F.struct("start", "end")).alias("r"))
+
+
 def sequences(docs: DataFrame, id_col: str, text_col: str, gram_words: int, run_words: int) -> DataFrame:
-    """doc, tx (hash of the text), h and p (hashes and places of lines that have a word), fps."""
+    """doc, tx (hash of the text), h and p (hashes and places of lines that have a word), ahead and back (``window_sizes``), fps."""
     text = F.col(text_col)
     every = F.transform(lines_of(text), lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("p"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     lines = let(every, lambda a: F.filter(a, lambda x: x["w"] > 0))
     given = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("tx"), lines.alias("l"))
     given = given.select("doc", "tx", F.col("l.h").alias("h"), F.col("l.p").alias("p"), F.col("l.w").alias("w"))
-    return given.select("doc", "tx", "h", "p", fingerprints(F.col("h"), F.col("w"), gram_words, run_words).alias("fps"))
+    given = given.select("doc", "tx", "h", "p", window_sizes(F.col("w"), run_words).alias("m"), fingerprints(F.col("h"), F.col("w"), gram_words, run_words).alias("fps"))
+    return given.select("doc", "tx", "h", "p", "m.ahead", "m.back", "fps")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
@@ -85,7 +115,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = F.filter("ks", lambda k: F.coalesce(F.get("h", k) == F.get("part", k - F.col("lo")), F.lit(False)))
     runs = let(bounds, lambda b: F.transform(held, lambda k: reach(k, b)))
     placed = F.transform(F.array_distinct(runs), lambda r: F.struct(F.get("p", r["a"]).alias("start"), F.get("p", r["z"]).alias("end")))
-    found = both.select("doc", "tx", placed.alias("r")).groupBy("doc", "tx").agg(F.sort_array(F.flatten(F.collect_list("r"))).alias("r")).where(F.size("r") > 0)
+    whole = both.select("doc", "tx", placed.alias("r")).union(repeated_windows(seq))
+    found = whole.groupBy("doc", "tx").agg(F.sort_array(F.flatten(F.collect_list("r"))).alias("r")).where(F.size("r") > 0)
     return found.select("doc", "tx", merge_runs("r").alias("runs"))
 
 

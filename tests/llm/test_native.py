@@ -173,6 +173,38 @@ def test_runs_match_earlier_text_and_every_long_repeat_is_found(spark):
             assert any((j, q) < (i, k) and x == seq[k][0] for j in seqs for q, (x, _, _) in enumerate(seqs[j])), (i, k)
 
 
+def test_all_lines_of_every_long_repeat_go(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"{rng.choice('abcdefghij')}{rng.randrange(1000)}" for _ in range(n))
+    rows, left = [], {}
+    for case in range(40):  # the first document has only a piece of the passage that the next two share
+        head, tail = line(30), line(30)
+        for kind, lines in enumerate([[head], [head, tail], [line(3), head, tail, line(4)], [line(2), tail], [line(60), line(5)]]):
+            rows.append((10 * case + kind, "\n".join(lines)))
+        left[10 * case + 2] = [x for x in lines_of(rows, 10 * case + 2) if x not in (head, tail)]
+        rows.append((10 * case + 5, rows[-1][1] + "\n" + line(6)))
+        left[10 * case + 5] = rows[-1][1].split("\n")[2:]
+    pool = [line(rng.randint(1, 40)) for _ in range(12)]
+    rows += [(1000 + i, "\n".join(pool[(s + k) % 12] if rng.random() < 0.9 else rng.choice(pool) for k in range(rng.randint(0, 9)))) for i in range(150) for s in [rng.randrange(12)]]
+    seqs, span = plain_runs(rows)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].text.split("\n") for i in left} == left
+    seen = set()
+    for i in sorted(seqs):
+        seq = seqs[i]
+        gone = {p for r in got[i].removed_runs for p in range(r.start, r.end + 1)}
+        for k in range(len(seq)):
+            for m in range(span(seq, k, 50) or len(seq) + 1, len(seq) - k + 1):
+                run = seq[k : k + m]
+                text = tuple(x for x, _, _ in run)
+                assert text not in seen or gone >= {p for _, p, _ in run}, (i, k, m)
+                seen.add(text)
+
+
+def lines_of(rows, doc):
+    return next(text for i, text in rows if i == doc).split("\n")
+
+
 def test_line_dedup_edges(spark):
     text = "\n".join(f"line {i} " + "w " * 30 for i in range(5))
     rows = [(None, text, 1, "k"), (1, None, 2, "k"), (2, "", 3, "k"), (3, text, 4, "k"), (3, text, 4, "k"), (4, "a\n\n" + text + "\n\nb", 5, "k"), (5, text, 6, "k"), (6, ("same " * 30 + "\n") * 6, 7, "k")]
