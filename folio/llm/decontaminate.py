@@ -158,6 +158,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     blocks = list(item_blocks(benchmark, item_col, item_text, block_words))
     if len(blocks) == 1:
         return _scan(given, blocks[0], window, kind, item_kind).withColumnRenamed("id", id_col)
+    found = _scan_blocks(given, blocks, window, item_kind)
+    return found.select(F.col("id.doc").alias(id_col), "n_words", "spans", "items")
+
+
+def _scan_blocks(given: DataFrame, blocks: list[list[tuple]], window: int, item_kind: T.DataType) -> DataFrame:
+    """One row for each distinct (id, raw) of ``given``: id (doc, sha), n_words, and the spans and items of all blocks, each found in the whole text."""
     keyed = given.withColumn("id", F.struct(F.col("id").alias("doc"), F.sha2("raw", 256).alias("sha")))
     parts = [_scan(keyed, b, window, keyed.schema["id"].dataType, item_kind) for b in blocks]
     both = parts[0]
@@ -168,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         "aggregate(s, cast(array() as array<struct<start:int,end:int>>), (a, x) -> CASE WHEN size(a) > 0 AND element_at(a, -1).end >= x.start"
         " THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))) ELSE concat(a, array(x)) END)"
     )
-    return found.select(F.col("id.doc").alias(id_col), "n_words", merged.alias("spans"), "items")
+    return found.select("id", "n_words", merged.alias("spans"), "items")
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -183,30 +189,37 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
 
     A cut reaches from the first character of a span's first word to the last one of its last word; all other
     characters stay as they are. Every other column is kept, ``n_chars`` (if there) is counted anew. Null texts stay.
-    ``benchmark`` must fit one block of ``block_words`` words, which is checked; cut it up and call again otherwise.
+    Spans are found in the given texts and counted and cut once, however many blocks of ``block_words`` words the
+    benchmark has; several blocks cost a scan each and a join of their spans with the texts.
     """
     blocks = list(item_blocks(benchmark, "item_id", "text", block_words))
-    for block in blocks:
-        docs = _remove(docs, block, window, max_coverage)
-    return docs
-
-
-def _remove(docs: DataFrame, items: list[tuple], window: int, max_coverage: float) -> DataFrame:
-    given = docs.sparkSession.sparkContext.broadcast(items)
-    at = docs.columns.index("text")
-    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    if len(blocks) == 1:
+        return _remove(docs, docs.columns, max_coverage, items=blocks[0], window=window)
+    given = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("raw"))
+    found = _scan_blocks(given, blocks, window, benchmark.schema["item_id"].dataType).where(F.size("spans") > 0)
+    found = found.select(F.col("id.doc").alias("__doc"), F.col("id.sha").alias("__sha"), F.col("spans").alias("__spans"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("__sha"))
+    return _remove(docs.join(found, same, "left").select(*docs.columns, "__spans"), docs.columns, max_coverage)
+
+
+def _remove(docs: DataFrame, names: list[str], max_coverage: float, items: list[tuple] | None = None, window: int = WINDOW) -> DataFrame:
+    """The columns ``names`` of ``docs``, cut by the spans in ``__spans`` or, with ``items``, by those found here."""
+    given = None if items is None else docs.sparkSession.sparkContext.broadcast(items)
+    at = names.index("text")
+    chars = names.index("n_chars") if "n_chars" in names else -1
     spaces = np.frombuffer(ALNUM, dtype="u1") == 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = ItemMatcher(given.value, window)
+        matcher = None if given is None else ItemMatcher(given.value, window)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 keep, texts = [], []
-                for text in batch.column(at).to_pylist():
+                known = [None] * batch.num_rows if matcher else batch.column(len(names)).to_pylist()
+                for text, spans in zip(batch.column(at).to_pylist(), known, strict=True):
                     raw = b"" if text is None else text.encode()
                     words = raw.translate(ALNUM).split()
-                    spans, _ = matcher.match(words)
+                    spans = matcher.match(words)[0] if matcher else [(s["start"], s["end"]) for s in spans or []]
                     keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(words))
                     if spans and keep[-1]:
                         gap = spaces[np.frombuffer(raw, dtype="u1")]
@@ -218,13 +231,13 @@ def _remove(docs: DataFrame, items: list[tuple], window: int, max_coverage: floa
                             last = ends[b - 1]
                         text = (b"".join(parts) + raw[last:]).decode()
                     texts.append(text)
-                columns = batch.columns
-                columns[at] = pa.array(texts, batch.schema.field(at).type)
+                columns, schema = batch.columns[: len(names)], pa.schema([batch.schema.field(i) for i in range(len(names))])
+                columns[at] = pa.array(texts, schema.field(at).type)
                 if chars >= 0:
-                    columns[chars] = pa.array([c if t is None else len(t) for t, c in zip(texts, columns[chars].to_pylist(), strict=True)], batch.schema.field(chars).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+                    columns[chars] = pa.array([c if t is None else len(t) for t, c in zip(texts, columns[chars].to_pylist(), strict=True)], schema.field(chars).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.select(*names).schema)
 
 
 def items_digest(items: list) -> str:

@@ -53,6 +53,24 @@ def test_removal(spark):
     assert decontaminate.remove_spans(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), items.limit(0)).count() == 5
 
 
+def test_removal_in_blocks_equals_one_block(spark):
+    word = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    one, two, rest = word("a", 12), word("b", 12), word("r", 16)
+    late = " ".join([*(f"a{i}" for i in range(6, 12)), *(f"c{i}" for i in range(6))])  # overlaps the first item's words
+    joined = " ".join([*(f"r{i}" for i in range(11, 16)), *(f"s{i}" for i in range(5))])  # is in a text only once the first item is cut
+    items = spark.createDataFrame([(1, one), (2, two), (3, late), (4, joined)], "item_id long, text string")
+    s = word("s", 16)
+    texts = [f"{one} {rest} {two}", f"{s} {rest} {one} {s} {rest}", f"{s} {rest} {one} {word('c', 6)} {s}", f"{rest} {s}", None, "", f"{rest}. {two}! {s}"]
+    rows = [(None if i == 6 else i, t, "de", 9) for i, t in enumerate(texts)] + [(1, texts[1], "en", 9), (1, rest, "fr", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    removed = lambda block: sorted(map(tuple, decontaminate.remove_spans(docs, items, block_words=block).collect()), key=str)
+    whole = removed(500_000)
+    assert removed(12) == whole and removed(24) == whole
+    assert [r for r in whole if r[0] == 0] == []  # 24 of 40 words
+    assert [r[1] for r in whole if r[0] == 1 and r[2] == "de"] == [f"{s} {rest}  {s} {rest}"]
+    assert [r[1] for r in whole if r[0] == 2] == [f"{s} {rest}  {s}"]
+
+
 def licenses(text):
     w, found = alnum_words(text), []
     for phrase, label in license_scan.PHRASES.items():
