@@ -34,6 +34,13 @@ def lazy_line_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.read_lines(offsets.select("doc_id", "line_no", "byte_start", "byte_end"), table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.sha2("text", 256).alias("line_sha"))
 
 
+@query(f"""WITH {LINES} SELECT doc_id, line_no, sha256(text) AS line_sha FROM lines""")
+def lazy_line_read_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line, cut out of its document by byte offsets."""
+    offsets = lines.lines_without_text(document_lines(spark, sf_dir, spans=True))
+    return lines.read_lines(offsets.select("doc_id", "line_no", "byte_start", "byte_end"), table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.sha2("text", 256).alias("line_sha"))
+
+
 @query(
     f"""WITH {LINES}, s AS (SELECT *, coalesce(sum(char_count) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start FROM lines),
     a AS (SELECT doc_id, (n_chars * k // 4)::BIGINT AS at_offset FROM documents, (VALUES (0), (1), (2), (3)) AS v(k))

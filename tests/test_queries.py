@@ -37,6 +37,11 @@ def test_runs(spark, sf, name):
     assert base.QUERIES[name](spark, sf).count() > 0
 
 
+def test_every_line_is_read_by_its_offsets(spark, sf):
+    key = lambda name: sorted((r.doc_id, r.line_no, r.line_sha) for r in base.QUERIES[name](spark, sf).collect())
+    assert key("lazy_line_read_all") == key("doc_lines")
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
