@@ -76,6 +76,13 @@ def full_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_places"))
 
 
+@query("WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[^\\s\\p{P}]+'))) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places FROM t GROUP BY token")
+def full_text_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of every token in an inverted index of all documents."""
+    index = readers.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return index.groupBy("token").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_places"))
+
+
 @query("SELECT conv_id, turn, (length(text) - length(replace(text, 'the', ''))) // 3 AS n_apart, CASE WHEN length(text) > 48 THEN substr(text, 1, 48) || '…' ELSE text END AS head FROM conversations")
 def occurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", occurrences(F.col("text"), F.lit("the"), overlapping=False).cast("long").alias("n_apart"), truncated(F.col("text")).alias("head"))

@@ -42,6 +42,12 @@ def test_every_line_is_read_by_its_offsets(spark, sf):
     assert key("lazy_line_read_all") == key("doc_lines")
 
 
+def test_every_token_has_its_postings(spark, sf):
+    rows = {r.token: (r.n_docs, r.n_places) for r in base.QUERIES["full_text_index_all"](spark, sf).collect()}
+    one = {r.token: (r.n_docs, r.n_places) for r in base.QUERIES["full_text_index"](spark, sf).collect()}
+    assert one.items() < rows.items()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
