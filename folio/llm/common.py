@@ -41,6 +41,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``df`` is called, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}") in taken:
+        pass
+    return name
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their names, whatever characters these hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and reads it back: a short plan that outlives executors."""
     checkpoint_dir(df.sparkSession)

@@ -3,20 +3,24 @@
 Each document is the set of its distinct ``K``-word shingles. All shingles have one global order: by the number of
 documents that hold them, then by hash.
 
-1. *Fragments.* The shingle space is cut into fragments. Tasks pack their documents' shingles and send each
-   fragment its part; a fragment counts how many documents hold each shingle and answers with the shared ones.
-   A shingle that is frequent within one task's chunk is not sent for each of its documents: the chunk flags it,
-   all documents keep it as ``HOT``, last in the order, and the fragment sees one entry for each chunk.
-2. *Documents.* Shared shingles are gathered for each document. A partner must share ``THRESHOLD`` of the set, so
-   documents with fewer shared shingles are done. Equal sets are one representative from here on.
-3. *Candidates.* Two sets that link share a shingle among the first n - ceil(t n) + 1 of the global order. Of the
-   sets on one such shingle a few are hubs, and pairs of a hub with any other are counted; sets that are then in one
-   component need no further pair. Later the hubs are out, and of what is left in several components the sets
-   outside each list's largest component are hubs: all of them where that makes few pairs, else some, chosen by hash.
-   A set whose shared shingles are too few for any partner in a list leaves it. So a group of copies costs a few pairs for each member, and no pair that could join is left out.
-4. *Overlaps.* A pair's overlap is counted in ``PARTS`` ranges of the order apart, and summed for each pair.
-
-Every link that could join two components is counted exactly. A shingle is a 52-bit hash.
+1. *Counts.* The shingle space is cut by hash. Tasks pack their documents' shingles and send each part to its group,
+   which counts how many documents hold each shingle and answers with the shared ones. Shingles that the very same
+   documents hold are one *element* with a weight, named by a hash of those documents. A shingle that is frequent
+   within one task's chunk is not sent for each of its documents: the chunk flags it, all documents keep it as
+   ``HOT``, last in the order, and the group sees one entry for each chunk.
+2. *Documents.* Shared elements are gathered for each document in the global order, cut into fragments at the counts
+   ``PIVOTS``. A partner must share ``SHARE`` of the set, so documents that share less are done. Equal sets are one
+   representative from here on.
+3. *Candidates.* Two sets that link have their first common element in the *head* of both: the elements from which on
+   the weight still reaches the least overlap. In each element's list of heads, first the set with the least unshared
+   weight is a hub, and only pairs with it are counted: copies of one text link with the one that is nearest to their
+   common source. Then the pairs of a list that are still in different components are counted, if three bounds on
+   their overlap allow a link: set sizes, the weight from the common element on, and the parity sketches, whose
+   differing bits are at most as many as differing shingles. So a group of copies costs a few pairs for each
+   member, and no pair that could join two components is left out.
+4. *Overlaps.* A pair's partial overlap is counted in each fragment of the global order apart, and summed for each pair.
+
+Every link that could join two components is counted exactly. A shingle is a 48-bit hash.
 """
 
 from __future__ import annotations
@@ -26,22 +30,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, release
+from folio.llm.common import cut, free_name, quoted, release
 from folio.llm.components import connected_components, contract, labels
 
 K = 5
 SHARE = (75, 100)  # the least similarity, as a fraction
-PARTS = 2
-IDX = 12  # bits of a chunk's document number; the other 52 are the shingle
+BITS, IDX = 48, 12  # of a shingle's hash, and of a chunk's document number beside it
 CHUNK_DOCS, CHUNK_WORDS = (1 << IDX) - 1, 600_000
-FRAGMENT = 1_200_000  # shingles in a fragment, as planned
-HOT_IN_CHUNK = 64
-HOT = 2**16 - 1  # counts are kept in 16 bits; the largest ones are ordered by hash
-HUB_TURNS, LONG_LIST, HUBS = 2, 64, 6  # in the first rounds one set of each list is a hub, and of longer ones six more, as expected
-PAIRS_IN_LIST = 40_000  # pairs of one list in a later round, as expected
+FRAGMENT = 1_200_000  # shingles of one counting group, as planned
+HOT_IN_CHUNK, GROUP_ENTRIES = 64, 2_000_000  # a chunk flags a shingle of so many documents, or fewer where chunks are so many that unflagged ones could fill a group
+HOT = 2**16 - 1  # the count of flagged shingles; counts are kept in 16 bits
+PIVOTS = (3, 8, 64)  # document counts at which the global order is cut into fragments
+SKETCH = 512  # bits
+PAIRS_FOR_ENTRY = 1000  # more pairs to bound than so many for each entry call for further hubs, as long as these halve them
 WORDS = 400_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -75,11 +79,11 @@ def shingle_keys(words: np.ndarray, lengths: np.ndarray, k: int = K) -> np.ndarr
                 h = _mix(h)
         doc = np.repeat(np.arange(len(lengths), dtype="u8"), lengths)[: len(h)]
         whole = np.arange(len(h)) + k <= np.repeat(ends, lengths)[: len(h)]
-        parts.append((_mix(h)[whole] >> np.uint64(IDX) << np.uint64(IDX)) | doc[whole])
+        parts.append((_mix(h)[whole] >> np.uint64(64 - BITS) << np.uint64(IDX)) | doc[whole])
     few = np.flatnonzero((lengths > 0) & (lengths < k))
     if len(few):
         own = np.array([xxhash.xxh3_64_intdigest(words[starts[d] : ends[d]].tobytes(), seed=int(lengths[d])) for d in few], dtype="u8")
-        parts.append((own >> np.uint64(IDX) << np.uint64(IDX)) | few.astype("u8"))
+        parts.append((own >> np.uint64(64 - BITS) << np.uint64(IDX)) | few.astype("u8"))
     keys = np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype="u8")
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
 
@@ -92,225 +96,371 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(starts, append=len(sorted_values))
 
 
+def _packed(sorted_keys: np.ndarray) -> bytes:
+    """Differences of neighbours in as few bytes as the largest needs, low bytes first, which compresses well."""
+    if not len(sorted_keys):
+        return b""
+    steps = np.diff(sorted_keys, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return bytes([width]) + steps.view("u1").reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, dtype="u8")
+    planes = np.frombuffer(raw, dtype="u1", offset=1).reshape(raw[0], -1)
+    steps = np.zeros((planes.shape[1], 8), dtype="u1")
+    steps[:, : raw[0]] = planes.T
+    return np.cumsum(steps.view("<u8")[:, 0], dtype="u8")
+
+
 PACKED = "grp int, keys binary, docs binary, extra binary"
-ANSWER = "grp int, docs binary, own binary, keys binary, df binary"
+ANSWER = "grp int, docs binary, own binary, keys binary, df binary, weights binary"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[int]]]:
+    """Chunks of documents: their ids, their words' hashes one after another, and how many words each has."""
+    get = _WordHashes().__getitem__
+    ids, words, lengths = [], [], []
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            for doc, raw in zip(part.column("doc").to_pylist(), part.column("raw").to_pylist(), strict=True):
+                own = raw.lower().split() if raw else []
+                ids.append(doc)
+                words.extend(map(get, own))
+                lengths.append(len(own))
+                if len(ids) >= CHUNK_DOCS or len(words) >= CHUNK_WORDS:
+                    yield ids, words, lengths
+                    ids, words, lengths = [], [], []
+    if ids:
+        yield ids, words, lengths
+
+
+def _keys_of(words: list[int], lengths: list[int], k: int) -> np.ndarray:
+    return shingle_keys(np.array(words, dtype="u8"), np.array(lengths, dtype="i8"), k)
 
 
-def _pack(docs: DataFrame, fragments: int, k: int) -> DataFrame:
-    """Chunks of documents as one row for each fragment (extra: its flagged shingles) and one of the documents' set sizes (extra) and hot shingles."""
-    step = np.uint64((1 << 64) // fragments + 1)
+def _pack(docs: DataFrame, groups: int, k: int, hot_in_chunk: int) -> DataFrame:
+    """Chunks of documents as one row for each counting group (extra: its flagged shingles) and one of the documents' set sizes (extra) and hot shingles."""
+    step = np.uint64((1 << (BITS + IDX)) // groups + 1)
 
     def chunk(ids: list[int], words: list[int], lengths: list[int]) -> pa.RecordBatch:
-        keys = shingle_keys(np.array(words, dtype="u8"), np.array(lengths, dtype="i8"), k)
+        keys = _keys_of(words, lengths, k)
         doc = np.array(ids, dtype="i8")
-        local = (keys & np.uint64(CHUNK_DOCS)).astype("i8")
-        sizes = np.bincount(local, minlength=len(ids)).astype("i8")
+        sizes = np.bincount((keys & np.uint64(CHUNK_DOCS)).astype("i8"), minlength=len(ids)).astype("i8")
         starts, counts = _runs(keys >> np.uint64(IDX))
-        hot_run = counts >= HOT_IN_CHUNK
+        hot_run = counts >= hot_in_chunk
         hot = np.repeat(hot_run, counts) if len(counts) else np.zeros(0, dtype=bool)
         flagged, sent = keys[starts[hot_run]] if len(counts) else keys, keys[~hot]
-        bounds = np.arange(fragments + 1, dtype="u8") * step if fragments > 1 else np.zeros(1, dtype="u8")
-        at = np.append(np.searchsorted(sent, bounds[:fragments]), len(sent))
-        at_hot = np.append(np.searchsorted(flagged, bounds[:fragments]), len(flagged))
+        bounds = np.arange(groups, dtype="u8") * step
+        at = np.append(np.searchsorted(sent, bounds), len(sent))
+        at_hot = np.append(np.searchsorted(flagged, bounds), len(flagged))
         rows = []
-        for f in range(fragments):
-            part = sent[at[f] : at[f + 1]]
-            if len(part) or at_hot[f] < at_hot[f + 1]:
+        for g in range(groups):
+            part = sent[at[g] : at[g + 1]]
+            if len(part) or at_hot[g] < at_hot[g + 1]:
                 used, own = np.unique((part & np.uint64(CHUNK_DOCS)).astype("i8"), return_inverse=True)
                 part = (part >> np.uint64(IDX) << np.uint64(IDX)) | own.astype("u8")
-                rows.append((f, part.tobytes(), doc[used].tobytes(), (flagged[at_hot[f] : at_hot[f + 1]] >> np.uint64(IDX)).tobytes()))
-        rows.append((fragments + int(xxhash.xxh3_64_intdigest(doc.tobytes())) % fragments, keys[hot].tobytes(), doc.tobytes(), sizes.tobytes()))
+                rows.append((g, _packed(part), doc[used].tobytes(), (flagged[at_hot[g] : at_hot[g + 1]] >> np.uint64(IDX)).tobytes()))
+        rows.append((groups + int(xxhash.xxh3_64_intdigest(doc.tobytes())) % groups, _packed(keys[hot]), doc.tobytes(), sizes.tobytes()))
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["grp", "keys", "docs", "extra"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _WordHashes().__getitem__
-        ids, words, lengths = [], [], []
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for doc, raw in zip(part.column("doc").to_pylist(), part.column("raw").to_pylist(), strict=True):
-                    own = raw.lower().split() if raw else []
-                    ids.append(doc)
-                    words.extend(map(get, own))
-                    lengths.append(len(own))
-                    if len(ids) >= CHUNK_DOCS or len(words) >= CHUNK_WORDS:
-                        yield chunk(ids, words, lengths)
-                        ids, words, lengths = [], [], []
-        if ids:
-            yield chunk(ids, words, lengths)
-
-    return docs.mapInArrow(run, PACKED)
-
-
-def _buckets(doc: np.ndarray, key: np.ndarray, df: np.ndarray, buckets: int) -> Iterator[tuple]:
+    return docs.mapInArrow(lambda batches: (chunk(*c) for c in _chunks(batches)), PACKED)
+
+
+def _buckets(doc: np.ndarray, key: np.ndarray, df: np.ndarray, weight: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Rows of ANSWER that deal documents out by a hash of their ids; ``own`` points into ``docs``."""
     b = (_mix(doc.astype("u8")) % np.uint64(buckets)).astype("i4")
     order = np.argsort(b, kind="stable")
-    doc, key, df, b = doc[order], key[order], df[order], b[order]
+    doc, key, df, weight, b = doc[order], key[order], df[order], weight[order], b[order]
     starts, counts = _runs(b)
     for s, n in zip(starts.tolist(), counts.tolist(), strict=True):
         used, own = np.unique(doc[s : s + n], return_inverse=True)
-        yield int(b[s]), used.tobytes(), own.astype("u4").tobytes(), key[s : s + n].tobytes(), np.minimum(df[s : s + n], HOT).astype("u2").tobytes()
-
-
-def _answer(packed: DataFrame, fragments: int, buckets: int) -> DataFrame:
-    """For each shared shingle and document that holds it, (document, shingle, count), packed by bucket of documents.
-
-    Set sizes come with the count 0, in place of a shingle.
+        yield int(b[s]), used.tobytes(), own.astype("u4").tobytes(), key[s : s + n].tobytes(), df[s : s + n].astype("u2").tobytes(), weight[s : s + n].astype("u4").tobytes()
+
+
+def _elements(doc: np.ndarray, key: np.ndarray, flagged: np.ndarray, repeats: bool) -> tuple[np.ndarray, ...]:
+    """(document, element, count, weight) of the shared ones among (document, shingle)."""
+    order = np.lexsort((doc, key)) if repeats else np.argsort(key, kind="stable")
+    doc, key = doc[order], key[order]
+    if repeats and len(key):
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+        doc, key = doc[new], key[new]
+    starts, counts = _runs(key)
+    if not len(key):
+        return doc, key, counts, counts
+    holders = np.add.reduceat(_mix(doc.astype("u8") * MIX[0] + MIX[1]), starts)
+    name = _mix(holders + counts.astype("u8") * MIX[2]) >> np.uint64(64 - BITS)
+    count = np.minimum(counts, HOT - 1)
+    if len(flagged):
+        hot = np.isin(key[starts], flagged)
+        name, count = np.where(hot, key[starts], name), np.where(hot, HOT, count)
+    name, count = np.repeat(name, counts), np.repeat(count, counts)
+    shared = count >= 2
+    doc, name, count = doc[shared], name[shared], count[shared]
+    order = np.lexsort((name, doc))
+    doc, name, count = doc[order], name[order], count[order]
+    if not len(doc):
+        return doc, name, count, count
+    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (name[1:] != name[:-1]))))
+    return doc[first], name[first], count[first], np.diff(first, append=len(doc))
+
+
+def _answer(packed: DataFrame, groups: int, buckets: int, repeats: bool) -> DataFrame:
+    """For each shared element and document that holds it, (document, element, count, weight), packed by bucket of documents.
+
+    Set sizes come with the count 0, in place of an element.
     """
 
     def run(table: pa.Table) -> pa.Table:
         grp = table.column("grp")[0].as_py()
         docs = [np.frombuffer(x, dtype="i8") for x in table.column("docs").to_pylist()]
-        keys = [np.frombuffer(x, dtype="u8") for x in table.column("keys").to_pylist()]
+        keys = [_unpacked(x) for x in table.column("keys").to_pylist()]
         extra = table.column("extra").to_pylist()
-        mask, shift = np.uint64(CHUNK_DOCS), np.uint64(IDX)
-        doc = np.concatenate([d[(k & mask).astype("i8")] for d, k in zip(docs, keys, strict=True)])
-        key = np.concatenate(keys) >> shift
-        if grp >= fragments:
-            every = np.concatenate(docs)
-            sizes = np.concatenate([np.frombuffer(x, dtype="i8") for x in extra])
-            doc, key, df = np.concatenate([doc, every]), np.concatenate([key, sizes.astype("u8")]), np.concatenate([np.full(len(key), HOT), np.zeros(len(every), dtype="i8")])
+        doc = np.concatenate([d[(k & np.uint64(CHUNK_DOCS)).astype("i8")] for d, k in zip(docs, keys, strict=True)])
+        key = np.concatenate(keys) >> np.uint64(IDX)
+        if grp >= groups:
+            every, sizes = np.concatenate(docs), np.concatenate([np.frombuffer(x, dtype="i8") for x in extra])
+            one = np.ones(len(doc) + len(every), dtype="i8")
+            found = np.concatenate([doc, every]), np.concatenate([key, sizes.astype("u8")]), np.concatenate([np.full(len(key), HOT), np.zeros(len(every), dtype="i8")]), one
         else:
-            flagged = np.unique(np.concatenate([np.frombuffer(x, dtype="u8") for x in extra]))
-            order = np.argsort(key, kind="stable")
-            doc, key = doc[order], key[order]
-            _, counts = _runs(key)
-            df = np.repeat(counts, counts)
-            if len(flagged):
-                df = np.where(np.isin(key, flagged), HOT, df)
-            shared = df >= 2
-            doc, key, df = doc[shared], key[shared], df[shared]
-        rows = list(_buckets(doc, key, df, buckets)) or [(0, b"", b"", b"", b"")]
+            found = _elements(doc, key, np.unique(np.concatenate([np.frombuffer(x, dtype="u8") for x in extra])), repeats)
+        rows = list(_buckets(*found, buckets)) or [(0, *[b""] * 5)]
         columns = list(zip(*rows, strict=True))
-        return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["grp", "docs", "own", "keys", "df"])
+        return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["grp", "docs", "own", "keys", "df", "weights"])
 
     return packed.groupBy("grp").applyInArrow(run, ANSWER)
 
 
+UNION = np.uint64(1 << 62)  # marks the size of the union of an id's rows
+
+
+def _union_sizes(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+    """Rows of ANSWER with the set sizes of documents of several rows."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, words, lengths in _chunks(batches):
+            keys = _keys_of(words, lengths, k)
+            own = np.array(ids, dtype="i8")[(keys & np.uint64(CHUNK_DOCS)).astype("i8")]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array((keys >> np.uint64(IDX)).astype("i8"))], names=["doc", "key"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, size = batch.column("doc").to_numpy(), batch.column("n").to_numpy().astype("u8")
+            columns = list(zip(*_buckets(doc, size | UNION, np.zeros(len(doc)), np.ones(len(doc)), buckets), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["grp", "docs", "own", "keys", "df", "weights"])
+
+    return docs.mapInArrow(shingles, "doc long, key long").distinct().groupBy("doc").agg(F.count("*").alias("n")).mapInArrow(rows, ANSWER)
+
+
+NODE = "doc long, n_shingles long, copies long, digest binary, c long, heads array<long>, suffix array<long>, sketch array<long>, segments array<array<long>>"
+
+
+def _sketches(name: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """``SKETCH`` parities for each of ``n`` sets: an element of weight w flips w bits of its own."""
+    out = np.zeros((n, SKETCH // 64), dtype="i8")
+    for lo in range(0, n, 1000):
+        a, b = np.searchsorted(owner, [lo, lo + 1000])
+        w = weight[a:b]
+        nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        bit = _mix(np.repeat(name[a:b], w) * MIX[0] + nth.astype("u8") * MIX[1]) % np.uint64(SKETCH)
+        m = min(1000, n - lo)
+        flips = np.bincount(np.repeat(owner[a:b] - lo, w) * SKETCH + bit.astype("i8"), minlength=m * SKETCH)
+        out[lo : lo + m] = np.packbits((flips & 1).astype("u1").reshape(m, SKETCH), axis=1).view("<i8")
+    return out
+
+
 def _gather(answers: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """doc, n_shingles, copies (rows), and, if enough of the set is shared: digest, set (shared shingles in the global order), head (how many may be the first in common)."""
+    """Rows of NODE. Documents that share enough have their shared weight c, the elements in the head, the
+    weight from each of these on, a sketch, and the fragments of their elements, each as name << 16 | weight; of others these are empty."""
     need, of = share
 
     def run(table: pa.Table) -> pa.Table:
         cat = lambda c, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(c).to_pylist()])
         tables = zip(table.column("docs").to_pylist(), table.column("own").to_pylist(), strict=True)
         doc = np.concatenate([np.frombuffer(d, dtype="i8")[np.frombuffer(o, dtype="u4")] for d, o in tables])
-        key, df = cat("keys", "u8"), cat("df", "u2")
+        key, df, weight = cat("keys", "u8"), cat("df", "u2").astype("i8"), cat("weights", "u4").astype("i8")
         size_row = df == 0
-        of_doc, sizes = doc[size_row], key[size_row].astype("i8")
+        of_doc, sizes = doc[size_row], key[size_row]
         order = np.lexsort((sizes, of_doc))
         of_doc, sizes = of_doc[order], sizes[order]
-        starts, copies = _runs(of_doc)
-        ids, n = of_doc[starts], sizes[starts + copies - 1] if len(starts) else sizes
-        doc, key, df = doc[~size_row], key[~size_row], df[~size_row]
+        starts, rows = _runs(of_doc)
+        ids = of_doc[starts]
+        last = sizes[starts + rows - 1] if len(starts) else sizes
+        copies = rows - (last >= UNION)
+        n = (last & (UNION - np.uint64(1))).astype("i8")
+        doc, key, df, weight = doc[~size_row], key[~size_row], df[~size_row], weight[~size_row]
         order = np.lexsort((key, df, doc))
-        doc, key = doc[order], key[order]
+        doc, key, df, weight = doc[order], key[order], df[order], weight[order]
         if len(doc):
-            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
-            doc, key = doc[new], key[new]
-        lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
-        least = -(-n * need // of)
-        lives = (hi - lo >= least) & (n > 0)
-        heads = np.where(lives, hi - lo - least + 1, 0)
-        sets = [key[a:b].astype("i8") if ok else None for a, b, ok in zip(lo.tolist(), hi.tolist(), lives.tolist(), strict=True)]
-        # sets of equal shared shingles and size are equal: what is not shared is in no other set
-        marks = [xxhash.xxh3_128_digest(np.sort(s).tobytes()) if s is not None and len(s) == m else None for s, m in zip(sets, n.tolist(), strict=True)]
-        return pa.table([pa.array(ids), pa.array(n), pa.array(copies.astype("i8")), pa.array(marks, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(heads.astype("i4"))], names=["doc", "n_shingles", "copies", "digest", "shared", "head"])
-
-    return answers.groupBy("grp").applyInArrow(run, "doc long, n_shingles long, copies long, digest binary, shared array<long>, head int")
-
-
-def _links(pairs: DataFrame, sets: DataFrame, share: tuple[int, int], parts: int) -> DataFrame:
-    """Those of the pairs (a, b) that reach the similarity: overlaps are counted in each range of the order and summed for each pair."""
+            first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (df[1:] != df[:-1]))))
+            weight = np.where(df[first] == HOT, 1, np.add.reduceat(weight, first))
+            doc, key, df = doc[first], key[first], df[first]
+        owner = np.searchsorted(ids, doc)
+        total = np.bincount(owner, weights=weight, minlength=len(ids)).astype("i8")
+        lives = (total * of >= n * need) & (n > 0)
+        kept = lives[owner]
+        owner, key, df, weight = owner[kept], key[kept], df[kept], weight[kept]
+        c = np.where(lives, total, 0)
+        before = np.cumsum(weight) - weight
+        suffix = c[owner] - before + (np.cumsum(c) - c)[owner]
+        in_head = suffix * of >= n[owner] * need
+        in_heads = np.bincount(owner[in_head], minlength=len(ids))
+        # sets of equal shared elements and size are equal: what is not shared is in no other set
+        lo, hi = np.searchsorted(owner, np.arange(len(ids)), "left"), np.searchsorted(owner, np.arange(len(ids)), "right")
+        named = (key << np.uint64(16)) | np.minimum(weight, 0xFFFF).astype("u8")
+        marks = [xxhash.xxh3_128_digest(named[a:b].tobytes()) if ok else None for a, b, ok in zip(lo.tolist(), hi.tolist(), (lives & (c == n)).tolist(), strict=True)]
+        fragment = np.searchsorted(PIVOTS, df, "right")
+        heavy = weight > 0xFFFF  # the rest of a weight that 16 bits can't hold is elements of names of their own
+        if heavy.any():
+            more = weight[heavy] // 0xFFFF
+            nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+            rest = np.minimum(np.repeat(weight[heavy], more) - (nth + 1) * 0xFFFF, 0xFFFF)
+            name = _mix(np.repeat(key[heavy], more) + (nth.astype("u8") + np.uint64(1)) * MIX[3]) >> np.uint64(64 - BITS)
+            extra = (name << np.uint64(16)) | rest.astype("u8")
+            own_all, frag_all, val_all = np.append(owner, np.repeat(owner[heavy], more)), np.append(fragment, np.repeat(fragment[heavy], more)), np.append(named, extra[: len(name)])
+            order = np.lexsort((frag_all, own_all))
+            own_all, frag_all, val_all = own_all[order], frag_all[order], val_all[order]
+        else:
+            own_all, frag_all, val_all = owner, fragment, named
+        pieces = len(PIVOTS) + 1
+        offsets = lambda counts: pa.array(np.append(0, np.cumsum(counts)).astype("i4"))
+        inner = pa.ListArray.from_arrays(offsets(np.bincount(own_all * pieces + frag_all, minlength=len(ids) * pieces)), pa.array(val_all.view("i8")))
+        segments = pa.ListArray.from_arrays(offsets(np.full(len(ids), pieces)), inner)
+        alive = np.flatnonzero(lives)
+        place = np.cumsum(lives) - 1
+        sketch = pa.ListArray.from_arrays(offsets(np.where(lives, SKETCH // 64, 0)), pa.array(_sketches(key, weight, place[owner], len(alive)).ravel()))
+        heads = pa.ListArray.from_arrays(offsets(in_heads), pa.array(key[in_head].astype("i8")))
+        suffixes = pa.ListArray.from_arrays(offsets(in_heads), pa.array(suffix[in_head]))
+        return pa.table(
+            [pa.array(ids), pa.array(n), pa.array(copies.astype("i8")), pa.array(marks, pa.binary()), pa.array(c), heads, suffixes, sketch, segments],
+            names=["doc", "n_shingles", "copies", "digest", "c", "heads", "suffix", "sketch", "segments"],
+        )
+
+    return answers.groupBy("grp").applyInArrow(run, NODE)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) that reach the similarity: partial overlaps are counted in each fragment of the order and summed for each pair."""
     need, of = share
-    top = 64 - IDX
-    cuts = [(p << top) // parts for p in range(parts + 1)]
-    part = lambda p: F.filter("shared", lambda x: (x >= cuts[p]) & (x < cuts[p + 1]))
-    ranges = sets.select("doc", "n_shingles", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), part(p).alias("s")) for p in range(parts)))).alias("r")).select("doc", "n_shingles", F.col("r.p").alias("p"), F.col("r.s").alias("s"))
-    side = lambda name: ranges.select(F.col("doc").alias(name), F.col("n_shingles").alias(f"n_{name}"), "p", F.col("s").alias(f"s_{name}"))
-    asked = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
-    met = asked.join(side("b"), ["b", "p"]).join(side("a"), ["a", "p"])
-    counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.size(F.array_intersect("s_a", "s_b"))).alias("common"))
+    cells = sets.select("doc", "n_shingles", F.posexplode("segments").alias("f", "s")).where(F.size("s") > 0)
+    side = lambda name: cells.select(F.col("doc").alias(name), F.col("n_shingles").alias(f"n_{name}"), "f", F.col("s").alias(f"s_{name}"))
+    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "f"])
+    partial = F.aggregate(F.array_intersect("s_a", "s_b"), F.lit(0).cast("long"), lambda sum_, x: sum_ + x.bitwiseAND(F.lit(0xFFFF)))
+    counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.sum(partial).alias("common"))
     return counted.where(of * F.col("common") >= need * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def _lists(active: DataFrame) -> DataFrame:
-    """One row for each shingle list that could still join components: key, size, and its largest component (big, in_big), a member of its smallest one (small), and its least set size (low).
-
-    Neighbouring shingles of copies have the same members; of lists with equal members one stays. Members are compared
-    by their number and two sums of hashes, which partial aggregates can add up.
-    """
-    by_comp = active.groupBy("key", "comp").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.min("doc").alias("doc"), *(F.sum(F.xxhash64("doc", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)))
-    lists = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("size"), F.min("low").alias("low"), F.max(F.struct("m", F.col("comp").alias("big"))).alias("b"), F.min(F.struct("m", "doc")).alias("s"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).where("comps > 1")
-    return lists.groupBy("size", "h1", "h2").agg(F.min(F.struct("key", F.col("b.big").alias("big"), F.col("b.m").alias("in_big"), F.col("s.doc").alias("small"), "low")).alias("k")).select("k.*", "size")
+def _may_link(share: tuple[int, int], x: str, y: str) -> Column:
+    """Whether the sizes of two sets, and the weights from their first common element on, allow a link."""
+    need, of = share
+    of_x, of_y = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (of * F.least(of_x, of_y) >= need * F.greatest(of_x, of_y)) & ((need + of) * F.least(f"{x}.suffix", f"{y}.suffix") >= need * (of_x + of_y))
 
 
-def _resolve(sets: DataFrame, share: tuple[int, int], parts: int) -> DataFrame:
-    """node, component for every representative that links with another: rounds of candidates as the module says."""
+def _sketches_near(share: tuple[int, int], x: str, y: str) -> Column:
+    """Whether the sketches allow a link: shared weights less the differing bits are twice the overlap at least."""
     need, of = share
-    active = sets.select("doc", F.col("n_shingles").alias("n"), F.size("shared").alias("c"), F.col("doc").alias("comp"), F.explode(F.slice("shared", F.lit(1), F.col("head"))).alias("key"))
-    # c shared shingles can't be overlap enough for sizes n and m: sets drop out of a list in which that holds for all
-    may_share = lambda c, n, m: (need + of) * c >= need * (n + m)
-    lists, found, turn = cut(_lists(active)), None, 0
-    while lists.limit(1).count():
-        chance = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(1_000_000)) / 1e6
-        rest = F.col("size") - F.col("in_big")
-        if turn < HUB_TURNS:  # chosen by a hash of the document alone, so lists of one group of copies have the same hubs
-            pick = (F.col("size") >= LONG_LIST) & (chance * F.col("size") < HUBS)
-        else:
-            pick = (F.col("comp") != F.col("big")) & (chance * rest * F.col("size") < PAIRS_IN_LIST)
-        hub = pick | (F.col("doc") == F.col("small"))
-        met = active.join(lists, "key").where(may_share(F.col("c"), F.col("n"), F.greatest(F.col("low"), F.ceil(F.col("n") * need / of))))
-        met = cut(met.select("key", "doc", "n", "c", "comp", hub.alias("hub")))
-        hubs = met.where("hub").select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("comp").alias("comp2"))
-        fits = may_share(F.least("c", "c2"), F.col("n"), F.col("n2")) & (of * F.least("n", "n2") >= need * F.greatest("n", "n2")) & (F.col("comp") != F.col("comp2")) & (~F.col("hub") | (F.col("doc") < F.col("doc2")))
-        pairs = cut(met.join(hubs, "key").where(fits).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct())
-        links = _links(pairs, sets, share, parts)
-        found = contract(links if found is None else found.union(links))
-        left = met.where("not hub").select("doc", "n", "c", "key").join(labels(found).withColumnRenamed("node", "doc"), "doc", "left")
-        active = cut(left.select("doc", "n", "c", F.coalesce("component", "doc").alias("comp"), "key"))
-        lists = cut(_lists(active))
-        turn += 1
-    none = sets.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
-    return connected_components(none if found is None else found)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, share: tuple[int, int] = SHARE, parts: int = PARTS) -> DataFrame:
+    bits = sum((F.bit_count(F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    return (need + of) * (F.col(f"{x}.c") + F.col(f"{y}.c") - bits) >= 2 * need * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def _components_of(entries: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``entries`` with the component that links have given each document so far."""
+    if found is None:
+        return entries.withColumn("comp", F.col("doc"))
+    known = labels(found).select(F.col("node").alias("doc"), "component")
+    return entries.join(known, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+
+
+def _hub_pairs(entries: DataFrame, share: tuple[int, int], turn: int) -> DataFrame:
+    """Pairs (a, b) of each list's hub with the others outside its component."""
+    first = F.col("unshared") if turn == 0 else F.lit(0)
+    lists = entries.groupBy("key").agg(F.min(F.struct(first.alias("u"), F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "suffix", "comp")).alias("y"), F.count("*").alias("size")).where("size > 1")
+    met = entries.select("key", F.struct("doc", "n", "suffix", "comp").alias("x")).join(lists.select("key", "y"), "key")
+    return met.where((F.col("x.comp") != F.col("y.comp")) & _may_link(share, "x", "y")).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+
+
+def _open_lists(entries: DataFrame) -> DataFrame:
+    """key, pairs (of different components), size of each list that could still join components."""
+    by_comp = entries.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    lists = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("squares"))
+    return lists.where("comps > 1").select("key", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("pairs"), "size")
+
+
+def _rest_pairs(entries: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different components in one list that the bounds let link."""
+    whole = cut(entries.join(sets.select("doc", "c", "sketch"), "doc").select("key", F.struct("doc", "n", "suffix", "comp", "c", "sketch").alias("x")))
+    met = whole.join(whole.withColumnRenamed("x", "y"), "key")
+    may = (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _may_link(share, "x", "y") & _sketches_near(share, "x", "y")
+    return met.where(may).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
+
+def _resolve(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """node, component for every representative that links with another: hubs, then the rest, as the module says."""
+    unshared = F.floor(1000 * (F.col("n_shingles") - F.col("c")) / F.col("n_shingles")).cast("int")
+    entries = cut(sets.select("doc", F.col("n_shingles").alias("n"), unshared.alias("unshared"), F.explode(F.arrays_zip("heads", "suffix")).alias("e")).select("doc", "n", "unshared", F.col("e.heads").alias("key"), "e.suffix"))
+    found, turn, last = None, 0, float("inf")
+    while True:
+        links = _links(cut(_hub_pairs(_components_of(entries, found), share, turn)), sets, share)
+        found, turn = contract(links if found is None else found.union(links)), turn + 1
+        now = cut(_components_of(entries, found))
+        lists = cut(_open_lists(now))
+        entries = now.join(lists.select("key"), "key", "left_semi").drop("comp")
+        cost, size = lists.agg(F.sum("pairs"), F.sum("size")).first()
+        if cost is None:
+            return connected_components(found)
+        if cost <= PAIRS_FOR_ENTRY * size or cost > last / 2:
+            break
+        entries, last = cut(entries), cost
+    rest = cut(_rest_pairs(now.join(lists.select("key"), "key", "left_semi"), sets, share))
+    return connected_components(found.union(_links(rest, sets, share)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, share: tuple[int, int] = SHARE) -> DataFrame:
     """One row for each document: id, n_shingles, component_id (the least id reachable by links), copies (its rows).
 
     Words are split at space, tab, line feed, vertical tab, form feed and carriage return; A-Z are lower-cased. Fewer
     words than ``k`` make one shingle; documents without words, or with a null text, have none and link with nothing.
-    Rows that repeat an id are one document, whose set is that of all its rows and whose size is the largest row's;
-    rows with a null id are left out. Ids are integers. Other columns are not read.
+    Rows that repeat an id are one document, whose set is the union of its rows' sets; rows with a null id are left
+    out. Ids are integers. Other columns are not read, so their names can't clash.
     """
     spark = docs.sparkSession
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("raw"))
     size = given.agg(F.sum(F.octet_length("raw")).alias("b")).first().b or 0
-    fragments = max(4, -(-size // (6 * FRAGMENT)))
-    nodes = cut(_gather(_answer(_pack(given, fragments, k), fragments, fragments), share))
+    groups = max(4, -(-size // (6 * FRAGMENT)))
+    hot = max(2, min(HOT_IN_CHUNK, GROUP_ENTRIES * CHUNK_WORDS * 6 // max(size, 1)))
+    repeated = cut(given.groupBy("doc").agg(F.count("*").alias("m")).where("m > 1").select("doc"))
+    repeats = repeated.limit(1).count() > 0
+    answers = _answer(_pack(given, groups, k, hot), groups, groups, repeats)
+    if repeats:
+        answers = answers.unionByName(_union_sizes(given.join(repeated, "doc", "left_semi"), k, groups))
+    nodes = cut(_gather(answers, share))
     release(spark)
-    alive = nodes.where("shared is not null")
+    alive = nodes.where("size(heads) > 0")
     equal = alive.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("m")).where("m > 1").select("digest", "rep")
     member = cut(alive.where("digest is not null").select("doc", "digest").join(equal, "digest").select("doc", "rep"))
     copies = member.where("doc <> rep").select("doc")
-    sets = cut(alive.select("doc", "n_shingles", "shared", "head").join(copies, "doc", "left_anti"))
-    release(spark)
-    comps = _resolve(sets, share, parts)
+    sets = cut(alive.drop("copies", "digest").join(copies, "doc", "left_anti"))
+    comps = _resolve(sets, share)
     via = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
     placed = comps.join(member.select(F.col("doc").alias("node")), "node", "left_anti").select(F.col("node").alias("doc"), "component").union(via)
     return nodes.select("doc", "n_shingles", "copies").join(placed, "doc", "left").select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"), "copies")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that with the least id, and of rows that repeat it one. Rows with a null id stay."""
+    """``docs`` with one document of each group: that with the least id, and of rows that repeat it the least by its
+    columns that can be ordered. Rows with a null id stay. No column name can clash."""
+    own, repeated = (free_name(docs, x) for x in ("doc", "repeated"))
     found = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-    marks = cut(found.select(F.col(id_col).alias("__doc"), (F.col("copies") > 1).alias("__repeated")))
-    of = lambda rows: docs.join(rows.select("__doc"), F.col(id_col) == F.col("__doc"), "left_semi")
-    kept = of(marks.where("not __repeated")).unionByName(docs.where(F.col(id_col).isNull()))
-    repeated = marks.where("__repeated")
-    if not repeated.limit(1).count():
+    marks = cut(found.select(F.col(id_col).alias(own), (F.col("copies") > 1).alias(repeated)))
+    of = lambda rows: docs.join(rows.select(own), F.col(id_col).cast("long") == F.col(own), "left_semi")
+    kept = of(marks.where(f"not {repeated}")).unionByName(docs.where(F.col(id_col).isNull()))
+    several = marks.where(repeated)
+    if not several.limit(1).count():
         return kept
-    one = of(repeated).groupBy(F.col(id_col).alias("__doc")).agg(F.min(F.struct(*docs.columns)).alias("r"))
-    return kept.unionByName(one.select(*(F.col(f"r.{c}").alias(c) for c in docs.columns)))
+    ordered = [f.name for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    one = of(several).groupBy(F.col(id_col).alias(own)).agg(F.min_by(F.struct(*quoted(docs.columns)), F.struct(*quoted(ordered))).alias("r"))
+    return kept.unionByName(one.select(*(F.col("r")[c].alias(c) for c in docs.columns)))

@@ -41,7 +41,8 @@ def corpus(seed, n=160):
 def test_families_around_the_threshold(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(ngram_join, "HOT_IN_CHUNK", hot)
     monkeypatch.setattr(ngram_join, "CHUNK_WORDS", 700)
-    monkeypatch.setattr(ngram_join, "PAIRS_IN_LIST", 60 if hot == 3 else 40_000)
+    monkeypatch.setattr(ngram_join, "PAIRS_FOR_ENTRY", 0 if hot == 3 else 1000)
+    monkeypatch.setattr(ngram_join, "PIVOTS", (2, 4, 9) if hot == 3 else ngram_join.PIVOTS)
     rows = corpus(seed)
     assert as_dict(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
 
@@ -53,6 +54,40 @@ def test_edges(spark):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_one_union(spark):
+    word = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(1, word(0, 30)), (1, word(100, 130)), (2, word(0, 32)), (3, word(100, 131)), (1, word(0, 30)), (4, "a b"), (4, "a b"), (5, "a  b")]
+    got = as_dict(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == {1: (52, 1), 2: (28, 2), 3: (27, 3), 4: (1, 4), 5: (1, 4)}
+
+
+def test_weights_of_more_than_16_bits(spark):
+    rng = random.Random(5)
+    long = [str(rng.randrange(10**9)) for _ in range(150_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:130_000])), (3, " ".join(long[20_000:] + long[:100])), (4, " ".join(long[:70_000]))]
+    got = as_dict(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == plain(rows)
+
+
+def test_many_near_copies_of_texts(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "CHUNK_WORDS", 2000)
+    assert as_dict(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+
+
+def test_keep_one_with_clashing_and_unordered_columns(spark):
+    frame = spark.sql("SELECT id % 3 AS doc_id, 'own text ' || id % 3 AS text, map('k', id) AS _doc, id AS `a.b`, id AS _repeated FROM range(6)")
+    got = ngram_join.keep_one(frame)
+    assert got.columns == frame.columns and sorted(r.doc_id for r in got.collect()) == [0, 1, 2]
+
+
 def test_keep_one(spark):
     long = " ".join(f"w{i}" for i in range(200))
     rows = [(3, long, 7), (2, long + " more", None), (2, long + " more", None), (None, long, 1), (9, None, 2), (9, None, 2), (4, "own text of five words", 3)]
