@@ -20,8 +20,9 @@ def normalize_digits(c: Column) -> Column:
 def parse_numeral(c: Column) -> Column:
     """The number that a numeral states, or null.
 
-    Plain digits and runs of digit characters are read by place; with units, each digit counts by the unit after it, a
-    unit without a digit counts once, and what stands before the ten-thousands mark counts that many times.
+    Plain digits and runs of digit characters are read by place; with units, each digit counts by the unit after it, and
+    what stands before the ten-thousands mark counts that many times. A unit without a digit before it counts nothing,
+    but for a ten that begins the numeral, which counts once.
     """
     text = normalize_digits(c)
     plain = F.translate(text, "".join(DIGITS), "".join(map(str, DIGITS.values())))
@@ -31,8 +32,10 @@ def parse_numeral(c: Column) -> Column:
 
     def step(a: Column, x: Column) -> Column:
         held = F.when(a["digit"] >= 0, a["digit"]).otherwise(0)
+        first_ten = (F.try_element_at(unit, x) == 10) & (a["section"] == 0) & (a["total"] == 0)
+        base = F.when(a["digit"] > 0, a["digit"]).when(first_ten, 1).otherwise(0)
         big = F.struct(((a["section"] + held) * 10000 + a["total"]).alias("total"), F.lit(0).cast("long").alias("section"), F.lit(-1).cast("long").alias("digit"))
-        by_unit = F.struct(a["total"].alias("total"), (a["section"] + F.when(a["digit"] >= 0, a["digit"]).otherwise(1) * F.try_element_at(unit, x)).cast("long").alias("section"), F.lit(-1).cast("long").alias("digit"))
+        by_unit = F.struct(a["total"].alias("total"), (a["section"] + base * F.try_element_at(unit, x)).cast("long").alias("section"), F.lit(-1).cast("long").alias("digit"))
         by_digit = F.struct(a["total"].alias("total"), a["section"].alias("section"), F.coalesce(x.try_cast("long"), F.lit(0).cast("long")).alias("digit"))
         return F.when(x == BIG, big).when(F.try_element_at(unit, x).isNotNull(), by_unit).otherwise(by_digit)
 

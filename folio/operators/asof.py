@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.checkpoints import cut
+from folio.functions.text import free_name
 
-def asof_last(points: DataFrame, facts: DataFrame, key: str, at: str, value: list[str], fact_at: str | None = None, tie: str | None = None) -> DataFrame:
+
+def asof_last(points: DataFrame, facts: DataFrame, key: str | list[str], at: str, value: list[str], fact_at: str | None = None, tie: str | None = None, undated: bool = False) -> DataFrame:
     """``points`` with the fact columns of the latest fact at or before each point, of one key; null if there is none.
 
     Both sides go through one shuffle by key and a running last value: no range join, so a key with many facts costs
-    its own rows once. Of facts at one position the largest ``tie`` counts.
+    its own rows once. Of facts at one position the largest ``tie`` counts. Facts without a position are left out or,
+    if ``undated``, come before all others.
     """
-    fact_at = fact_at or at
-    fact = facts.where(F.col(fact_at).isNotNull()).select(key, F.col(fact_at).alias("__at"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("__tie"), F.struct(*value).alias("__fact"))
-    point = points.select(key, F.col(at).alias("__at"), F.lit(None).cast("long").alias("__tie"), F.struct(*points.columns).alias("__point"))
+    fact_at, keys = fact_at or at, [key] if isinstance(key, str) else key
+    fact = (facts if undated else facts.where(F.col(fact_at).isNotNull())).select(*keys, F.col(fact_at).alias("__at"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("__tie"), F.struct(*value).alias("__fact"))
+    point = points.select(*keys, F.col(at).alias("__at"), F.lit(None).cast("long").alias("__tie"), F.struct(*points.columns).alias("__point"))
     both = fact.unionByName(point, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy("__at", F.col("__point").isNotNull(), "__tie").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*keys).orderBy("__at", F.col("__point").isNotNull(), "__tie").rowsBetween(W.unboundedPreceding, 0)
     got = both.withColumn("__fact", F.last("__fact", ignorenulls=True).over(w)).where("__point is not null")
     return got.select("__point.*", *(F.col(f"__fact.{v}").alias(f"asof_{v}") for v in value))
 
@@ -25,36 +29,60 @@ def asof_last(points: DataFrame, facts: DataFrame, key: str, at: str, value: lis
 def visible_attributes(points: DataFrame, facts: DataFrame, key: str, at: str, name: str, value: str, fact_at: str, tie: str) -> DataFrame:
     """For each point the latest value of every attribute known by then; attributes without a position are always known, and come first.
 
-    One row for each point and attribute. The join is by key; keys with many facts should go through ``asof_last`` by attribute.
+    One row for each point and attribute that has a value. Points meet the distinct attribute names of their key, as many
+    rows as the result may have, and then one running last value by key and attribute: facts are never paired with points.
     """
-    met = points.join(facts.select(key, name, value, F.col(fact_at).alias("__from"), F.col(tie).alias("__tie")), key).where(F.col("__from").isNull() | (F.col("__from") <= F.col(at)))
-    rank = F.struct(F.col("__from").isNotNull().alias("a"), F.col("__from").alias("b"), F.col("__tie").alias("c"))
-    return met.groupBy(*points.columns, name).agg(F.max_by(value, rank).alias(value))
+    asked = points.join(facts.where(F.col(name).isNotNull()).select(key, F.col(name).alias(name)).distinct(), key)
+    got = asof_last(asked, facts.select(key, name, F.col(fact_at).alias("__from"), F.col(tie).alias("__tie0"), F.struct(F.col(value).alias("v")).alias("__value")), [key, name], at, ["__value"], fact_at="__from", tie="__tie0", undated=True)
+    return got.where("asof___value is not null").select(*points.columns, name, F.col("asof___value.v").alias(value))
+
+
+RADIX = 4  # blocks of one level that make a block of the next
+
+
+def _blocks(start: Column, end: Column, levels: int) -> Column:
+    """array<struct<level, block>>: aligned blocks of RADIX ** level positions that cover [start, end] once, largest in the middle."""
+    none = F.array().cast("array<struct<level:int,block:bigint>>")
+    span = lambda level, a, b: F.when(a <= b, F.transform(F.sequence(a, b), lambda x: F.struct(level.cast("int").alias("level"), x.cast("long").alias("block")))).otherwise(none)
+    up = lambda x: F.ceil(x / RADIX).cast("long")
+    down = lambda x: F.floor((x + 1) / RADIX).cast("long")
+
+    def step(s: Column, level: Column) -> Column:
+        lo, hi = s["lo"], s["hi"]
+        next_lo, next_hi = up(lo), down(hi) - 1
+        inside = (level < levels) & (next_lo <= next_hi)
+        left = span(level, lo, F.when(inside, next_lo * RADIX - 1).otherwise(hi))
+        right = F.when(inside, span(level, (next_hi + 1) * RADIX, hi)).otherwise(none)
+        return F.struct(F.when(inside, next_lo).otherwise(1).alias("lo"), F.when(inside, next_hi).otherwise(0).alias("hi"), F.concat(s["out"], left, right).alias("out"))
+
+    zero = F.struct(start.cast("long").alias("lo"), end.cast("long").alias("hi"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), zero, step, lambda s: s["out"])
 
 
 def stab(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, value: list[str], closed: bool = True, tie: str | None = None) -> DataFrame:
-    """``points`` with the interval of their key that holds them; an open end is endless, and of several the latest start wins.
-    Equal points give one row.
+    """``points`` with the interval of their key that holds them; an open end is endless, and of several the latest start wins, then the largest ``tie``.
 
-    ``closed`` says whether the end belongs to the interval. The latest start at or before a point needn't be an
-    interval that still holds, so candidates are joined by key and tested; skewed keys are split at run time.
+    Positions are integers; repeated points keep their rows. ``closed`` says whether the end belongs to the interval; one
+    that ends before it starts, or has no start, holds nothing. Each interval is cut into aligned blocks, of a few sizes,
+    of which one winner stays for each key and block, so a point meets one row for each block size and no two sides of a
+    key are ever paired.
     """
-    ends = F.coalesce(F.col(end), F.lit(2**62)) if closed else F.coalesce(F.col(end), F.lit(2**62)) - 1
-    side = intervals.select(key, F.col(start).alias("__s"), ends.alias("__e"), (F.col(tie) if tie else F.lit(0)).alias("__t"), F.struct(*value).alias("__v"))
-    met = points.join(side, key, "left")
-    held = (F.col("__s") <= F.col(at)) & (F.col(at) <= F.col("__e"))
-    best = met.groupBy(*points.columns).agg(F.max_by(F.when(held, F.col("__v")), F.when(held, F.struct("__s", "__t"))).alias("__v"))
-    return best.select(*points.columns, *(F.col(f"__v.{v}").alias(f"held_{v}") for v in value))
-
-
-def binned_stab(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, value: list[str], width: int, tie: str) -> DataFrame:
-    """``stab`` for long timelines: closed intervals are cut into bins of ``width`` positions, and points meet those of their bin only."""
-    bins = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))
-    side = intervals.where(F.col(end) >= F.col(start)).select(key, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(tie).alias("__t"), F.struct(*value).alias("__v"), bins.alias("__bin"))
-    met = points.withColumn("__bin", F.floor(F.col(at) / width)).join(side, [key, "__bin"], "left")
-    held = F.col(at).between(F.col("__s"), F.col("__e"))
-    best = met.groupBy(*points.columns).agg(F.max_by(F.when(held, F.col("__v")), F.when(held, F.struct("__s", "__t"))).alias("__v"))
-    return best.select(*points.columns, *(F.col(f"__v.{v}").alias(f"held_{v}") for v in value))
+    low, high = points.select(F.col(at).alias("x")).unionByName(intervals.select(F.col(start).alias("x"))).agg(F.min("x"), F.max("x")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    levels, size = 0, high - low + 1
+    while size > RADIX:
+        size, levels = -(-size // RADIX), levels + 1
+    last = F.least(F.coalesce(F.col(end) if closed else F.col(end) - 1, F.lit(high)), F.lit(high))
+    side = intervals.where(F.col(start).isNotNull() & (F.col(start) <= last)).select(key, F.col(start).alias("s"), (F.col(tie) if tie else F.lit(0)).alias("t"), F.struct(*value).alias("v"), F.explode(_blocks(F.col(start) - low, last - low, levels)).alias("b"))
+    winners = side.groupBy(key, "b.level", "b.block").agg(F.max_by("v", F.struct("s", "t")).alias("v"), F.max(F.struct("s", "t")).alias("r"))
+    row, own = free_name(points, "row"), [F.col(c) for c in points.columns]
+    asked = points.withColumn(row, F.monotonically_increasing_id())
+    asked = cut(asked)  # ids must not change between the two uses of the rows
+    place = F.col(at).cast("long") - low
+    looked = asked.select(key, row, F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.floor(place / RADIX**n).cast("long").alias("block")) for n in range(levels + 1)))).alias("b"))
+    met = looked.select(key, row, "b.level", "b.block").join(winners, [key, "level", "block"])
+    best = met.groupBy(row).agg(F.max_by("v", "r").alias("v"))
+    return asked.join(best, row, "left").select(*own, *(F.col(f"v.{v}").alias(f"held_{v}") for v in value))
 
 
 def change_intervals(events: DataFrame, key: str, at: str, tie: str, value: str, clear: str = "CLEAR") -> DataFrame:

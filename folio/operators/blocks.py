@@ -46,7 +46,7 @@ def run_kind(text: Column, lex: Lexicon = LATIN) -> Column:
     return F.when(t.rlike(lex.message), "MESSAGE_LOG").when(t.rlike(lex.script), "SCRIPT").when(t.rlike(lex.list_item), "LIST")
 
 
-def islands(rows: DataFrame, keys: list[str], order: str, kind: str) -> DataFrame:
+def islands(rows: DataFrame, keys: list[str], order: str | list[str], kind: str) -> DataFrame:
     """``rows`` with ``island``: neighbours of one kind in ``order`` share a number; rows without a kind have none."""
     w = W.partitionBy(*keys).orderBy(order)
     rows = rows.withColumn("__rn", F.row_number().over(w))

@@ -122,13 +122,14 @@ def shortcut(kind: Column, candidates: Column) -> Column:
 
 
 def speaker_ref(speaker: Column, local_map: Column) -> Column:
-    """A stable token from a local one: ``entity:ID``, ``narrator`` or ``unknown``; null for a local id that isn't in the map."""
-    return F.when(speaker == "NARRATOR", "narrator").when(speaker == "UNKNOWN", "unknown").otherwise(F.concat(F.lit("entity:"), F.try_element_at(local_map, speaker).cast("string")))
+    """A stable token from a local one: ``CHARACTER:ID``, ``NARRATOR`` or ``UNKNOWN``; null for a local id that isn't in the map."""
+    return F.when(speaker.isin("NARRATOR", "UNKNOWN"), speaker).otherwise(F.concat(F.lit("CHARACTER:"), F.try_element_at(local_map, speaker).cast("string")))
 
 
 def decode_ref(token: Column) -> Column:
-    kind = F.when(token.isin("narrator", "unknown"), token).when(token.rlike(r"^entity:\d+$"), "entity")
-    return F.struct(kind.alias("kind"), F.nullif(F.regexp_extract(token, r"^entity:(\d+)$", 1), F.lit("")).try_cast("long").alias("id"))
+    """struct<kind, id> of a stable token; nulls for anything else, local ids too."""
+    kind = F.when(token.isin("NARRATOR", "UNKNOWN"), token).when(token.rlike(r"^CHARACTER:\d+$"), "CHARACTER")
+    return F.struct(kind.alias("kind"), F.nullif(F.regexp_extract(token, r"^CHARACTER:(\d+)$", 1), F.lit("")).try_cast("long").alias("id"))
 
 
 def agreement(rule: Column, student: Column, teacher: Column) -> Column:
@@ -150,11 +151,21 @@ def encode_lines(rows: DataFrame, columns: list[str], version: int = 2) -> DataF
 
 
 def decode_lines(lines: DataFrame, schema: str, version: int = 2) -> DataFrame:
-    """Rows of JSON lines of the given version; older and damaged ones are left out."""
+    """Rows of JSON lines of the given version; damaged ones are left out, and older ones are what ``legacy_lines`` reads."""
     parsed = lines.select(F.from_json("value", f"schemaVersion int, {schema}", {"mode": "PERMISSIVE"}).alias("r"))
     return parsed.where(F.col("r.schemaVersion") == version).select("r.*").drop("schemaVersion")
 
 
+def legacy_lines(lines: DataFrame, version: int = 2) -> DataFrame:
+    """segment_id, text, raw_speaker, schema_version, speaker_resolvable (never) of JSON lines of older versions, or of none, which is the first.
+
+    Their speakers are local ids of a run that is gone, so they are shown, never resolved.
+    """
+    parsed = lines.where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", "schemaVersion int, segment_id long, text string, speaker string", {"mode": "PERMISSIVE"}).alias("r"))
+    n = F.coalesce("r.schemaVersion", F.lit(1))
+    return parsed.where(n < version).select(F.coalesce("r.segment_id", F.lit(0).cast("long")).alias("segment_id"), F.coalesce("r.text", F.lit("")).alias("text"), F.coalesce("r.speaker", F.lit("")).alias("raw_speaker"), n.alias("schema_version"), F.lit(False).alias("speaker_resolvable"))
+
+
 def runner_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Outcome counts, coverage and accepted share of each run."""
     n = F.count("*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,16 +72,37 @@ def recall_at(rows: DataFrame, ks: list[int], keys: list[str] | None = None) ->
     return rows.groupBy(*(keys or [])).agg(n.alias("n"), *(F.coalesce(F.count_if(F.col("gold_rank") <= k) / n, F.lit(0.0)).alias(f"recall_at_{k}") for k in ks), F.avg("gold_rank").alias("rank_mean"), F.avg("size").alias("size_mean"), F.median("size").alias("size_median"), F.max("size").alias("size_max"))
 
 
+RANGES = 1024
+
+
 def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], keys: list[str]) -> DataFrame:
-    """Percentiles by index floor(share * n), capped at the last, in ascending order; not interpolated.
+    """Percentiles by index floor(share * n), capped at the last, in ascending order; not interpolated. Nulls are left out.
 
-    Counts by value come first and a running sum finds the index, so a group's values are never gathered in an array.
+    Each key's values are dealt into ranges between its least and its greatest; counts of the ranges tell in which one
+    each percentile lies, and only the values of those ranges are ordered.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    upto = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(W.partitionBy(*keys)))
-    index = lambda p: F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)
-    return upto.groupBy(*keys).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") > index(p), F.col(value))).alias(name) for name, p in shares.items()))
+    names = [f"__k{i}" for i in range(len(keys))]
+    given = rows.where(F.col(value).isNotNull()).select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(value).alias("v"))
+    ends = given.groupBy(*names).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    width = (F.col("hi").cast("double") - F.col("lo").cast("double")) / RANGES
+    part = F.when(width > 0, F.least(F.floor((F.col("v").cast("double") - F.col("lo").cast("double")) / width), F.lit(RANGES - 1))).otherwise(0)
+
+    def meet(left: DataFrame, right: DataFrame, also: list[str]) -> DataFrame:
+        """Rows of both sides with equal keys, nulls being equal."""
+        side = right.select(*(F.col(n).alias(f"{n}_") for n in [*names, *also]), *(c for c in right.columns if c not in [*names, *also]))
+        return left.join(side, reduce(lambda x, n: x & F.col(n).eqNullSafe(F.col(f"{n}_")), [*names, *also], F.lit(True))).drop(*(f"{n}_" for n in [*names, *also]))
+
+    dealt = meet(given, ends, []).select(*names, "v", part.alias("part"))
+    w = W.partitionBy(*names).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    counts = dealt.groupBy(*names, "part").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).withColumn("n", F.sum("c").over(W.partitionBy(*names)))
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1).alias("index")) for name, p in shares.items()))
+    asked = counts.select(*names, "part", "before", "c", "n", F.explode(wanted).alias("w")).where((F.col("w.index") >= F.col("before")) & (F.col("w.index") < F.col("before") + F.col("c")))
+    found = asked.select(*names, "part", "n", F.col("w.name").alias("name"), (F.col("w.index") - F.col("before")).alias("index"))
+    inner = meet(dealt, found.select(*names, "part").distinct(), ["part"]).groupBy(*names, "part", "v").agg(F.count("*").alias("c"))
+    upto = inner.withColumn("upto", F.sum("c").over(W.partitionBy(*names, "part").orderBy("v").rowsBetween(W.unboundedPreceding, 0))).drop("c")
+    met = meet(found, upto, ["part"]).where("upto > index")
+    out = met.groupBy(*names).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares))
+    return out.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), "n", *shares)
 
 
 def latency_summary(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:

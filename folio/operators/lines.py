@@ -56,10 +56,13 @@ def lines_without_text(lines: DataFrame) -> DataFrame:
 
 
 def read_lines(offsets: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Line texts decoded on demand from byte spans: only the asked lines' texts are cut out of their documents."""
-    both = offsets.join(docs.select(id_col, F.col(text_col).alias("__text")), id_col)
-    raw = F.substring(F.col("__text").cast("binary"), F.col("byte_start").cast("int") + 1, (F.col("byte_end") - F.col("byte_start")).cast("int"))
-    return both.select(*offsets.columns, raw.cast("string").alias("text"))
+    """Line texts decoded on demand from byte spans: the asked spans of a document meet its text once, and are cut out of it there."""
+    asked = offsets.groupBy(id_col).agg(F.collect_list(F.struct(*(c for c in offsets.columns if c != id_col))).alias("__asked"))
+    both = asked.join(docs.select(id_col, F.col(text_col).cast("binary").alias("__raw")), id_col)
+    cut_out = lambda s: F.substring(F.col("__raw"), s["byte_start"].cast("int") + 1, (s["byte_end"] - s["byte_start"]).cast("int")).cast("string")
+    texts = F.transform("__asked", lambda s: F.struct(s.alias("s"), cut_out(s).alias("text")))
+    rows = both.select(id_col, F.explode(texts).alias("__r"))
+    return rows.select(*(F.col(c) if c == id_col else F.col(f"__r.s.{c}").alias(c) for c in offsets.columns), "__r.text")
 
 
 def not_text(c: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.functions.text import free_name
+
 
 def chance(seed: int, *ids: Column) -> Column:
     return F.xxhash64(F.lit(seed), *ids)
@@ -18,16 +20,39 @@ def md5_order(seed: int, c: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), c.cast("string")).cast("binary"))
 
 
+def ranked(rows: DataFrame, keys: list[str], order: Column, into: str) -> DataFrame:
+    """``rows`` with ``into``: the place from 1 of each row of its key by ``order`` (a string or an integer).
+
+    A key is dealt into ranges of the order by its leading characters or bits; ranges are counted, and rows are numbered
+    within their range from its first place on. So neither a hot key nor the whole table is sorted in one task.
+    """
+    o, b, before = free_name(rows, "order"), free_name(rows, "range"), free_name(rows, "before")
+    rows = rows.withColumn(o, order)
+    text = rows.schema[o].dataType.typeName() == "string"
+    rows = rows.withColumn(b, F.left(o, F.lit(3)) if text else F.shiftright(F.col(o).cast("long"), 52))
+    w = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, b).agg(F.count("*").alias("n")).withColumn(before, F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
+    renamed = [(k, free_name(rows, f"k_{k}")) for k in [*keys, b]]
+    side = counts.select(*(F.col(k).alias(n) for k, n in renamed), before)
+    same = F.lit(True)
+    for k, n in renamed:
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    met = rows.join(side, same)
+    place = F.row_number().over(W.partitionBy(*keys, b).orderBy(o)) + F.col(before)
+    return met.withColumn(into, place).drop(o, b, before, *(n for _, n in renamed))
+
+
 def stratified_split(rows: DataFrame, stratum: str, order: Column, parts: list[tuple[str, float]]) -> DataFrame:
-    """``rows`` with split: each stratum is cut at the cumulative shares, by ``order``."""
-    w = W.partitionBy(stratum).orderBy(order)
-    at = (F.row_number().over(w) - 1) / F.count("*").over(W.partitionBy(stratum))
-    rows = rows.withColumn("__at", at)
+    """``rows`` with split: each stratum is cut at the cumulative shares, by ``order``. A stratum may hold most rows."""
+    at, n, key = free_name(rows, "at"), free_name(rows, "n"), free_name(rows, "stratum")
+    sizes = rows.groupBy(F.col(stratum).alias(key)).agg(F.count("*").alias(n))
+    placed = ranked(rows, [stratum], order, at).join(sizes, F.col(stratum).eqNullSafe(F.col(key)))
+    share = (F.col(at) - 1) / F.col(n)
     upto, split = 0.0, None
-    for name, share in parts[:-1]:
-        upto += share
-        split = F.when(F.col("__at") < upto, name) if split is None else split.when(F.col("__at") < upto, name)
-    return rows.withColumn("split", split.otherwise(parts[-1][0]) if split is not None else F.lit(parts[-1][0])).drop("__at")
+    for name, part in parts[:-1]:
+        upto += part
+        split = F.when(share < upto, name) if split is None else split.when(share < upto, name)
+    return placed.withColumn("split", split.otherwise(parts[-1][0]) if split is not None else F.lit(parts[-1][0])).drop(at, n, key)
 
 
 def group_split(rows: DataFrame, group: str, order: Column, train: float, dev: float, overrides: DataFrame | None = None) -> DataFrame:
@@ -41,9 +66,9 @@ def group_split(rows: DataFrame, group: str, order: Column, train: float, dev: f
     n = free.count()
     n_dev = max(1, round(n * dev)) if n >= 3 else 0
     n_test = max(1, n - round(n * train) - n_dev) if n >= 3 else 0
-    ranked = free.withColumn("__rn", F.row_number().over(W.orderBy(order)))
+    placed = ranked(free.withColumn("__all", F.lit(0)), ["__all"], order, "__rn")
     split = F.when(F.col("__rn") <= n - n_dev - n_test, "train").when(F.col("__rn") <= n - n_test, "dev").otherwise("test")
-    named = ranked.select(group, split.alias("split")).unionByName(groups.where("__fixed is not null").select(group, F.col("__fixed").alias("split")))
+    named = placed.select(group, split.alias("split")).unionByName(groups.where("__fixed is not null").select(group, F.col("__fixed").alias("split")))
     return rows.join(named, group)
 
 

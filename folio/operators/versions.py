@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.checkpoints import cut
+
 
 def insert_absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``table`` and the new rows whose key it lacks; of new rows that repeat a key one is added, the least by all columns."""
@@ -58,36 +60,52 @@ def interrupted(revisions: DataFrame, sessions: DataFrame) -> DataFrame:
     return revisions.where("state = 'BUILDING'").join(sessions.where("state = 'RUNNING'").select("revision_id"), "revision_id", "left_anti")
 
 
-def reach(spark: SparkSession, edges: DataFrame, roots: DataFrame, limit: int = 100) -> DataFrame:
-    """root, node, depth (the least, from 1) of all that depends on each root, by recursive SQL.
+HOPS = 4  # edges followed between two checkpoints
+
+
+def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, node, depth (the least, from 1) of all that depends on each root, however deep.
 
-    ``edges`` has dependency and dependent; ``roots`` has node. A root is reached only by a circle; circles end since the depth is bounded.
+    ``edges`` has dependency and dependent; ``roots`` has node. Nodes are visited level by level, and only those that are
+    new go on, so neither many paths nor circles cost more; a root itself is reached only by a circle. Null ends are no edges.
     """
-    edges.createOrReplaceTempView("__edges")
-    roots.createOrReplaceTempView("__roots")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(root, node, depth) MAX RECURSION LEVEL {limit} AS (
-            SELECT node, node, 0 FROM __roots UNION ALL SELECT w.root, e.dependent, w.depth + 1 FROM walk w JOIN __edges e ON e.dependency = w.node WHERE w.depth < {limit - 1})
-        SELECT root, node, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY root, node"""
-    )
+    return _walk(edges, roots.where("node is not null").select(F.col("node").alias("root"), "node").distinct())
+
+
+def _walk(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """``reach`` from the rows (root, node) of ``frontier``."""
+    step = cut(edges.where("dependency is not null and dependent is not null").select(F.col("dependency").alias("node"), F.col("dependent").alias("next")).distinct())
+    seen, depth = None, 0
+    while True:
+        found, level = None, frontier
+        for hop in range(1, HOPS + 1):
+            level = level.join(step, "node").select("root", F.col("next").alias("node")).distinct()
+            at = level.withColumn("depth", F.lit(depth + hop))
+            found = at if found is None else found.unionByName(at)
+        found = found.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+        new = cut(found if seen is None else found.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
+        seen, depth = new if seen is None else cut(seen.unionByName(new)), depth + HOPS
+        frontier = new.where(F.col("depth") == depth).select("root", "node")
+        if not frontier.limit(1).count():
+            return seen
 
 
-def downstream(spark: SparkSession, edges: DataFrame, roots: DataFrame, limit: int = 100) -> DataFrame:
-    """node, depth (the least) of everything that depends on any root."""
-    return reach(spark, edges, roots, limit).groupBy("node").agg(F.min("depth").alias("depth"))
+def downstream(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, depth (the least) of everything that depends on any root. All roots are walked as one."""
+    return _walk(edges, roots.where("node is not null").select(F.lit(0).alias("root"), "node").distinct()).select("node", "depth")
 
 
-def would_cycle(spark: SparkSession, edges: DataFrame, proposed: DataFrame, limit: int = 100) -> DataFrame:
+def would_cycle(edges: DataFrame, proposed: DataFrame) -> DataFrame:
     """``proposed`` (dependent, dependency) with cycle: whether the dependency already depends on the dependent, or is it."""
-    below = reach(spark, edges, proposed.select(F.col("dependent").alias("node")).distinct(), limit)
+    below = reach(edges, proposed.select(F.col("dependent").alias("node")).distinct())
     pairs = proposed.join(below.select(F.col("root").alias("dependent"), F.col("node").alias("dependency"), F.lit(True).alias("__hit")), ["dependent", "dependency"], "left")
     return pairs.withColumn("cycle", F.coalesce("__hit", F.lit(False)) | (F.col("dependent") == F.col("dependency"))).drop("__hit")
 
 
-def invalidate(spark: SparkSession, edges: DataFrame, events: DataFrame, revisions: DataFrame) -> DataFrame:
+def invalidate(edges: DataFrame, events: DataFrame, revisions: DataFrame) -> DataFrame:
     """``revisions`` with invalid: those below a whole-book event, and those that a local event names."""
     whole = events.where("scope = 'BOOK'").select(F.col("revision_id").alias("node")).distinct()
-    hit = downstream(spark, edges, whole).select("node").union(events.select("revision_id")).distinct()
+    hit = downstream(edges, whole).select("node").union(events.select("revision_id")).distinct()
     return revisions.join(hit.select(F.col("node").alias("revision_id"), F.lit(True).alias("__hit")), "revision_id", "left").withColumn("invalid", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 

@@ -40,39 +40,41 @@ def leak_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.leak_free(cut(table(spark, sf_dir, "documents"), "doc_id"), cut(table(spark, sf_dir, "benchmark"))).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
-SURFACES = "s AS (SELECT DISTINCT w AS surface FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS w FROM benchmark) WHERE length(w) = 6)"
+SURFACES = "s AS (SELECT DISTINCT w AS surface FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark) WHERE length(w) BETWEEN 2 AND 6)"
 
 
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"), F.lit(1))).alias("surface")
-    return table(spark, sf_dir, "benchmark").select(words).where(F.length("surface") == 6).distinct()
+    """Benchmark words of the lengths that a name may have."""
+    words = F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("surface")
+    return table(spark, sf_dir, "benchmark").select(words).where(F.length("surface").between(2, 6)).distinct()
 
 
 @query(
-    f"""WITH {SURFACES}, g AS (SELECT text, unnest(range(1, length(text) - 4)) AS i FROM documents WHERE length(text) >= 6), h AS (SELECT substr(text, i, 6) AS surface, CASE WHEN i > 1 THEN substr(text, i - 1, 1) ELSE '' END AS l, substr(text, i + 6, 1) AS r FROM g WHERE substr(text, i, 6) IN (SELECT surface FROM s))
+    f"""WITH {SURFACES}, g AS (SELECT string_split(text, '') AS c, unnest(range(1, length(text) + 1)) AS i FROM documents), p AS (SELECT c[i - 1] AS l, list_slice(c, i, i + 6) AS x FROM g),
+    h AS (SELECT array_to_string(x[1:n], '') AS surface, coalesce(l, '') AS l, coalesce(x[n + 1], '') AS r FROM p, (VALUES (2), (3), (4), (5), (6)) AS v(n) WHERE len(x) >= n AND array_to_string(x[1:n], '') IN (SELECT surface FROM s))
     SELECT s.surface, count(h.r) AS total, count(*) FILTER (h.r IN (':', '?')) AS cue_bound, count(DISTINCT h.r) AS right_kinds, count(*) FILTER ((l = '' OR l IN (' ', chr(10), ',', '.')) AND NOT h.r IN (':', '?')) AS independent, count(h.r) - count(*) FILTER (h.r IN (':', '?')) AS free FROM s LEFT JOIN h USING (surface) GROUP BY s.surface"""
 )
 def surface_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus evidence of six-letter benchmark words: an n-gram equi-join over every place of every text."""
+    """Corpus evidence of benchmark words of two to six letters: an n-gram equi-join over every place of every text."""
     return names.surface_evidence(table(spark, sf_dir, "documents"), surfaces(spark, sf_dir), cue_heads=":?", punct=" \n,.").select("surface", "total", "cue_bound", "right_kinds", "independent", "free")
 
 
 @query(f"""WITH {SURFACES}, c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations) SELECT conv_id, turn, surface, min(strpos(t, surface))::INT AS at FROM c, s WHERE contains(t, surface) GROUP BY ALL""")
 def ngram_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    return names.mentions(rows, surfaces(spark, sf_dir), ["conv_id", "turn"], sizes=(6,)).select("conv_id", "turn", "surface", "at")
+    return names.mentions(rows, surfaces(spark, sf_dir), ["conv_id", "turn"]).select("conv_id", "turn", "surface", F.col("at").cast("int").alias("at"))
 
 
-@query(f"""WITH {SURFACES}, c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations) SELECT conv_id, turn, arg_min(surface, strpos(t, surface)) AS surface FROM c, s WHERE contains(t, surface) GROUP BY ALL""")
+@query(f"""WITH {SURFACES}, c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations) SELECT conv_id, turn, arg_min(surface, strpos(t, surface) * 100 - length(surface)) AS surface FROM c, s WHERE contains(t, surface) GROUP BY ALL""")
 def leftmost_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.leftmost_longest(ngram_hits(spark, sf_dir), ["conv_id", "turn"])
 
 
-@query("WITH b AS (SELECT text FROM benchmark WHERE item_id = 0), w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[^\\s\\p{P}]+'))) AS token FROM b), t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[^\\s\\p{P}]+'))) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places FROM t WHERE token IN (SELECT token FROM w) GROUP BY token")
+@query("WITH b AS (SELECT text FROM benchmark), w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[^\\s\\p{P}]+'))) AS token FROM b), t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[^\\s\\p{P}]+'))) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places FROM t WHERE token IN (SELECT token FROM w) GROUP BY token")
 def full_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings of the tokens of one benchmark item in an inverted index of all documents."""
+    """Postings of the tokens of all benchmark items in an inverted index of all documents."""
     index = readers.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text")
-    wanted = readers.inverted_index(table(spark, sf_dir, "benchmark").where("item_id = 0"), "item_id", "text").select("token")
+    wanted = readers.inverted_index(table(spark, sf_dir, "benchmark"), "item_id", "text").select("token").distinct()
     return index.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_places"))
 
 
@@ -83,6 +85,18 @@ def full_text_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_places"))
 
 
+@query(
+    """WITH w AS (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '[^\\s\\p{P}]+'))) AS token FROM benchmark), k AS (SELECT item_id, count(*) AS k FROM w GROUP BY item_id),
+    t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[^\\s\\p{P}]+'))) AS token FROM documents), p AS (SELECT doc_id, token, count(*) AS n FROM t WHERE token IN (SELECT token FROM w) GROUP BY ALL)
+    SELECT item_id, doc_id, sum(n)::BIGINT AS n_places FROM w JOIN p USING (token) JOIN k USING (item_id) GROUP BY item_id, doc_id, k HAVING count(*) = k"""
+)
+def full_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold every token of a benchmark item, for all items."""
+    index = readers.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    wanted = readers.inverted_index(table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", "token")
+    return readers.match_queries(index, wanted, "item_id", "doc_id").select("item_id", "doc_id", F.col("n").alias("n_places"))
+
+
 @query("SELECT conv_id, turn, (length(text) - length(replace(text, 'the', ''))) // 3 AS n_apart, CASE WHEN length(text) > 48 THEN substr(text, 1, 48) || '…' ELSE text END AS head FROM conversations")
 def occurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", occurrences(F.col("text"), F.lit("the"), overlapping=False).cast("long").alias("n_apart"), truncated(F.col("text")).alias("head"))
@@ -95,7 +109,7 @@ def turn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT conv_id, turn, role, array_agg(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) AS before FROM conversations),
+    """WITH r AS (SELECT conv_id, turn, role, array_agg(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations),
     d AS (SELECT *, list_reverse(coalesce(before, [])) AS rev FROM r), e AS (SELECT conv_id, turn, role, list_filter(rev, lambda x, i: list_position(rev, x) = i) AS recent FROM d)
     SELECT conv_id, turn, array_to_string(recent, ',') AS recent, coalesce(recent[2], recent[1]) AS by_turn FROM e"""
 )
@@ -105,11 +119,15 @@ def turn_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.array_join("recent", ",").alias("recent"), segments.turn_speaker(F.col("recent")).alias("by_turn"))
 
 
-@query("SELECT conv_id, turn, lag(CASE WHEN right(text, 1) = '.' THEN role END) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_cue FROM conversations")
+@query("SELECT conv_id, turn, lag(CASE WHEN right(text, 1) = '.' THEN CASE role WHEN 'user' THEN '张三' ELSE '李四' END END) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_cue FROM conversations")
 def prev_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cue that ends the turn before: here the role of a turn that ends in a full stop."""
+    """The cue that ends the turn before: turns that end in a full stop get one, in ways that differ by turn, the others a shout."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag(F.when(F.right("text", F.lit(1)) == ".", F.col("role"))).over(w).alias("prev_cue"))
+    name = F.when(F.col("role") == "user", "张三").otherwise("李四")
+    verb = F.element_at(F.array(*map(F.lit, ["说道：", "又忙说", "轻声问道：“", "叹了口气，忽然笑道："])), (F.col("turn") % 4 + 1).cast("int"))
+    cue = F.when(F.col("turn") % 4 == 3, F.concat(F.lit("，忽然"), name, F.lit("笑道："))).otherwise(F.concat(F.lit("，"), name, verb))
+    text = F.concat("text", F.when(F.right("text", F.lit(1)) == ".", cue).otherwise("，张三惨叫"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag(segments.trailing_cue(text)).over(w).alias("prev_cue"))
 
 
 @query("SELECT conv_id, role, min(turn) AS first, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn), role)::INT AS rank FROM conversations GROUP BY conv_id, role")
@@ -232,11 +250,11 @@ def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.manifest(table(spark, sf_dir, "documents"), "doc_id", ["lang"])
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'LEFT_ONLY' WHEN a.doc_id IS NULL THEN 'RIGHT_ONLY' WHEN a.lang IS DISTINCT FROM b.lang OR a.n_chars IS DISTINCT FROM b.n_chars THEN 'DIFFERENT' ELSE 'SAME' END AS status FROM (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS lang, n_chars FROM documents WHERE doc_id % 3 <> 0) b USING (doc_id)")
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'LEFT_ONLY' WHEN a.doc_id IS NULL THEN 'RIGHT_ONLY' WHEN a.lang IS DISTINCT FROM b.lang OR a.n_chars IS DISTINCT FROM b.n_chars THEN 'DIFFERENT' ELSE 'SAME' END AS status FROM (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS lang, n_chars FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 5 = 0) b USING (doc_id)")
 def record_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field by field comparison of two versions of the document table, each of which lacks some rows."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    old, new = d.where("doc_id % 5 <> 0"), d.where("doc_id % 3 <> 0").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")))
+    old, new = d.where("doc_id % 5 <> 0"), d.where("doc_id % 3 <> 0 or doc_id % 5 = 0").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")))
     return integrity.record_diff(old, new, ["doc_id"], ["lang", "n_chars"]).select("doc_id", "status")
 
 

@@ -27,11 +27,12 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line_no", "char_count", F.col("char_start").cast("long").alias("char_start"), F.col("byte_start").cast("long").alias("byte_start"), "is_blank", F.sha2("text", 256).alias("line_sha"))
 
 
-@query(f"""WITH {LINES} SELECT doc_id, line_no, sha256(text) AS line_sha FROM lines WHERE line_no % 7 = 0""")
+@query(f"""WITH {LINES} SELECT doc_id, line_no, strlen(text) AS n_bytes, sha256(text) AS line_sha FROM lines""")
 def lazy_line_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh line, cut out of its document by byte offsets."""
-    offsets = lines.lines_without_text(document_lines(spark, sf_dir, spans=True)).where(F.col("line_no") % 7 == 0)
-    return lines.read_lines(offsets.select("doc_id", "line_no", "byte_start", "byte_end"), table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.sha2("text", 256).alias("line_sha"))
+    """Every line, cut out of its document by byte offsets, with its length in bytes."""
+    offsets = lines.lines_without_text(document_lines(spark, sf_dir, spans=True))
+    rows = lines.read_lines(offsets.select("doc_id", "line_no", "byte_start", "byte_end"), table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "line_no", (F.col("byte_end") - F.col("byte_start")).cast("long").alias("n_bytes"), F.sha2("text", 256).alias("line_sha"))
 
 
 @query(f"""WITH {LINES} SELECT doc_id, line_no, sha256(text) AS line_sha FROM lines""")
@@ -93,12 +94,24 @@ def layout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.layout_regions(rows, window=5)
 
 
+#: Turns written as lines: two of a script, one of a message log and one of a list, in turn, and a few of prose.
+TURN_LINES = r"""lines AS (SELECT conv_id AS doc_id, turn::INT AS line_no, CASE WHEN turn % 11 = 10 THEN 'Prose. More of it, and on; so it goes' WHEN turn % 4 < 2 THEN role || ': ' || c WHEN turn % 4 = 2 THEN role || ' 12:30' ELSE (turn % 100) || '. ' || c END AS text, turn % 13 = 12 AS is_blank
+FROM (SELECT *, left(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), 20) || 'x' AS c FROM conversations))"""
+
+
+def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn, c = F.col("turn"), F.concat(F.left(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""), F.lit(20)), F.lit("x"))
+    text = F.when(turn % 11 == 10, "Prose. More of it, and on; so it goes").when(turn % 4 < 2, F.concat("role", F.lit(": "), c)).when(turn % 4 == 2, F.concat("role", F.lit(" 12:30"))).otherwise(F.concat((turn % 100).cast("string"), F.lit(". "), c))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), turn.cast("int").alias("line_no"), text.alias("text"), (turn % 13 == 12).alias("is_blank"))
+
+
 @query(
-    f"""WITH {LINES}, k AS (SELECT doc_id, line_no, {RUN_KIND} AS kind FROM (SELECT *, trim(text, ' ') AS t FROM lines WHERE NOT is_blank)), i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - row_number() OVER (PARTITION BY doc_id, kind ORDER BY line_no) AS g FROM k)
+    f"""WITH {TURN_LINES}, k AS (SELECT doc_id, line_no, {RUN_KIND} AS kind FROM (SELECT *, trim(text, ' ') AS t FROM lines WHERE NOT is_blank)), i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - row_number() OVER (PARTITION BY doc_id, kind ORDER BY line_no) AS g FROM k)
     SELECT doc_id, kind, min(line_no) AS from_line, max(line_no) AS to_line, count(*) AS n_lines FROM i WHERE kind IS NOT NULL GROUP BY doc_id, kind, g HAVING count(*) >= CASE WHEN kind = 'MESSAGE_LOG' THEN 1 ELSE 2 END"""
 )
 def script_message_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.block_runs(document_lines(spark, sf_dir)).select("doc_id", "kind", "from_line", "to_line", "n_lines")
+    """Runs of script, message and list lines among turns written as such lines."""
+    return blocks.block_runs(turn_lines(spark, sf_dir)).select("doc_id", "kind", "from_line", "to_line", "n_lines")
 
 
 @query()
@@ -274,18 +287,21 @@ def canonical_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey, o_orderkey, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1, (SELECT max(o_orderkey) FROM orders)) AS end_key FROM orders")
 def interval_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends of intervals: the next anchor less one, or the end of all."""
-    from pyspark.sql import Window as W
-
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     eof = orders.agg(F.max("o_orderkey").alias("eof"))
-    return orders.crossJoin(F.broadcast(eof)).select("o_custkey", "o_orderkey", F.coalesce(F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1, "eof").alias("end_key"))
+    return orders.crossJoin(F.broadcast(eof)).select("o_custkey", "o_orderkey", chapters.interval_end(F.col("o_orderkey"), F.lit(True), F.col("eof"), ["o_custkey"]).alias("end_key"))
 
 
-@query("SELECT o_orderkey, (o_orderkey % 10000)::INT AS value FROM orders")
+@query("SELECT o_orderkey, (o_orderkey % 10000)::INT AS value, (o_orderkey % 10000)::INT AS by_units, (10000 * (1 + o_orderkey % 7) + o_orderkey % 10000)::INT AS large, CASE WHEN o_orderkey % 10 = 0 THEN 10 ELSE (10 + o_orderkey % 10) END::INT AS bare_ten, (o_orderkey % 10)::INT AS bare_hundred FROM orders")
 def numeral_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order keys written as Chinese digits by place and read back."""
-    text = F.translate((F.col("o_orderkey") % 10000).cast("string"), "0123456789", "〇一二三四五六七八九")
-    return table(spark, sf_dir, "orders").select("o_orderkey", parse_numeral(text).alias("value"))
+    """Order keys written in Chinese and read back: digits by place, with units, with ten-thousands, and units without a digit before them."""
+    n, digits = F.col("o_orderkey") % 10000, "〇一二三四五六七八九"
+    at = lambda i: F.translate((F.floor(n / 10**i) % 10).cast("string"), "0123456789", digits)
+    units = F.concat(*(F.when(F.floor(n / 10**i) % 10 > 0, F.concat(at(i), F.lit(u))).otherwise("") for i, u in ((3, "千"), (2, "百"), (1, "十"), (0, ""))))
+    thousands = F.translate((1 + F.col("o_orderkey") % 7).cast("string"), "0123456789", digits)
+    plain = F.translate(n.cast("string"), "0123456789", digits)
+    text = lambda c: parse_numeral(F.when(c == "", "零").otherwise(c))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text(plain).alias("value"), text(units).alias("by_units"), parse_numeral(F.concat(thousands, F.lit("万"), units)).alias("large"), parse_numeral(F.concat(F.lit("十"), F.when(n % 10 > 0, at(0)).otherwise(""))).alias("bare_ten"), parse_numeral(F.concat(F.lit("百"), at(0))).alias("bare_hundred"))
 
 
 @query(

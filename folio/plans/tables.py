@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.operators import asof, decisions, evaluation, identity, integrity, render, state, versions
+from folio.operators import asof, blocks, decisions, evaluation, identity, integrity, render, state, versions
 from folio.plans.base import query, table
 
 MICROS = "epoch_us(ts)"
@@ -107,8 +107,7 @@ def nearest_rank_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, event_type, min(ts) AS from_ts, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) GROUP BY user_id, event_type, g HAVING count(*) >= 2")
 def event_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one event type of a user."""
-    own, all_ = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"), W.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").withColumn("island", F.row_number().over(all_) - F.row_number().over(own))
+    rows = blocks.islands(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").where("event_type is not null")
     return rows.groupBy("user_id", "event_type", "island").agg(F.min("ts").alias("from_ts"), F.count("*").alias("n")).where("n >= 2").drop("island")
 
 
@@ -174,7 +173,7 @@ def dag_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that depends on one region, down to its customers' orders."""
     edge = lambda t, a, b, x, y: table(spark, sf_dir, t).select(F.concat(F.lit(x), F.col(a).cast("string")).alias("dependency"), F.concat(F.lit(y), F.col(b).cast("string")).alias("dependent"))
     edges = edge("nation", "n_regionkey", "n_nationkey", "r", "n").union(edge("customer", "c_nationkey", "c_custkey", "n", "c")).union(edge("orders", "o_custkey", "o_orderkey", "c", "o"))
-    return versions.downstream(spark, edges, spark.createDataFrame([("r1",)], "node string"), 6)
+    return versions.downstream(edges, spark.createDataFrame([("r1",)], "node string"))
 
 
 EVIDENCE = "v AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, CASE WHEN a.l_returnflag = b.l_returnflag THEN 1 ELSE -1 END AS sign FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1 WHERE a.l_suppkey <> b.l_suppkey)"

@@ -39,7 +39,7 @@ def test_runs(spark, sf, name):
 
 def test_every_line_is_read_by_its_offsets(spark, sf):
     key = lambda name: sorted((r.doc_id, r.line_no, r.line_sha) for r in base.QUERIES[name](spark, sf).collect())
-    assert key("lazy_line_read_all") == key("doc_lines")
+    assert key("lazy_line_read_all") == key("doc_lines") == key("lazy_line_read")
 
 
 def test_every_token_has_its_postings(spark, sf):

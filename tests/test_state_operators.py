@@ -60,7 +60,7 @@ def test_asof_and_stab_equal_plain(spark):
     best = lambda k, t, rows: max(((s, v) for q, s, e, v in rows if q == k and s <= t and (e is None or t <= e)), default=(0, None))[1]
     assert held == {(k, t): best(k, t, spans) for k, t in points}
     closed = [x for x in spans if x[2] is not None]
-    binned = asof.binned_stab(pdf, spark.createDataFrame(closed, "k int, s int, e int, v int"), "k", "at", "s", "e", ["v"], 5, "v")
+    binned = asof.stab(pdf.union(pdf), spark.createDataFrame(closed, "k int, s int, e int, v int"), "k", "at", "s", "e", ["v"], tie="v")
     assert {(r.k, r.at): r.held_v for r in binned.collect()} == {(k, t): best(k, t, closed) for k, t in points}
 
 
@@ -98,7 +98,7 @@ def test_codec_and_refs(spark):
     back = decisions.decode_lines(decisions.encode_lines(df, ["id", "t"]).union(spark.createDataFrame([('{"schemaVersion":1,"id":9}',), ("{bad",)], "value string")), "id int, t string")
     assert sorted(map(tuple, back.collect()), key=str) == [(1, "x"), (2, None)]
     r = spark.range(1).select(decisions.speaker_ref(F.lit("C1"), F.create_map(F.lit("C1"), F.lit(42))).alias("a")).select("a", decisions.decode_ref(F.col("a")).alias("d")).first()
-    assert (r.a, r.d.kind, r.d.id) == ("entity:42", "entity", 42)
+    assert (r.a, r.d.kind, r.d.id) == ("CHARACTER:42", "CHARACTER", 42)
 
 
 def test_names(spark):
@@ -111,7 +111,7 @@ def test_names(spark):
     gated = {r.surface: r.reject for r in names.gate(ev).collect()}
     assert gated["雷老虎"] is None and gated["因为"] == "FUNCTION_WORD" and gated["钱多多"] == "CUE_ONLY"
     assert names.surface_evidence(spark.createDataFrame([(1, "aaaa")], "doc_id int, text string"), spark.createDataFrame([("aa",)], "surface string"), overlapping=False).first().total == 2
-    assert {(r.nth, r.surface) for r in names.dictionary_matches(spark.createDataFrame([(1, "abcab")], "k int, text string"), ["a", "ab", "abc"], ["k"]).collect()} == {(0, "abc"), (1, "ab")}
+    assert {(r.nth, r.surface) for r in names.longest_matches(spark.createDataFrame([(1, "abcab")], "k int, text string"), spark.createDataFrame([("a",), ("ab",), ("abc",)], "surface string"), ["k"]).collect()} == {(0, "abc"), (1, "ab")}
 
 
 def plain_permutation(items, seed):
@@ -131,9 +131,9 @@ def test_seeded_permutation(spark):
 
 def test_versions_and_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "dependency int, dependent int")
-    assert {(r.node, r.depth) for r in versions.downstream(spark, edges, spark.createDataFrame([(1,)], "node int"), 8).collect()} == {(2, 1), (3, 2), (1, 3), (4, 3)}
+    assert {(r.node, r.depth) for r in versions.downstream(edges, spark.createDataFrame([(1,)], "node int")).collect()} == {(2, 1), (3, 2), (1, 3), (4, 3)}
     proposed = spark.createDataFrame([(1, 4), (4, 1), (9, 9)], "dependent int, dependency int")
-    assert {(r.dependent, r.cycle) for r in versions.would_cycle(spark, edges.where("dependency <> 3 or dependent <> 1"), proposed, 8).collect()} == {(1, True), (4, False), (9, True)}
+    assert {(r.dependent, r.cycle) for r in versions.would_cycle(edges.where("dependency <> 3 or dependent <> 1"), proposed).collect()} == {(1, True), (4, False), (9, True)}
     base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, n int")
     new = spark.createDataFrame([(2, "x", 5), (2, "y", 6), (3, None, 1)], "k int, v string, n int")
     assert {tuple(r) for r in versions.upsert(base, new, ["k"], "n", ["v"]).collect()} == {(1, "a", 1), (2, "y", 1), (3, None, 1)}
