@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_classifier
-from folio.llm.common import checkpoint_dir, table
+from folio.llm.common import checkpoint_dir, drop_folder, table
 from folio.llm.queries import bpe_files
 
 ORACLE_SQL: str | None = None
@@ -53,12 +53,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written as Parquet to the shared folder and reread."""
+    """All stages over ``documents``; each one's rows are written as Parquet to the shared folder and reread.
+
+    A stage's rows are deleted once the next stage's are written; those of the last stage are what the result reads.
+    """
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            drop_folder(spark, f"{folder}/{last}")
+        last = name
     return docs
 
 

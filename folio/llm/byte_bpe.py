@@ -39,6 +39,8 @@ class ByteBpe:
     """Encodes and decodes by a rank table; ``pattern`` splits a text into the matches that are encoded separately."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        if missing := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"bytes without a rank: {missing}")
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
@@ -158,7 +160,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """Encodes every whole text and decodes the ids again: id, ids array<int>, n_tokens, ids_sha256, decoded_sha256.
 
     A null text counts as empty: no ids, and the digests of no bytes. Null and repeated ids give a row for each
-    row. Other columns of ``docs`` are not read. ``path`` is opened by each worker, so it must exist on them all.
+    row. Bytes that are no UTF-8 are read as U+FFFD. Other columns of ``docs`` are not read. ``path`` is opened by each worker, so it must exist on them all.
     ``keep_ids=False`` leaves the ids out.
     """
     kind = docs.schema[id_col].dataType
@@ -168,7 +170,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for ids, texts in text_bytes(batches, "id", "raw"):
             rows, n, sha, back = [], [], [], []
             for raw in texts:
-                got = bpe.encode(raw.decode())
+                got = bpe.encode(raw.decode(errors="replace"))
                 n.append(len(got))
                 sha.append(hashlib.sha256(got.tobytes()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(got)).hexdigest())

@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.checkpoints import checkpoint_dir, cut
+from folio.functions.text import free_name
+
+__all__ = ["ALNUM", "LOWER", "UPPER", "WORD", "WORD_BREAK", "ascii_lower", "checkpoint_dir", "cut", "drop_folder", "free_name", "let", "quoted", "release", "table", "text_bytes"]
+
 #: Words are maximal runs without space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -33,31 +38,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/folio")
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """``name`` with as many underscores before it as no column of ``df`` is called, in whatever case."""
-    taken = {c.lower() for c in df.columns}
-    while (name := f"_{name}") in taken:
-        pass
-    return name
-
-
 def quoted(names: list[str]) -> list[Column]:
     """Columns by their names, whatever characters these hold."""
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it back: a short plan that outlives executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate tables, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:

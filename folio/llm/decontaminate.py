@@ -6,15 +6,19 @@ state keeps the longest match that ends at each word. Where that length reaches
 words are hit. Items shorter than the window count as one window of their own length: their states are marked,
 and a match hits them whenever it passes through a marked state by suffix links.
 
-Only blocks of at most ``BLOCK_WORDS`` item words are sent to the workers. A benchmark of more words is cut into
-several blocks, each with a pass over the documents, and the passes' spans are merged for each document; so what
-a worker holds is bounded whatever the benchmark's size.
+Only blocks of at most ``BLOCK_WORDS`` item words are sent to the workers, where one automaton is built for each
+process. A benchmark of more words is cut into several blocks, which come to the driver one after the other, each for
+a pass over the documents; an item too long for a block is cut into pieces that overlap by a window less one word.
+The passes' spans are written, merged for each text and joined back to the rows. So what the driver or a worker holds
+is bounded whatever the benchmark's size, and the result is the same however many blocks there are.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import ALNUM, text_bytes
+from folio.llm.common import ALNUM, cut, free_name, quoted, text_bytes
 from folio.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW = 10
@@ -109,28 +113,41 @@ class ItemMatcher:
         return spans, items
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple]]:
-    """The items in order of their ids, in blocks of bounded size; items without words are left out."""
-    block, size = [], 0
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, window: int) -> Iterator[list[tuple]]:
+    """The items in order of their ids, in blocks of bounded size, one block at a time; items without words are left out."""
+    block, size, most = [], 0, max(block_words, window)
     rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null").orderBy("id", "text")
     for row in rows.toLocalIterator():
         words = words_of(row.text)
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        if words:
-            block.append((row.id, words))
-            size += len(words)
+        for at in range(0, max(1, len(words) - window + 1), most - window + 1) if len(words) > most else [0]:
+            part = words[at : at + most] if len(words) > most else words
+            if block and size + len(part) > block_words:
+                yield block
+                block, size = [], 0
+            if part:
+                block.append((row.id, part))
+                size += len(part)
     yield block
 
 
+_MATCHERS: dict[str, ItemMatcher] = {}
+
+
+def _matcher(key: str, items: list[tuple], window: int) -> ItemMatcher:
+    """The automaton of one block, built once for each worker process; only the last one is kept."""
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = ItemMatcher(items, window)
+    return _MATCHERS[key]
+
+
 def _scan(docs: DataFrame, items: list[tuple], window: int, kind: T.DataType, item_kind: T.DataType) -> DataFrame:
-    given = docs.sparkSession.sparkContext.broadcast(items)
+    given, key = docs.sparkSession.sparkContext.broadcast(items), uuid4().hex
     item_type = pa.string() if isinstance(item_kind, T.StringType) else pa.int64()
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = ItemMatcher(given.value, window)
+        matcher = _matcher(key, given.value, window)
         for batch in batches:
             for ids, texts in text_bytes([batch], "id", "raw"):
                 n, spans, found = [], [], []
@@ -146,35 +163,42 @@ def _scan(docs: DataFrame, items: list[tuple], window: int, kind: T.DataType, it
     return docs.mapInArrow(run, out)
 
 
+def _first_block(blocks: Iterator[list[tuple]]) -> tuple[list[tuple], Iterator[list[tuple]] | None]:
+    """The first block, and, if there are more, an iterator over all of them."""
+    first = next(blocks)
+    second = next(blocks, None)
+    return first, None if second is None else chain([first, second], blocks)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_words, spans of hit words (from 0, end exclusive, merged) and the sorted item ids.
 
     Null or empty texts have no words and no hits. Items with null ids or without words are left out; repeated
-    items count once by id. Rows that repeat an id each give a row, unless the benchmark needs several blocks: then
-    equal (id, text) rows give one row. Other columns are not read, so their names can't clash.
+    items count once by id. Null and repeated ids keep their rows. Other columns are not read, so their names can't clash.
     """
     kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    blocks = list(item_blocks(benchmark, item_col, item_text, block_words))
-    if len(blocks) == 1:
-        return _scan(given, blocks[0], window, kind, item_kind).withColumnRenamed("id", id_col)
-    found = _scan_blocks(given, blocks, window, item_kind)
-    return found.select(F.col("id.doc").alias(id_col), "n_words", "spans", "items")
-
-
-def _scan_blocks(given: DataFrame, blocks: list[list[tuple]], window: int, item_kind: T.DataType) -> DataFrame:
-    """One row for each distinct (id, raw) of ``given``: id (doc, sha), n_words, and the spans and items of all blocks, each found in the whole text."""
-    keyed = given.withColumn("id", F.struct(F.col("id").alias("doc"), F.sha2("raw", 256).alias("sha")))
-    parts = [_scan(keyed, b, window, keyed.schema["id"].dataType, item_kind) for b in blocks]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    found = both.groupBy("id").agg(F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    first, more = _first_block(item_blocks(benchmark, item_col, item_text, block_words, window))
+    if more is None:
+        return _scan(given, first, window, kind, item_kind).withColumnRenamed("id", id_col)
+    found = _scan_blocks(given, more, window, item_kind).withColumnRenamed("sha", "found_sha")
+    met = given.withColumn("sha", F.sha2(F.coalesce("raw", F.lit(b"")), 256)).join(found, F.col("sha") == F.col("found_sha"))
+    return met.select(F.col("id").alias(id_col), "n_words", "spans", "items")
+
+
+def _scan_blocks(given: DataFrame, blocks: Iterator[list[tuple]], window: int, item_kind: T.DataType) -> DataFrame:
+    """sha, n_words, and the spans and items of all blocks, of each distinct text (raw, null being empty) of ``given``."""
+    texts = given.select(F.coalesce("raw", F.lit(b"")).alias("raw")).select(F.sha2("raw", 256).alias("id"), "raw")
+    both = None
+    for b in blocks:
+        part = cut(_scan(texts, b, window, T.StringType(), item_kind).groupBy("id").agg(F.any_value("n_words").alias("n_words"), F.any_value("spans").alias("spans"), F.any_value("items").alias("items")))
+        both = part if both is None else both.unionByName(part)
+    found = both.groupBy("id").agg(F.any_value("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = F.expr(
         "aggregate(s, cast(array() as array<struct<start:int,end:int>>), (a, x) -> CASE WHEN size(a) > 0 AND element_at(a, -1).end >= x.start"
         " THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))) ELSE concat(a, array(x)) END)"
     )
-    return found.select("id", "n_words", merged.alias("spans"), "items")
+    return found.select(F.col("id").alias("sha"), "n_words", merged.alias("spans"), "items")
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -184,33 +208,35 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(texts, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without benchmark text: hit spans are cut out of the texts, and documents go whose hit share exceeds ``max_coverage``.
 
     A cut reaches from the first character of a span's first word to the last one of its last word; all other
-    characters stay as they are. Every other column is kept, ``n_chars`` (if there) is counted anew. Null texts stay.
+    characters stay as they are. Every other column is kept, ``n_chars`` (if there) is counted anew. Null texts, null
+    and repeated ids stay.
     Spans are found in the given texts and counted and cut once, however many blocks of ``block_words`` words the
     benchmark has; several blocks cost a scan each and a join of their spans with the texts.
     """
-    blocks = list(item_blocks(benchmark, "item_id", "text", block_words))
-    if len(blocks) == 1:
-        return _remove(docs, docs.columns, max_coverage, items=blocks[0], window=window)
-    given = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("raw"))
-    found = _scan_blocks(given, blocks, window, benchmark.schema["item_id"].dataType).where(F.size("spans") > 0)
-    found = found.select(F.col("id.doc").alias("__doc"), F.col("id.sha").alias("__sha"), F.col("spans").alias("__spans"))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("__sha"))
-    return _remove(docs.join(found, same, "left").select(*docs.columns, "__spans"), docs.columns, max_coverage)
-
-
-def _remove(docs: DataFrame, names: list[str], max_coverage: float, items: list[tuple] | None = None, window: int = WINDOW) -> DataFrame:
-    """The columns ``names`` of ``docs``, cut by the spans in ``__spans`` or, with ``items``, by those found here."""
-    given = None if items is None else docs.sparkSession.sparkContext.broadcast(items)
-    at = names.index("text")
+    first, more = _first_block(item_blocks(benchmark, item_col, item_text, block_words, window))
+    if more is None:
+        return _remove(docs, docs.columns, max_coverage, text_col=text_col, items=first, window=window)
+    sha, held, spans = (free_name(docs, x) for x in ("sha", "held", "spans"))
+    given = docs.select(F.col(text_col).cast("binary").alias("raw"))
+    found = _scan_blocks(given, more, window, benchmark.schema[item_col].dataType).where(F.size("spans") > 0).select(F.col("sha").alias(held), F.col("spans").alias(spans))
+    keyed = docs.withColumn(sha, F.sha2(F.col(text_col).cast("binary"), 256))
+    met = keyed.join(found, F.col(sha) == F.col(held), "left").select(*quoted(docs.columns), spans)
+    return _remove(met, docs.columns, max_coverage, text_col=text_col)
+
+
+def _remove(docs: DataFrame, names: list[str], max_coverage: float, text_col: str, items: list[tuple] | None = None, window: int = WINDOW) -> DataFrame:
+    """The columns ``names`` of ``docs``, cut by the spans in its last column or, with ``items``, by those found here."""
+    given, key = None if items is None else docs.sparkSession.sparkContext.broadcast(items), uuid4().hex
+    at = names.index(text_col)
     chars = names.index("n_chars") if "n_chars" in names else -1
     spaces = np.frombuffer(ALNUM, dtype="u1") == 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = None if given is None else ItemMatcher(given.value, window)
+        matcher = None if given is None else _matcher(key, given.value, window)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
@@ -237,7 +263,7 @@ def _remove(docs: DataFrame, names: list[str], max_coverage: float, items: list[
                     columns[chars] = pa.array([c if t is None else len(t) for t, c in zip(texts, columns[chars].to_pylist(), strict=True)], schema.field(chars).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.select(*names).schema)
+    return docs.mapInArrow(run, docs.select(*quoted(names)).schema)
 
 
 def items_digest(items: list) -> str:

@@ -1,16 +1,21 @@
 """License scans: matching statistics from a generalised suffix automaton of licence texts, chained into spans.
 
-The automaton holds the words of ``TEMPLATES`` and of ``PHRASES``. Streaming a text's words through it gives, at
-each word, the longest suffix that occurs in some licence. A stretch is a maximal such match of ``MIN_MATCH``
-words or more; stretches of one template that follow each other in it, at most ``MAX_GAP`` words apart, are
-chained into one covered span. A template's coverage is the share of its words in its best chain; its label is
-given from ``COVER`` on. The score is the largest coverage, or 1 where a phrase stands whole.
+The automaton holds the words of whole licences (the files in ``licenses``), of ``NOTICES`` and of ``PHRASES``.
+Streaming a text's words through it gives, at each word, the longest suffix that occurs in some template. A stretch is
+a maximal such match of ``MIN_MATCH`` words or more, or of a shorter template's whole length. Stretches are chained: one
+follows another of its template if, once what they share in the text is cut off its start, it begins at most
+``MAX_GAP`` words behind the other in the text and in the template. A template's coverage is the share of its words in
+the chain that covers most (of equal ones the first, then the shortest); its label is given from ``COVER`` on. The
+score is the largest such coverage, or 1 where a phrase stands whole.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import sha256
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +28,7 @@ MIN_MATCH, MAX_GAP, COVER = 4, 3, 0.8
 #: Phrases that name a licence.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Notices by which texts state their licence.
-TEMPLATES = [
+NOTICES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("mit", "Released under the MIT License."),
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -39,18 +44,27 @@ TEMPLATES = [
     ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0."),
     ("all-rights-reserved", "All rights reserved."),
 ]
+#: Whole licences by file name, and the labels that they give.
+LICENSES = {"Apache-2.0": "apache", "BSD-3-Clause": "bsd", "CC0-1.0": "cc0", "GPL-2": "gpl", "GPL-3": "gpl", "ISC": "isc", "LGPL-2.1": "lgpl", "MIT": "mit", "MPL-2.0": "mpl"}
 SPAN = "array<struct<label:string,start:int,end:int,coverage:double>>"
 
 
+@lru_cache(maxsize=1)
+def templates() -> tuple[tuple[str, str], ...]:
+    """(label, text) of every notice and every whole licence; the files are read on the driver and go with the tasks."""
+    folder = Path(__file__).parent / "licenses"
+    return (*NOTICES, *((label, (folder / f"{name}.txt").read_text()) for name, label in LICENSES.items()))
+
+
 class LicenseMatcher:
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES, min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, cover: float = COVER) -> None:
+    def __init__(self, templates, phrases=PHRASES, min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, cover: float = COVER) -> None:
         split = lambda text: text.encode().translate(ALNUM).split()
         self.templates = [(label, split(text)) for label, text in templates]
         self.phrases = [(label, split(text)) for text, label in phrases.items()]
         self.max_gap, self.cover = max_gap, cover
         self.sam = sam = SuffixAutomaton([w for _, w in self.templates] + [w for _, w in self.phrases])
         self.need = [min(min_match, len(w)) for _, w in self.templates]
-        self.least = min([*self.need, *(len(w) for _, w in self.phrases)])
+        self.least, self.shortest = min(self.need, default=min_match), min((len(w) for _, w in self.phrases), default=min_match)
         size = len(sam.next)
         #: At a state: (template, end in it) of every occurrence of its strings.
         self.places: list[list[tuple[int, int]]] = [[] for _ in range(size)]
@@ -68,7 +82,7 @@ class LicenseMatcher:
 
     def match(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[str, int, int, float]]]:
         """(start, label) of every phrase; (label, start, end, coverage) of the best chain of every template that reaches ``cover``."""
-        sam, least = self.sam, self.least
+        sam, least, shortest = self.sam, self.least, self.shortest
         nxt, link, length = sam.next, sam.link, sam.length
         root = nxt[0]
         v = n = 0
@@ -89,38 +103,41 @@ class LicenseMatcher:
                 n = length[v]
             v, n = to, n + 1
             out = nxt[v]
-            if n >= least and (ending := self.ending[v]):
+            if n >= shortest and (ending := self.ending[v]):
                 base += [(i + 1 - size, label) for size, label in ending if size <= n]
         if n >= least:
             stretches.append((len(words), n, v))
         return base, self._chain(stretches) if stretches else []
 
     def _chain(self, stretches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Stretches in the order of the text. Each extends the best open chain of its template that ends just before it in both."""
-        open_: dict[int, tuple[int, int, int, int]] = {}  # template: start and end in the text, end in the template, words covered
-        best: dict[int, tuple[int, int, int]] = {}  # template: words covered, -start, end
+        """The best chain of each template over its stretches in the order of the text; chains that no later stretch can follow are dropped."""
+        open_: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)  # template: (words covered, -start, end, end in the template) of chains
+        best: dict[int, tuple[int, int, int]] = {}  # template: words covered, -start, -end
         for end, n, v in stretches:
-            ends = defaultdict(list)
+            start = end - n
+            for t in {t for t, _ in self.places[v]}:
+                open_[t] = [c for c in open_[t] if start - c[2] <= self.max_gap]
+            new = []
             for t, at in self.places[v]:
-                ends[t].append(at)
-            for t, places in ends.items():
                 if n < self.need[t]:
                     continue
-                start, chain = end - n, open_.get(t)
-                new = None
-                if chain is not None and 0 <= start - chain[1] <= self.max_gap:
-                    fits = [at for at in places if 0 <= at - n - chain[2] <= self.max_gap]
-                    if fits:
-                        new = (chain[0], end, min(fits), chain[3] + n)
-                if new is None:
-                    new = (start, end, min(places), n)
-                open_[t] = new
-                best[t] = max(best.get(t, (0, 0, 0)), (new[3], -new[0], new[1]))
-        spans = [(self.templates[t][0], -s, e, c / len(self.templates[t][1])) for t, (c, s, e) in best.items()]
+                mine = (n, -start, end, at)
+                for covered, begin, last, place in open_[t]:
+                    shared = max(0, last - start)
+                    if shared < n and 0 <= at - n + shared - place <= self.max_gap:
+                        mine = max(mine, (covered + n - shared, begin, end, at))
+                new.append((t, mine))
+                best[t] = max(best.get(t, (0, 0, 0)), (mine[0], mine[1], -mine[2]))
+            for t, chain in new:
+                open_[t].append(chain)
+        spans = [(self.templates[t][0], -s, -e, c / len(self.templates[t][1])) for t, (c, s, e) in best.items()]
         return sorted(x for x in spans if x[3] >= self.cover)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
+_MATCHERS: dict[str, LicenseMatcher] = {}
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", given_templates=None, phrases=PHRASES) -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     ``first_word`` and ``last_word`` are the smallest and largest start of a phrase, in words from 0, or null.
@@ -130,8 +147,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     span_type = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("coverage", pa.float64())]))
     names = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
 
+    texts_of = templates() if given_templates is None else tuple(given_templates)
+    key = sha256(repr((texts_of, phrases)).encode()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = LicenseMatcher(templates, phrases)
+        if key not in _MATCHERS:  # one automaton for each worker process
+            _MATCHERS.clear()
+            _MATCHERS[key] = LicenseMatcher(texts_of, phrases)
+        matcher = _MATCHERS[key]
         for ids, texts in text_bytes(batches, "id", "raw"):
             rows = []
             for raw in texts:

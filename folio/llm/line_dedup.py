@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import WORD, cut, let
+from folio.llm.common import WORD, cut, free_name, let, quoted
 
 GRAM_WORDS, RUN_WORDS = 25, 50
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -137,14 +137,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     none is deleted in favour of the other. Every other column is kept, and a column named as ``into`` is replaced;
     ``n_chars``, if there, is counted anew where lines went.
     """
-    runs = repeated_runs(docs, id_col, text_col, gram_words, run_words).select(F.col("doc").alias("__doc"), F.col("tx").alias("__tx"), F.col("runs").alias("__runs"))
+    doc, tx, found, key = (free_name(docs, x) for x in ("doc", "tx", "runs", "key"))
+    runs = repeated_runs(docs, id_col, text_col, gram_words, run_words).select(F.col("doc").alias(doc), F.col("tx").alias(tx), F.col("runs").alias(found))
     keyed = docs.drop(into) if into in docs.columns else docs
     names = keyed.columns
-    both = keyed.withColumn("__key", F.xxhash64(text_col)).join(runs, (F.col(id_col) == F.col("__doc")) & (F.col("__key") == F.col("__tx")), "left")
-    stays = F.filter(lines_of(F.col(text_col)), lambda x, i: ~F.exists("__runs", lambda r: (r["start"] <= i) & (i <= r["end"])))
-    text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
+    both = keyed.withColumn(key, F.xxhash64(text_col)).join(runs, (F.col(id_col) == F.col(doc)) & (F.col(key) == F.col(tx)), "left")
+    stays = F.filter(lines_of(F.col(text_col)), lambda x, i: ~F.exists(found, lambda r: (r["start"] <= i) & (i <= r["end"])))
+    text = F.when(F.col(found).isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    out = both.select(*(text.alias(c) if c == text_col else F.col(c) for c in names), F.coalesce("__runs", none).alias(into))
+    out = both.select(*(text.alias(c) if c == text_col else q for c, q in zip(names, quoted(names), strict=True)), F.coalesce(found, none).alias(into))
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.size(into) > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(kind))

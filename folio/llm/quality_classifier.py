@@ -1,13 +1,16 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are learning rows labelled 1; the unlabelled texts are all learning rows in the sample, with
-their labels hidden. The class prior is estimated as the share of positives among the learning labels, smoothed.
-A linear model over shape features minimises prior * R+(P) + max(0, R-(U) - prior * R-(P)) for the logistic loss;
-where the second term turns negative, its gradient is reversed, so the model can't profit from fitting it.
+Trusted positives are learning rows labelled 1; labels of 0 are never read. The unlabelled texts are a sample of the
+documents, whatever their labels. The class prior is estimated from those two alone: on halves that a first model has
+not seen, the least ratio, over all score thresholds, of the unlabelled and of the positive share that scores as high
+bounds the prior from above, and is met where only positives score so high; a margin for the sample's size is added to
+each share. A linear model over shape features then minimises prior * R+(P) + max(0, R-(U) - prior * R-(P)) for the
+logistic loss; where the second term turns negative, its gradient is reversed, so the model can't profit from fitting it.
 
 Features say how a whole text looks, not which document it is: the distribution of its bytes, how often words
-repeat, their length and the text's length. The model is fitted on the driver from ``MAX_ROWS`` labelled rows at
-most, those with the smallest hashes of their ids; that is all that comes to the driver. Scoring covers all rows.
+repeat, their length and the text's length. The model is fitted on the driver from ``MAX_ROWS`` positive and as many
+unlabelled texts at most, one for each id, chosen by a hash of their ids; that is all that comes to the driver.
+Scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -65,12 +68,12 @@ class PuModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, l2: float = L2) -> PuModel:
-    """Minimises the non-negative risk by full gradient steps from zero: no chance is involved. All rows are the unlabelled texts."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, l2: float = L2) -> PuModel:
+    """Minimises the non-negative risk by full gradient steps from zero: no chance is involved."""
+    x = np.concatenate([positive, unlabelled])
     mean, deviation = x.mean(axis=0), x.std(axis=0)
     scale = np.where(deviation > 1e-4, 1 / np.maximum(deviation, 1e-4), 0.0)
-    z = np.clip((x - mean) * scale, -8, 8)
-    p = z[positive]
+    p, z = (np.clip((a - mean) * scale, -8, 8) for a in (positive, unlabelled))
     w, b = np.zeros(x.shape[1]), 0.0
     sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -30, 30)))
     moment, speed, moment_b, speed_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -92,28 +95,63 @@ def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, r
     return PuModel(mean, scale, w, float(b), prior)
 
 
+def prior_bound(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The least ratio, over thresholds, of the shares of unlabelled and positive scores that reach it, each share of n with a margin of sqrt(log(20) / 2n)."""
+    cuts = np.unique(positive)
+    share = lambda a: 1 - np.searchsorted(np.sort(a), cuts, "left") / len(a)
+    margin = lambda a: np.sqrt(np.log(20) / (2 * len(a)))
+    have = share(positive)
+    ratio = (share(unlabelled) + margin(unlabelled) + margin(positive)) / np.maximum(have, 1e-9)
+    best = int(np.argmin(np.where(have > 0, ratio, np.inf)))
+    return float(np.clip(share(unlabelled)[best] / have[best], 0.02, 0.98))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The mean bound of two halves, each scored by a model of the other half; 0.5 where a half would be empty. Halves are dealt in an order of a fixed seed."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    positive, unlabelled = (a[np.random.default_rng(0).permutation(len(a))] for a in (positive, unlabelled))
+    halves = [(positive[k::2], unlabelled[k::2]) for k in (0, 1)]
+    found = []
+    for (p, u), (p2, u2) in (halves, halves[::-1]):
+        model = fit(p, u, 0.5)
+        found.append(prior_bound(model.score(p2), model.score(u2)))
+    return sum(found) / 2
+
+
+def _sample(rows: DataFrame, seed: int, size: int, total: int) -> DataFrame:
+    """About ``size`` ids by their hashes, ``size`` at most: a threshold leaves few, of which the smallest hashes are taken."""
+    h = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
+    some = rows if total <= size else rows.where(h < int((1 << 40) * min(1.0, 1.2 * size / total)))
+    return some.select("id").distinct().orderBy(h, "id").limit(size)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> PuModel | None:
-    """The model, or None without any positive or any other learning row. Null ids and labels are left out; repeated labels count once."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    figures = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("n1")).first()
-    if not 0 < figures.n1 < figures.n:
+    """The model, or None without any positive learning row or any document to learn from.
+
+    Null ids and labels are left out, and so are held-out rows, as positives and as unlabelled texts. Of an id with
+    several texts the least one counts; an id labelled both ways counts as positive.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & (F.col(label_col) == 1) & ~held_out(id_col)).select(F.col(id_col).alias("id"))
+    given = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"))
+    n_known, n_given = known.count(), given.count()
+    if not n_known or not n_given:
         return None
-    prior = (figures.n1 + 1) / (figures.n + 2)
-    some = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw")).join(F.broadcast(some), "id")
+    chosen = _sample(known, 1, max_rows, n_known).withColumn("y", F.lit(1)).unionByName(_sample(given.select("id"), 2, max_rows, n_given).withColumn("y", F.lit(0)))
+    rows = given.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("raw").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (ids, texts), ys in zip(text_bytes([batch], "id", "raw", batch.num_rows), [batch.column("y")], strict=False):
                 yield pa.RecordBatch.from_arrays([ids, ys, pa.array([features(t).astype("f4") for t in texts], pa.list_(pa.float32()))], names=["id", "y", "x"])
 
-    got = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<float>").toArrow().sort_by([("id", "ascending")])
+    got = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<float>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     y = got["y"].to_numpy()
-    if not 0 < (y == 1).sum() < len(y):
+    if not (y == 1).any() or not (y == 0).any():
         return None
     x = np.stack(got["x"].to_numpy()).astype("f8")
-    return fit(x, y == 1, prior)
+    positive, unlabelled = x[y == 1], x[y == 0]
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: PuModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,9 @@ its count. Of equal scores the fewer pieces win.
 The public vocabulary files state merge ranks, not probabilities. Ranks follow falling frequency, so piece r gets
 the Zipf log probability -log(r + 2) - log(H), where H makes the sum over all pieces 1.
 
-The trie is emptied when it has ``NODES`` nodes. That bounds a worker's memory and changes no count.
+The trie belongs to a worker and is emptied when it has ``NODES`` nodes, before the next word. Words of more than
+``LONG`` characters get no nodes: only the scores of the last few prefixes, as many as the longest piece has
+characters, are kept. So a worker's memory is bounded whatever the words, and no count changes.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import text_bytes
 
 NODES = 400_000
+LONG = 1_000
 TERMINALS = 800_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -62,7 +65,27 @@ class TrieCounter:
         self.root: list = [0.0, 0, {}]
         self.size = 1
 
+    def count_long(self, word: str) -> int:
+        """``count`` with the scores of the last prefixes only."""
+        scores, longest, unknown = self.scores, self.longest, self.unknown
+        kept = [(0.0, 0)] * (longest + 1)  # of the prefix of d characters at d modulo the size
+        size = longest + 1
+        for d in range(1, len(word) + 1):
+            prior = kept[(d - 1) % size]
+            best, pieces = prior[0] + unknown, prior[1] + 1
+            for start in range(max(0, d - longest), d):
+                s = scores.get(word[start:d])
+                if s is not None:
+                    before = kept[start % size]
+                    total = before[0] + s
+                    if total > best or total == best and before[1] + 1 < pieces:
+                        best, pieces = total, before[1] + 1
+            kept[d % size] = (best, pieces)
+        return kept[len(word) % size][1]
+
     def count(self, word: str) -> int:
+        if len(word) > LONG:
+            return self.count_long(word)
         if self.size > self.limit:
             self.clear()
         scores, longest, node, path = self.scores, self.longest, self.root, [self.root]
@@ -91,7 +114,7 @@ class _Terminals(dict):
         self.trie = trie
 
     def __missing__(self, word: bytes) -> int:
-        n = self.trie.count(SPACE + word.decode())
+        n = self.trie.count(SPACE + word.decode(errors="replace"))
         if len(word) <= 64:
             if len(self) >= TERMINALS:
                 self.clear()
@@ -99,16 +122,22 @@ class _Terminals(dict):
         return n
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str) -> TrieCounter:
+    """One trie for each worker process."""
+    return TrieCounter(load_scores(path))
+
+
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_pretokens, n_tokens of the whole text.
 
-    Null or empty texts have none of either. Null and repeated ids keep their rows; other columns are not read.
+    Null or empty texts have none of either. Null and repeated ids keep their rows; other columns are not read. Bytes
+    that are no UTF-8 are read as U+FFFD.
     ``path`` names a sentencepiece model that every worker can open.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = TrieCounter(load_scores(path))
-        get = trie.terminals.__getitem__
+        get = loaded(path).terminals.__getitem__
         for ids, texts in text_bytes(batches, "id", "raw"):
             words = [raw.split() for raw in texts]
             yield pa.RecordBatch.from_arrays([ids, pa.array(map(len, words), pa.int64()), pa.array((sum(map(get, w)) for w in words), pa.int64())], names=["id", "n_pretokens", "n_tokens"])

@@ -9,8 +9,9 @@ blocking before allowing.
 Rules that share a short prefix are gathered in one row of the join, so an expression never multiplies.
 
 The rule table is broadcast only if it has at most ``BROADCAST_RULES`` rules, counted first. Larger tables are
-joined by shuffle: distinct expressions are looked up first, and expressions of frequent hosts are salted, so
-that a host with a third of all pages doesn't land in one task.
+joined by shuffle: each expression gets one of ``SALTS`` salts by its url's id and path, and the rules are copied
+once for each salt, so the expressions of a host with a third of all pages are spread over as many tasks. A url has
+as many expressions as its host has suffixes, times the distinct path lengths of the rules that its path reaches.
 """
 
 from __future__ import annotations

@@ -169,6 +169,19 @@ def match_all(index: DataFrame, tokens: list[str], id_col: str) -> DataFrame:
     return index.where(F.col("token").isin(*wanted)).groupBy(id_col).agg(F.count("*").alias("k"), F.sum("n").alias("n")).where(F.col("k") == len(wanted)).drop("k")
 
 
+def match_queries(index: DataFrame, wanted: DataFrame, query_col: str, id_col: str) -> DataFrame:
+    """query, id, n (sum of counts) of the documents that hold every token of a query; ``wanted`` has the query's id and its tokens.
+
+    Each query meets the postings of its rarest token first, and only documents found there are asked for its other tokens.
+    """
+    asked = wanted.select(query_col, "token").distinct()
+    sizes = index.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("__df"))
+    rare = asked.join(sizes, "token", "left").groupBy(query_col).agg(F.min_by("token", F.struct(F.coalesce("__df", F.lit(0)), "token")).alias("token"), F.count("*").alias("__k"))
+    found = index.select("token", id_col).join(rare, "token").select(query_col, id_col, "__k")
+    met = found.join(asked, query_col).join(index.select("token", id_col, "n"), ["token", id_col])
+    return met.groupBy(query_col, id_col, "__k").agg(F.count("*").alias("__got"), F.sum("n").alias("n")).where("__got = __k").select(query_col, id_col, "n")
+
+
 def probe(df: DataFrame) -> DataFrame:
     """Row count of a table that is only read."""
     return df.agg(F.count("*").alias("n_rows"))

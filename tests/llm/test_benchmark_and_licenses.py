@@ -71,6 +71,20 @@ def test_removal_in_blocks_equals_one_block(spark):
     assert [r[1] for r in whole if r[0] == 2] == [f"{s} {rest}  {s}"]
 
 
+def test_long_items_are_cut_and_rows_kept(spark):
+    rng = random.Random(6)
+    long = [rng.choice("abcd") for _ in range(60)]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, "z z z z z z"), (None, "q q q q q"), (2, "z z z z z z")], "item_id long, text string")
+    texts = [" ".join(long[i : i + 12]) for i in range(0, 50, 3)] + ["z z z z z z z", None, "", "q q q q q"]
+    docs = spark.createDataFrame([(i % 7 if i % 5 else None, t, 1) for i, t in enumerate(texts + texts)], "doc_id long, text string, sha int")
+    got = lambda block: sorted((tuple(r) for r in decontaminate.contamination(docs, items, 5, block).collect()), key=str)
+    whole = got(500_000)
+    assert len(whole) == 2 * len(texts) and got(7) == whole and got(20) == whole
+    assert decontaminate.contamination(docs.limit(0), items, 5, 7).count() == 0
+    cut = lambda block: sorted((tuple(r) for r in decontaminate.remove_spans(docs, items, 5, 0.9, block).collect()), key=str)
+    assert cut(7) == cut(500_000)
+
+
 def licenses(text):
     w, found = alnum_words(text), []
     for phrase, label in license_scan.PHRASES.items():
@@ -86,8 +100,61 @@ def test_license_query(spark, sf):
     assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
 
 
+def plain_scan(text, templates, phrases, min_match, max_gap, cover):
+    """Stretches by trying every substring, chains by trying every earlier stretch."""
+    w = alnum_words(text)
+    own = [(label, alnum_words(t)) for label, t in templates]
+    known = {tuple(t[i:j]) for t in [*(t for _, t in own), *(alnum_words(p) for p in phrases)] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    longest = []
+    for end in range(len(w) + 1):
+        longest.append(next(n for n in range(end, -1, -1) if n == 0 or tuple(w[end - n : end]) in known))
+    ends = [e for e in range(1, len(w) + 1) if longest[e] and (e == len(w) or longest[e + 1] != longest[e] + 1)]
+    out = []
+    for label, t in own:
+        stretches = [(e, longest[e], p) for e in ends if longest[e] >= min(min_match, len(t)) for p in range(longest[e], len(t) + 1) if t[p - longest[e] : p] == w[e - longest[e] : e]]
+        chains = []
+        for e, n, p in stretches:
+            mine = (n, -(e - n), -e)
+            for k, (e2, _, p2) in enumerate(stretches[: len(chains)]):
+                shared = max(0, e2 - (e - n))
+                if e2 < e and e - n - e2 <= max_gap and shared < n and 0 <= p - n + shared - p2 <= max_gap:
+                    mine = max(mine, (chains[k][0] + n - shared, chains[k][1], -e))
+            chains.append(mine)
+        if chains and max(chains)[0] / len(t) >= cover:
+            c, s, e = max(chains)
+            out.append((label, -s, -e, c / len(t)))
+    return sorted(out)
+
+
+def test_license_chains_equal_plain():
+    rng = random.Random(11)
+    for _ in range(300):
+        templates = [(f"l{k}", " ".join(rng.choice("abcdef") for _ in range(rng.randint(2, 14)))) for k in range(4)]
+        phrases = {"a b": "x", "c d e": "y"}
+        text = " ".join(rng.choice("abcdefz") for _ in range(rng.randint(0, 12)))
+        for _ in range(3):
+            t = rng.choice(templates)[1].split()
+            cut = rng.randint(0, len(t))
+            text += " " + " ".join([*t[:cut], *rng.choice([[], ["z"], ["z", "z", "z", "z"]]), *t[cut + rng.randint(0, 2) :]])
+        matcher = license_scan.LicenseMatcher(templates, phrases, 2, 2, 0.3)
+        assert matcher.match([x.encode() for x in alnum_words(text)])[1] == plain_scan(text, templates, phrases, 2, 2, 0.3), text
+
+
+def test_whole_licenses(spark):
+    texts = dict(zip(license_scan.LICENSES, (t for _, t in license_scan.templates()[len(license_scan.NOTICES) :]), strict=True))
+    assert len(alnum_words(texts["GPL-3"])) > 5000
+    rows = [(k, f"intro {t} outro") for k, t in texts.items()] + [("half", texts["GPL-3"][:12000])]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for k, label in license_scan.LICENSES.items():
+        assert label in got[k].labels.split(",") and any(s.label == label and s.coverage == 1 for s in got[k].spans), k
+    assert not any(s.label == "gpl" and s.end - s.start > 1000 for s in got["half"].spans)
+    odd = spark.createDataFrame([(None, "MIT License"), (1, "MIT License"), (1, "MIT License"), (2, "")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_base) for r in license_scan.scan_licenses(odd).collect()) == [("1", 1), ("1", 1), ("2", 0), ("None", 1)]
+    assert license_scan.scan_licenses(odd.limit(0)).count() == 0
+
+
 def test_license_spans(spark):
-    bsd = dict(license_scan.TEMPLATES)["bsd"]
+    bsd = dict(license_scan.NOTICES)["bsd"]
     broken = bsd.replace("binary forms", "object code forms")
     rows = [(1, f"x y {bsd} z"), (2, f"x {broken}"), (3, "Redistribution and use in source"), (4, None), (5, "MIT  license, apache-license; General\nPublic License mit license"), (6, "x Licensed under CC BY-NC 4.0. y")]
     got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, labels string")).collect()}

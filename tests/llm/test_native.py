@@ -1,10 +1,12 @@
 """Operators that run as DataFrame expressions: quality rules, chat format, URL filter, line dedup; and the classifier."""
 
+import math
 import random
 import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from helpers import plain_words, sha
 
@@ -71,6 +73,7 @@ def test_reply_trees_choose_the_best_branch(spark):
         for m in range(rng.randint(1, 30)):
             rows.append((tree, m, None if m == 0 else rng.randrange(max(0, m - 4), m), rng.choice([None, 0.0, 1.0, 2.0])))
     rows += [(99, 1, 2, 1.0), (99, 2, 1, 1.0), (98, 5, 77, 1.0)]  # a circle; a missing parent
+    rows += [(97, 1, None, 1.0), (97, 2, 1, 1.0), (97, 3, 2, 1.0), (96, 1, None, 1.0), (96, 5, 4, 1.0), (95, 3, None, 1.0), (95, 2, 3, None), (94, 1, None, 1.0), (94, 2, 3, 1.0), (94, 3, 2, 1.0)]  # a path; one with a missing parent; one backward; a root beside a circle
     want = set()
     for tree in {r[0] for r in rows} - {99}:
         own = {m: (p, s or 0.0) for t, m, p, s in rows if t == tree}
@@ -83,7 +86,10 @@ def test_reply_trees_choose_the_best_branch(spark):
             key = (sum(own[x][1] for x in path) / len(path), len(path), -leaf)
             best = max(best or (key, path), (key, path))
         want |= {(tree, m) for m in best[1]}
-    got = chat_format.chosen_paths(spark.createDataFrame(rows, "tree long, msg long, parent long, score double"), 8)
+    frame = spark.createDataFrame(rows, "tree long, msg long, parent long, score double")
+    out = {tuple(r) for r in chat_format.left_out(frame).collect()}
+    assert {(t, m) for t, m, _, _ in rows} - out == want
+    got = chat_format.chosen_paths(spark.createDataFrame(rows, "tree long, msg long, parent long, score double"))
     assert {tuple(r) for r in got.collect()} == want
 
 
@@ -243,8 +249,69 @@ def test_classifier_ranks_held_out_rows(spark):
 
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(None, None, 1.0), (1, "", 1.0), (1, "x" * 50000, 1.0), (2, "a b", 1.0)], "doc_id long, text string, score double")
-    labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    assert quality_classifier.train(docs, labels) is None
+    labels = spark.createDataFrame([(1, 0, 0), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.train(docs, labels) is None and quality_classifier.train(docs.limit(0), labels) is None
     got = quality_classifier.score(docs, None).collect()
     assert len(got) == 4 and {r.score for r in got} == {0.5}
     assert quality_classifier.score(docs.limit(0), None).count() == 0
+
+
+def test_classifier_takes_one_text_for_each_id(spark):
+    rng = random.Random(9)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(40))
+    bad = lambda: " ".join(rng.choice("#$%&") * 9 for _ in range(40))
+    rows = [(i, good() if i % 2 else bad()) for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    once = quality_classifier.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, 60)
+    again = quality_classifier.train(spark.createDataFrame(rows * 3 + [(None, bad())], "doc_id long, text string"), labels.union(labels), 60)
+    x = [quality_classifier.features(t.encode()) for _, t in rows]
+    for model in (once, again):  # repeated rows count in the sample's threshold, never twice in the sample
+        assert 0.3 < model.prior < 0.7 and all((s >= 0.5) == bool(i % 2) for (i, _), s in zip(rows, model.score(np.stack(x)), strict=True))
+    whole = [quality_classifier.train(spark.createDataFrame(rows * k, "doc_id long, text string"), labels, 10_000) for k in (1, 3)]
+    assert whole[0].prior == whole[1].prior and np.allclose(whole[0].weights, whole[1].weights)
+
+
+def plain_fit(p, u, prior, steps, rate, l2):
+    """The module's rule, number by number."""
+    every, k = p + u, len(p[0])
+    mean = [sum(x[j] for x in every) / len(every) for j in range(k)]
+    dev = [math.sqrt(sum((x[j] - mean[j]) ** 2 for x in every) / len(every)) for j in range(k)]
+    norm = lambda x: [max(-8, min(8, (x[j] - mean[j]) / dev[j])) if dev[j] > 1e-4 else 0.0 for j in range(k)]
+    p, u = [norm(x) for x in p], [norm(x) for x in u]
+    sig = lambda t: 1 / (1 + math.exp(-t))
+    w, m, v = [0.0] * (k + 1), [0.0] * (k + 1), [0.0] * (k + 1)
+    for t in range(1, steps + 1):
+        g = lambda x: sum(a * b for a, b in zip(w, [*x, 1], strict=True))
+        taken = sum(math.log1p(math.exp(g(x))) for x in u) / len(u) - prior * sum(math.log1p(math.exp(g(x))) for x in p) / len(p)
+        grad = [0.0] * (k + 1)
+        for x in p:
+            plus, minus = -prior * sig(-g(x)) / len(p), -prior * sig(g(x)) / len(p)
+            for j, a in enumerate([*x, 1]):
+                grad[j] += a * (plus + minus if taken >= 0 else -minus)
+        for x in u:
+            for j, a in enumerate([*x, 1]):
+                grad[j] += a * sig(g(x)) / len(u) * (1 if taken >= 0 else -1)
+        for j in range(k + 1):
+            d = grad[j] + (l2 * w[j] if j < k else 0)
+            m[j], v[j] = 0.9 * m[j] + 0.1 * d, 0.99 * v[j] + 0.01 * d * d
+            w[j] -= 0.1 * rate / (1 + t / 100) * (m[j] / (1 - 0.9**t)) / (math.sqrt(v[j] / (1 - 0.99**t)) + 1e-8)
+    return w, [sig(sum(a * b for a, b in zip(w, [*x, 1], strict=True))) for x in u]
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.9])
+def test_fit_equals_plain(prior):
+    rng = random.Random(2)
+    p = [[rng.gauss(1, 1), rng.gauss(0, 1), 3.0] for _ in range(12)]
+    u = [[rng.gauss(1 if i % 3 == 0 else -1, 1), rng.gauss(0, 1), 3.0] for i in range(25)]
+    w, scores = plain_fit(p, u, prior, 60, 0.5, 1e-4)
+    model = quality_classifier.fit(np.array(p), np.array(u), prior, steps=60)
+    assert np.allclose(model.weights, w[:-1]) and np.isclose(model.bias, w[-1]) and np.allclose(model.score(np.array(u)), scores)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_is_estimated_without_negatives(share):
+    rng = np.random.default_rng(4)
+    positive = rng.normal(2, 1, (2000, 3))
+    mixed = np.where(rng.random((4000, 1)) < share, rng.normal(2, 1, (4000, 3)), rng.normal(-2, 1, (4000, 3)))
+    assert abs(quality_classifier.estimate_prior(positive, mixed) - share) < 0.06

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -81,6 +82,28 @@ def test_trie_counts_equal_plain_segmentation(nodes):
         assert trie.count("▁" + word) == viterbi("▁" + word, scores, trie.unknown)
 
 
+def test_long_words_need_no_nodes():
+    rng = random.Random(3)
+    pieces = list(dict.fromkeys("".join(rng.choice("▁abc") for _ in range(rng.randint(1, 6))) for _ in range(90)))
+    trie = token_counts.TrieCounter(token_counts.zipf_scores(pieces), 100_000)
+    for size in (0, 1, 5, 6, 7, 8, 40, 300):
+        word = "▁" + "".join(rng.choice("abcd") for _ in range(size))
+        assert trie.count_long(word) == viterbi(word, trie.scores, trie.unknown) == trie.count(word)
+    made = trie.size
+    tracemalloc.start()
+    assert trie.count("▁" + "ab" * 150_000) > 0
+    assert trie.size == made and tracemalloc.get_traced_memory()[1] < 3_000_000
+    tracemalloc.stop()
+
+
+def test_bytes_that_are_no_utf8(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(unhex('61FF6220FF') AS STRING) AS text")
+    assert token_counts.count_tokens(docs, queries.piece_file()).first().n_pretokens == 2
+    assert byte_bpe.encode_documents(docs, *queries.bpe_files()).first().decoded_sha256 == sha("a\ufffdb \ufffd")
+    with pytest.raises(ValueError, match="without a rank"):
+        byte_bpe.ByteBpe({b"a": 0}, ".")
+
+
 def test_token_count_query(spark, sf):
     scores = token_counts.load_scores(queries.piece_file())
     unknown = min(scores.values()) - token_counts.UNKNOWN_PENALTY
