@@ -115,3 +115,30 @@ GROUPS = r"^(?:众人|大家|所有人|他们|她们|我们|咱们)$|^[两三四
 GATE = "的地得道说问答喊叫想看听忍住禁释追恭该当即续板街反没还就都也又再才刚不对从在了着过被把只"
 PUNCT = "，。！？；：、\n“”\"『』「」（）() \t"
 CUE_HEADS = "说道问答喊叫嚷喝斥诉询诘"
+
+#: Verbs of the mention lexicon's cues, and what is cut off the start and the end of the blocks before them.
+LEXICON_VERBS = "低声道 厉声道 沉声道 淡淡道 冷冷道 轻声说 低声说 大声说 小声说 柔声道 颤声道 说道 答道 问道 喊道 叫道 怒道 笑道 哭道 叹道 开口道 回答说 回答 开口 说 问 答 喊 叫 道".split()
+BLOCK_HEADS = """
+忽然间 突然之间 忽然 突然 连忙 赶紧 立刻 马上 终于 随后 接着 然后 于是 只好 忍不住 不禁 好奇 继续 当即 淡淡 冷冷 轻轻 微微 缓缓 低声 大声 轻声 厉声 沉声 尖声 柔声 颤声 娇声 齐声 高声 平静
+严肃 认真 喃喃 急切 狠狠 默默 气恼 恼怒 温和 犹豫 沉思 叹息 点头 摇头 抬头 低头 转身 回头 皱眉 微笑 苦笑 冷笑 大笑 耸肩 跪在 站在 坐在 躺在 立在 走在 躲在 看着 望着 盯着
+这才 只是 只能 还是 又 也 还 就 都 再 才 刚 正 便 却 忙 即 竟 倒 仍 顿时 一时间 片刻后 良久 对 向 跟 和 与 给 为 替 从 把 被 在 于
+""".split()
+BLOCK_TAILS = "的地得着了过呢吗啊吧呀嘛哦嘿"
+GAZES, GAZE_ENDS = "看着 望着 盯着 打量着 看了看 看了一眼 扫了一眼 瞥了一眼 瞪了一眼 看了看 看了 望了 瞧了 瞄了".split(), "的背影 的样子 的模样 的身形 的身影 的方向 的位置 一眼 一下".split()
+#: Titles behind and before a name in the mention lexicon.
+NAME_SUFFIXES = """
+先生 小姐 局长 书记 大人 公子 姑娘 殿下 陛下 夫人 太太 兄台 兄长 大哥 大姐 兄弟 老弟 老师 师傅 道长 将军 老爷 少爷 婆婆 奶奶 爷爷 女侠 少侠 掌门 门主 帮主 教主 盟主 长老 护法 堂主 掌柜 老板 经理
+总管 员外 相公 娘子 兄 哥 姐 叔 婶 伯 姨 爷 奶 妹 弟 翁 公 桑 君 郎
+""".split()
+NAME_PREFIXES = "西城县令 县令 知府 知州 知军 尚书 侍郎 御史 将军 都督 总兵 指挥使 巡检 主簿 典史 驿丞 大祭司 祭司 皇子 太子 公主 郡主 王爷 世子 长老 掌门 教主 帮主 堂主 护法 使者".split()
+#: First characters that call nobody, and how speakers introduce themselves.
+NO_CALL, INTRODUCTIONS = "你我他她咱嗯啊哦哼", "我是 我叫 在下 本座 本官 小女子 老娘 俺叫 我是你".split()
+#: Weights of the kinds of mention, and the most that counts of each.
+MENTION_WEIGHTS = {"vocative": (14.0, None), "self_intro": (16.0, None), "cue": (12.0, None), "narrative": (4.0, 10), "total": (1.2, 50)}
+#: Characters of a mention by which its class is told.
+ROLE_CHARS, GROUP_CHARS, MACHINE_CHARS = "局长大人将军公子小姐殿下陛下师父长老掌门掌柜老板师傅道长", "众将士执法队家丁弟子们孩子们一群人", "系统AI精灵器灵机械管家机器人"
+#: Patterns of sure voice bindings: whose voice changes, who imitates whose, who gets an own voice back; and verbs of perception that spoil the first.
+OWN_VOICE = r"([一-龥A-Za-z·]{2,8})的(声音|嗓音|声线|音色|腔调|口音|嗓子)(?:突然|忽然|竟|却|已经|又)?(变|换|恢复|改变|模仿|压低|消失|被处理|被调)"
+PERCEIVED = "(听见|听到|看到|看见|发现|觉得|感觉|告诉|让|叫|令|使|对|向)"
+IMITATED = r"([一-龥A-Za-z·]{2,8})(?:模仿|学着|学|装成|换成|假装|学着|扮作)([一-龥A-Za-z·]{2,8})的(声音|嗓音|声线|语气|腔调|口音)"
+OWN_AGAIN = r"([一-龥A-Za-z·]{2,8})(?:恢复|变回|回到)(?:了|成)?(?:自己|原本|原来)?的?(声音|原声|嗓音|声线)"

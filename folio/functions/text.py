@@ -101,3 +101,8 @@ def free_name(df: DataFrame, name: str) -> str:
     while (name := f"_{name}") in taken:
         pass
     return name
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for each row, not at each use: what uses it often stays a small expression."""
+    return F.transform(F.array(value), body)[0]

@@ -198,3 +198,8 @@ def metric_deltas(metrics: DataFrame, base: str, name: str = "run") -> DataFrame
 def entity_frequency(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     """Counts of each name that reach the gate."""
     return rows.groupBy(*keys, "name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def distinct_counts(rows: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Exact numbers of distinct values of each column, nulls aside, in all or by key."""
+    return rows.groupBy(*(keys or [])).agg(*(F.count_distinct(c).alias(f"n_{c}") for c in columns))

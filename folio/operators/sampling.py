@@ -192,3 +192,9 @@ def priority_top(rows: DataFrame, score: Column, n: int, tie: str) -> DataFrame:
 
 def hardness(signals: list[Column]) -> Column:
     return sum((F.coalesce(s, F.lit(False)).cast("int") for s in signals), F.lit(0))
+
+
+def united(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys of two sets, with in_first and in_second; where only one holds, the row is of the difference, where both do, of the intersection."""
+    both = first.select(*keys, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(second.select(*keys, F.lit(0).alias("__a"), F.lit(1).alias("__b")))
+    return both.groupBy(*keys).agg((F.max("__a") == 1).alias("in_first"), (F.max("__b") == 1).alias("in_second"))

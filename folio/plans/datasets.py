@@ -50,8 +50,8 @@ def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SURFACES}, g AS (SELECT string_split(text, '') AS c, unnest(range(1, length(text) + 1)) AS i FROM documents), p AS (SELECT c[i - 1] AS l, list_slice(c, i, i + 6) AS x FROM g),
-    h AS (SELECT array_to_string(x[1:n], '') AS surface, coalesce(l, '') AS l, coalesce(x[n + 1], '') AS r FROM p, (VALUES (2), (3), (4), (5), (6)) AS v(n) WHERE len(x) >= n AND array_to_string(x[1:n], '') IN (SELECT surface FROM s))
+    f"""WITH {SURFACES}, g AS (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM documents), p AS (SELECT CASE WHEN i > 1 THEN substr(text, i - 1, 1) ELSE '' END AS l, substr(text, i, 7) AS x FROM g),
+    h AS (SELECT substr(x, 1, n) AS surface, l, substr(x, n + 1, 1) AS r FROM p, (VALUES (2), (3), (4), (5), (6)) AS v(n) WHERE length(x) >= n AND substr(x, 1, n) IN (SELECT surface FROM s))
     SELECT s.surface, count(h.r) AS total, count(*) FILTER (h.r IN (':', '?')) AS cue_bound, count(DISTINCT h.r) AS right_kinds, count(*) FILTER ((l = '' OR l IN (' ', chr(10), ',', '.')) AND NOT h.r IN (':', '?')) AS independent, count(h.r) - count(*) FILTER (h.r IN (':', '?')) AS free FROM s LEFT JOIN h USING (surface) GROUP BY s.surface"""
 )
 def surface_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def prev_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cue that ends the turn before: turns that end in a full stop get one, in ways that differ by turn, the others a shout."""
     w = W.partitionBy("conv_id").orderBy("turn")
     name = F.when(F.col("role") == "user", "张三").otherwise("李四")
-    verb = F.element_at(F.array(*map(F.lit, ["说道：", "又忙说", "轻声问道：“", "叹了口气，忽然笑道："])), (F.col("turn") % 4 + 1).cast("int"))
+    verb = F.element_at(F.array(*map(F.lit, ["说道：", "忙又说", "轻声问道”：", "叹了口气，忽然笑道："])), (F.col("turn") % 4 + 1).cast("int"))
     cue = F.when(F.col("turn") % 4 == 3, F.concat(F.lit("，忽然"), name, F.lit("笑道："))).otherwise(F.concat(F.lit("，"), name, verb))
     text = F.concat("text", F.when(F.right("text", F.lit(1)) == ".", cue).otherwise("，张三惨叫"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag(segments.trailing_cue(text)).over(w).alias("prev_cue"))
