@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.checkpoints import cut
 from folio.functions.numerals import parse_numeral
 from folio.lexicon import LATIN
 from folio.operators import asof, blocks, boundaries, chapters, layout, lines, paragraphs, segments
@@ -230,8 +231,9 @@ def style_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = chapters.winners(candidate_rows(spark, sf_dir))
-    totals = document_lines(spark, sf_dir).groupBy("doc_id").agg(F.max("line_no").alias("n_lines"))
+    """The winners of each line are written once: volumes, style, contents and scores all read them."""
+    groups = cut(chapters.winners(candidate_rows(spark, sf_dir)))
+    totals = cut(document_lines(spark, sf_dir).groupBy("doc_id").agg(F.max("line_no").alias("n_lines")))
     return chapters.resolve(groups, chapters.volumes(groups), chapters.style_profile(groups), chapters.toc_blocks(groups, totals), totals)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import names, segments, versions
@@ -70,9 +71,12 @@ def plain_evidence(texts, surface):
     return len(sides), cue, len({r for _, r in sides}), sum(x in ("", " ", "\n") and r not in (":", "?") for x, r in sides), len(sides) - cue
 
 
-def test_surfaces_of_any_length(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_surfaces_of_any_length(spark, monkeypatch, small):
+    monkeypatch.setattr(names, "SMALL", small)
+    monkeypatch.setattr(names, "BATCH_CHARS", 300)
     rng = random.Random(4)
-    texts = ["".join(rng.choice("ab: \n𝒳é") for _ in range(n)) for n in (1, 2, 63, 64, 65, 66, 129, 500)] + ["", None, "elephant? elephant", "x" * 62 + "elephant: elephants"]
+    texts = ["".join(rng.choice("ab: \n𝒳é") for _ in range(n)) for n in (1, 2, 63, 64, 65, 66, 129, 500)] + ["", None, "\x00a\x00", "elephant? elephant", "x" * 62 + "elephant: elephants"]
     surfaces = ["a", "ab", "elephant", "ba𝒳", "a" * 9, "é"]
     got = names.surface_evidence(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string"), spark.createDataFrame([(s,) for s in surfaces], "surface string"), cue_heads=":?", punct=" \n")
     assert {r.surface: (r.total, r.cue_bound, r.right_kinds, r.independent, r.free) for r in got.collect()} == {s: plain_evidence(texts, s) for s in surfaces}
