@@ -10,7 +10,10 @@ from folio.functions.numerals import normalize_digits
 from folio.operators import decisions, evaluation, generators, identity, integrity, render, sampling, state, versions
 from folio.plans.base import query, table
 
-K = F.col("o_orderkey")
+
+
+def order_key() -> Column:
+    return F.col("o_orderkey")
 
 
 def pick(key: Column, *values) -> Column:
@@ -50,8 +53,8 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def instruction_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instructions compiled from decision fields, with the values that no phrase is known for."""
-    fields = {"emotion": pick(K, "SAD", "ANGRY", "NEUTRAL", "TIRED", "CALM"), "pace": pick(K, "SLOW", "NORMAL", "FAST"), "volume": pick(K, "LOUD", "NORMAL"), "tone": pick(K, "WARM", "NEUTRAL", "ODD", "SERIOUS")}
-    rows = orders(spark, sf_dir).select("o_orderkey", *(c.alias(n) for n, c in fields.items()), ((K % 10) / 10).alias("intensity"))
+    fields = {"emotion": pick(order_key(), "SAD", "ANGRY", "NEUTRAL", "TIRED", "CALM"), "pace": pick(order_key(), "SLOW", "NORMAL", "FAST"), "volume": pick(order_key(), "LOUD", "NORMAL"), "tone": pick(order_key(), "WARM", "NEUTRAL", "ODD", "SERIOUS")}
+    rows = orders(spark, sf_dir).select("o_orderkey", *(c.alias(n) for n, c in fields.items()), ((order_key() % 10) / 10).alias("intensity"))
     made = rows.select("o_orderkey", render.compile_instruction({n: F.col(n) for n in fields}, F.col("intensity")).alias("i"))
     return made.select("o_orderkey", "i.instruction", F.array_join("i.unknown_keys", ",").alias("unknown_keys"), "i.mode")
 
@@ -67,10 +70,10 @@ v AS (SELECT *, CASE WHEN k % 23 = 0 THEN -1 ELSE length(text) END AS span_end F
 )
 def unit_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules that each render unit breaks; units are damaged by their order's key."""
-    text = F.when(K % 11 == 0, None).when(K % 11 == 1, "   ").when(K % 11 == 2, F.repeat(F.lit("x"), F.lit(401))).otherwise("abc")
+    text = F.when(order_key() % 11 == 0, None).when(order_key() % 11 == 1, "   ").when(order_key() % 11 == 2, F.repeat(F.lit("x"), F.lit(401))).otherwise("abc")
     rows = orders(spark, sf_dir).select(
-        "o_orderkey", F.when(K % 7 > 0, "u").alias("unit_id"), text.alias("text"), F.when(K % 5 > 0, "v").otherwise("").alias("voice_id"), F.when(K % 13 == 0, None).when(K % 13 == 1, 3.0).otherwise(1.0).alias("speed"), F.when(K % 17 == 0, -1).otherwise(1).alias("ordinal"),
-        F.when(K % 19 > 0, "s").alias("speaker"), F.lit(0).alias("span_start"), F.when(K % 23 == 0, -1).otherwise(F.length(text)).alias("span_end"), F.when(K % 29 == 0, "ODD").when(K % 2 == 0, "INSTRUCTED").otherwise("PLAIN").alias("mode"), F.when(K % 3 == 0, "").otherwise("x").alias("instruction"),
+        "o_orderkey", F.when(order_key() % 7 > 0, "u").alias("unit_id"), text.alias("text"), F.when(order_key() % 5 > 0, "v").otherwise("").alias("voice_id"), F.when(order_key() % 13 == 0, None).when(order_key() % 13 == 1, 3.0).otherwise(1.0).alias("speed"), F.when(order_key() % 17 == 0, -1).otherwise(1).alias("ordinal"),
+        F.when(order_key() % 19 > 0, "s").alias("speaker"), F.lit(0).alias("span_start"), F.when(order_key() % 23 == 0, -1).otherwise(F.length(text)).alias("span_end"), F.when(order_key() % 29 == 0, "ODD").when(order_key() % 2 == 0, "INSTRUCTED").otherwise("PLAIN").alias("mode"), F.when(order_key() % 3 == 0, "").otherwise("x").alias("instruction"),
     )
     return rows.select("o_orderkey", F.array_join(render.unit_violations(), ",").alias("faults"))
 
@@ -79,15 +82,15 @@ def unit_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def speech_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wanted engine (a, b or d) if it runs, else the first fallback that does; a and c run."""
     none = F.array().cast("array<string>")
-    fallbacks = F.when(K % 4 == 0, none).when(K % 4 == 1, F.array(F.lit("b"), F.lit("c"))).when(K % 4 == 2, F.array(F.lit("b")))
+    fallbacks = F.when(order_key() % 4 == 0, none).when(order_key() % 4 == 1, F.array(F.lit("b"), F.lit("c"))).when(order_key() % 4 == 2, F.array(F.lit("b")))
     engines = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "engine string, available boolean")
-    return render.speech_route(orders(spark, sf_dir).select("o_orderkey", pick(K, "a", "b", "d").alias("wanted"), fallbacks.alias("fallbacks")), engines).select("o_orderkey", "route")
+    return render.speech_route(orders(spark, sf_dir).select("o_orderkey", pick(order_key(), "a", "b", "d").alias("wanted"), fallbacks.alias("fallbacks")), engines).select("o_orderkey", "route")
 
 
 @query("SELECT o_orderkey AS unit_id, CASE WHEN o_orderkey % 4 = 0 THEN 'CACHED' WHEN o_orderkey % 2 = 1 THEN 'PLANNED' WHEN o_orderkey % 3 <> o_orderkey % 5 THEN 'STALE' ELSE 'KEEP' END AS action FROM orders")
 def job_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to do with each unit: half of them have a job, a quarter an asset of their key."""
-    o = orders(spark, sf_dir).select(K.alias("unit_id"), F.concat(F.lit("k"), (K % 3).cast("string")).alias("cache_key"), F.concat(F.lit("k"), (K % 5).cast("string")).alias("old_key"))
+    o = orders(spark, sf_dir).select(order_key().alias("unit_id"), F.concat(F.lit("k"), (order_key() % 3).cast("string")).alias("cache_key"), F.concat(F.lit("k"), (order_key() % 5).cast("string")).alias("old_key"))
     jobs = o.where("unit_id % 2 = 0").select("unit_id", F.col("old_key").alias("cache_key"), F.col("unit_id").alias("updated_at"))
     jobs = jobs.unionByName(jobs.select("unit_id", F.lit("k9").alias("cache_key"), (F.col("updated_at") - 1).alias("updated_at")))
     return render.plan_units(o.drop("old_key"), jobs, o.where("unit_id % 4 = 0").drop("old_key")).select("unit_id", "action")
@@ -96,14 +99,14 @@ def job_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS job_id, (1 + o_orderkey % 6)::BIGINT AS attempts, CASE WHEN o_orderkey % 6 >= 4 THEN 'FAILED' ELSE 'RETRY' END AS state, CASE WHEN o_orderkey % 6 < 4 THEN 1000000 + 1000 * (2 ** (o_orderkey % 6))::BIGINT END AS not_before FROM orders")
 def job_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed jobs wait twice as long after each attempt, until five are used up."""
-    jobs = orders(spark, sf_dir).select(K.alias("job_id"), (K % 6).alias("attempts"), F.lit("RUNNING").alias("state"), F.lit(0).cast("long").alias("not_before"))
+    jobs = orders(spark, sf_dir).select(order_key().alias("job_id"), (order_key() % 6).alias("attempts"), F.lit("RUNNING").alias("state"), F.lit(0).cast("long").alias("not_before"))
     return render.fail_jobs(jobs, F.lit(1_000_000).cast("long")).select("job_id", "attempts", "state", "not_before")
 
 
 @query("SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 4 = 0 THEN 'DONE' WHEN o_orderkey % 2 = 0 AND o_orderstatus = 'O' THEN 'CANCELLED' ELSE o_orderstatus END AS state FROM orders")
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open jobs of even ids are cancelled, then those of every fourth id finish."""
-    jobs = orders(spark, sf_dir).select(K.alias("job_id"), F.col("o_orderstatus").alias("state"))
+    jobs = orders(spark, sf_dir).select(order_key().alias("job_id"), F.col("o_orderstatus").alias("state"))
     marked = render.mark_state(jobs, jobs.where("job_id % 2 = 0"), "CANCELLED", ["O"])
     finished = jobs.where("job_id % 4 = 0").select("job_id", F.col("job_id").alias("unit_id"), F.lit(2).alias("version"))
     return render.complete_jobs(marked, finished.limit(0).select("unit_id", "version"), finished)[0]
@@ -112,7 +115,7 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey AS unit_id, max(o_orderkey) AS version FROM orders GROUP BY o_custkey")
 def newest_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each unit's assets, old ones and those just finished, the newest version stays."""
-    o = orders(spark, sf_dir).select(K.alias("job_id"), F.col("o_custkey").alias("unit_id"), K.alias("version"))
+    o = orders(spark, sf_dir).select(order_key().alias("job_id"), F.col("o_custkey").alias("unit_id"), order_key().alias("version"))
     assets = o.where("job_id % 2 = 0").select("unit_id", "version")
     return render.complete_jobs(o.select("job_id", F.lit("RUNNING").alias("state")), assets, o.where("job_id % 2 = 1"))[1]
 
@@ -121,7 +124,7 @@ def newest_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assets_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assets in the asker's order, misses left out: customers are assets, and every third one is missing."""
     assets = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("unit_id"), F.col("c_name").alias("name"))
-    return render.assets_in_order(orders(spark, sf_dir).select((K % 50).alias("ordinal"), F.col("o_custkey").alias("unit_id")), assets).select("ordinal", "unit_id", "name")
+    return render.assets_in_order(orders(spark, sf_dir).select((order_key() % 50).alias("ordinal"), F.col("o_custkey").alias("unit_id")), assets).select("ordinal", "unit_id", "name")
 
 
 REVISIONS = "r AS (SELECT o_orderkey AS revision_id, o_custkey AS owner_scope, o_orderkey % 2 AS artifact_type, CASE o_orderstatus WHEN 'F' THEN 'ACTIVE' WHEN 'O' THEN 'BUILDING' ELSE 'SUPERSEDED' END AS state, o_orderkey % 3 AS input_hash FROM orders)"
@@ -129,7 +132,7 @@ REVISIONS = "r AS (SELECT o_orderkey AS revision_id, o_custkey AS owner_scope, o
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.when(F.col("o_orderstatus") == "F", "ACTIVE").when(F.col("o_orderstatus") == "O", "BUILDING").otherwise("SUPERSEDED")
-    return orders(spark, sf_dir).select(K.alias("revision_id"), F.col("o_custkey").alias("owner_scope"), (K % 2).alias("artifact_type"), made.alias("state"), (K % 3).alias("input_hash"), F.lit(1).alias("algorithm_version"))
+    return orders(spark, sf_dir).select(order_key().alias("revision_id"), F.col("o_custkey").alias("owner_scope"), (order_key() % 2).alias("artifact_type"), made.alias("state"), (order_key() % 3).alias("input_hash"), F.lit(1).alias("algorithm_version"))
 
 
 @query(f"WITH {REVISIONS} SELECT owner_scope, artifact_type, max(revision_id) AS revision_id FROM r WHERE state = 'ACTIVE' GROUP BY ALL")
@@ -172,7 +175,7 @@ def undone_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS from_entity, o_custkey AS to_entity FROM orders WHERE o_orderkey % 100 = 1 OR o_custkey % 100 = 1")
 def lineage_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links from orders or to customers whose number ends in 01."""
-    links = orders(spark, sf_dir).select(K.alias("from_entity"), F.col("o_custkey").alias("to_entity"))
+    links = orders(spark, sf_dir).select(order_key().alias("from_entity"), F.col("o_custkey").alias("to_entity"))
     low = lambda c: links.select(F.col(c).alias("entity")).where("entity % 100 = 1")
     a = versions.lineage_of(links, low("from_entity")).where("from_entity % 100 = 1")
     return a.union(versions.lineage_of(links, low("to_entity")).where("to_entity % 100 = 1")).distinct()
@@ -182,12 +185,12 @@ def lineage_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table synced with what was found: found values win where they aren't null."""
     o = orders(spark, sf_dir)
-    return versions.update_then_insert(o.where("o_orderkey % 3 > 0").select(K.alias("k"), F.col("o_orderstatus").alias("v")), o.where("o_orderkey % 2 = 0").select(K.alias("k"), F.when(K % 5 > 0, "new").alias("v")), ["k"], ["v"])
+    return versions.update_then_insert(o.where("o_orderkey % 3 > 0").select(order_key().alias("k"), F.col("o_orderstatus").alias("v")), o.where("o_orderkey % 2 = 0").select(order_key().alias("k"), F.when(order_key() % 5 > 0, "new").alias("v")), ["k"], ["v"])
 
 
 @query("SELECT o_orderkey AS seq, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'F'")
 def standing_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = orders(spark, sf_dir).select(K.alias("seq"), F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderstatus") == "F", "ACTIVE").otherwise("DISABLED").alias("state"))
+    rules = orders(spark, sf_dir).select(order_key().alias("seq"), F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderstatus") == "F", "ACTIVE").otherwise("DISABLED").alias("state"))
     return versions.active_overrides(rules, ["2-HIGH", "1-URGENT"]).select("seq", "priority")
 
 
@@ -197,8 +200,8 @@ def standing_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored lines of the present version, of the first one, of none stated, and damaged ones: old ones are only shown, damaged ones are left out."""
     o = orders(spark, sf_dir)
-    now = decisions.encode_lines(o.where("o_orderkey % 4 = 0").select(K.alias("segment_id"), F.col("o_orderstatus").alias("text")), ["segment_id", "text"])
-    old = lambda k, rest: o.where(f"o_orderkey % 4 = {k}").select(F.concat(F.lit('{"segment_id":'), K.cast("string"), F.lit(rest)).alias("value"))
+    now = decisions.encode_lines(o.where("o_orderkey % 4 = 0").select(order_key().alias("segment_id"), F.col("o_orderstatus").alias("text")), ["segment_id", "text"])
+    old = lambda k, rest: o.where(f"o_orderkey % 4 = {k}").select(F.concat(F.lit('{"segment_id":'), order_key().cast("string"), F.lit(rest)).alias("value"))
     lines = now.union(old(1, ',"schemaVersion":1,"speaker":"C0"}')).union(old(2, "}")).union(old(3, ', "broken'))
     read = decisions.decode_lines(lines, "segment_id long, text string").select("segment_id", F.lit("CURRENT").alias("kind"), "text", F.lit(None).cast("string").alias("raw_speaker"))
     legacy = decisions.legacy_lines(lines).where("not speaker_resolvable").select("segment_id", F.lit("LEGACY").alias("kind"), "text", "raw_speaker")
@@ -208,7 +211,7 @@ def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'NARRATOR' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN 'CHARACTER:' || o_custkey END AS token, CASE o_orderkey % 5 WHEN 0 THEN 'NARRATOR' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN 'CHARACTER' END AS kind, CASE WHEN o_orderkey % 5 = 2 THEN o_custkey END AS id FROM orders")
 def speaker_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local speaker ids as stable tokens, and back; local ids outside the map, and tokens that are none, give nulls."""
-    token = decisions.speaker_ref(pick(K, "NARRATOR", "UNKNOWN", "C1", "C2", "x"), F.create_map(F.lit("C1"), F.col("o_custkey")))
+    token = decisions.speaker_ref(pick(order_key(), "NARRATOR", "UNKNOWN", "C1", "C2", "x"), F.create_map(F.lit("C1"), F.col("o_custkey")))
     rows = orders(spark, sf_dir).select("o_orderkey", token.alias("token"))
     return rows.select("o_orderkey", "token", decisions.decode_ref(F.col("token")).alias("d")).select("o_orderkey", "token", "d.kind", "d.id")
 
@@ -220,10 +223,10 @@ def speaker_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def label_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a rule, a student and a teacher agree, where the sample goes, and which decisions need no model."""
-    teacher = F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit(None), F.lit("w")), (F.floor(K / 2) % 4 + 1).cast("int"))
-    pattern = decisions.agreement(pick(K, "x", "y"), pick(K, "x", "y", "z"), teacher)
-    candidates = F.when(K % 4 == 0, F.array().cast("array<string>")).when(K % 4 > 1, F.array(F.lit("a")))
-    return orders(spark, sf_dir).select("o_orderkey", pattern.alias("pattern"), decisions.route(pattern, K % 7 != 0, K % 5 == 0).alias("route"), decisions.shortcut(F.when(K % 3 == 0, "NARRATION").otherwise("DIALOGUE"), candidates).alias("shortcut"))
+    teacher = F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit(None), F.lit("w")), (F.floor(order_key() / 2) % 4 + 1).cast("int"))
+    pattern = decisions.agreement(pick(order_key(), "x", "y"), pick(order_key(), "x", "y", "z"), teacher)
+    candidates = F.when(order_key() % 4 == 0, F.array().cast("array<string>")).when(order_key() % 4 > 1, F.array(F.lit("a")))
+    return orders(spark, sf_dir).select("o_orderkey", pattern.alias("pattern"), decisions.route(pattern, order_key() % 7 != 0, order_key() % 5 == 0).alias("route"), decisions.shortcut(F.when(order_key() % 3 == 0, "NARRATION").otherwise("DIALOGUE"), candidates).alias("shortcut"))
 
 
 @query(
@@ -231,7 +234,7 @@ def label_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT run, count(*) AS n, count(*) FILTER (outcome = 'ACCEPTED_ALL') AS n_accepted_all, count(*) FILTER (outcome = 'DOWNGRADE') AS n_downgrade, count(*) FILTER (outcome = 'VERIFY') AS n_verify, count(*) FILTER (outcome = 'REJECT') AS n_reject, round(count(*) FILTER (outcome <> 'REJECT') / count(*), 6) AS coverage FROM x GROUP BY run"""
 )
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 20).alias("run"), pick(K, "ACCEPTED_ALL", "DOWNGRADE", "VERIFY", "REJECT").alias("outcome"))
+    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 20).alias("run"), pick(order_key(), "ACCEPTED_ALL", "DOWNGRADE", "VERIFY", "REJECT").alias("outcome"))
     return decisions.runner_stats(rows, ["run"]).withColumn("coverage", F.round("coverage", 6))
 
 
@@ -240,16 +243,16 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def binding_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owners are missing, unknown to the list, listed or UNKNOWN; references may be null or unknown; confidences may be null or too large."""
-    owner = pick(K, F.lit(None).cast("string"), "q", "a", "b", "UNKNOWN")
-    reference = pick(K, F.lit(None).cast("string"), "q", "a")
-    faults = decisions.validate_binding(owner, reference, F.when(K % 7 == 0, None).when(K % 7 == 1, 1.5).otherwise(0.5), F.array(F.lit("a"), F.lit("b")), pick(K, "NONE", "OWNED"))
-    rows = orders(spark, sf_dir).select("o_orderkey", faults.alias("f"), (owner == "").alias("blank"), owner.isNull().alias("missing"), (K % 2 == 0).alias("none"))
+    owner = pick(order_key(), F.lit(None).cast("string"), "q", "a", "b", "UNKNOWN")
+    reference = pick(order_key(), F.lit(None).cast("string"), "q", "a")
+    faults = decisions.validate_binding(owner, reference, F.when(order_key() % 7 == 0, None).when(order_key() % 7 == 1, 1.5).otherwise(0.5), F.array(F.lit("a"), F.lit("b")), pick(order_key(), "NONE", "OWNED"))
+    rows = orders(spark, sf_dir).select("o_orderkey", faults.alias("f"), (owner == "").alias("blank"), owner.isNull().alias("missing"), (order_key() % 2 == 0).alias("none"))
     return rows.select("o_orderkey", F.array_join("f", ",").alias("faults"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'a' WHEN 2 THEN 'zz' WHEN 4 THEN 'c' END AS answer, ['STRICT', 'REPAIRABLE', 'OUT_OF_CANDIDATE', 'FAIL', 'STRICT'][1 + o_orderkey % 5] AS verdict FROM orders")
 def answer_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = pick(K, '{"answer": "a"}', 'So: {"answer": "a"}.', '{"answer": "zz"}', "no object", ' {"answer":"c"} ')
+    raw = pick(order_key(), '{"answer": "a"}', 'So: {"answer": "a"}.', '{"answer": "zz"}', "no object", ' {"answer":"c"} ')
     answer, verdict = decisions.protocol_verdict(raw, F.array(F.lit("a")), F.array(F.lit("c")))
     return orders(spark, sf_dir).select("o_orderkey", answer.alias("answer"), verdict.alias("verdict"))
 
@@ -260,8 +263,8 @@ CLUSTERS = f"{MERGES}, t AS (SELECT book, seq, source AS entity FROM g UNION ALL
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = orders(spark, sf_dir).withColumn("book", F.col("o_custkey") % 10)
-    log = o.where("o_orderstatus = 'F'").select("book", K.alias("seq"), F.when(K % 3 > 0, "MERGE").otherwise("SPLIT").alias("action"), (K % 30).alias("source"), ((K + 7) % 30).alias("target"))
-    return identity.replay_merges(log, o.select("book", (K % 40).alias("entity")), ["book"])
+    log = o.where("o_orderstatus = 'F'").select("book", order_key().alias("seq"), F.when(order_key() % 3 > 0, "MERGE").otherwise("SPLIT").alias("action"), (order_key() % 30).alias("source"), ((order_key() + 7) % 30).alias("target"))
+    return identity.replay_merges(log, o.select("book", (order_key() % 40).alias("entity")), ["book"])
 
 
 @query(f"WITH {CLUSTERS} SELECT book, entity, cluster FROM c")
@@ -302,7 +305,7 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def observation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations dealt to the tables that they feed, with counts by type; each type's rows are found in its table again."""
-    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("book"), pick(K, "MENTION", "ALIAS", "ODD", "VOICE_PHASE", "MERGE", "TEMP_VOICE", "ATTRIBUTE").alias("type"))
+    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("book"), pick(order_key(), "MENTION", "ALIAS", "ODD", "VOICE_PHASE", "MERGE", "TEMP_VOICE", "ATTRIBUTE").alias("type"))
     parts, counts = identity.compile_observations(rows, ["book"])
     placed = None
     for name, part in parts.items():
@@ -319,7 +322,7 @@ def observation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def character_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = orders(spark, sf_dir).select(
-        (F.col("o_custkey") % 10).alias("book"), F.concat(F.lit("n"), (F.col("o_custkey") % 13).cast("string")).alias("name"), K.alias("line_no"), pick(K, "M", "F", "F", F.lit(None).cast("string")).alias("gender"), F.when(K % 5 == 0, K % 90).alias("age"), pick(K, "cue", "dialogue").alias("evidence"), F.concat(F.lit("a"), (K % 6).cast("string")).alias("alias"),
+        (F.col("o_custkey") % 10).alias("book"), F.concat(F.lit("n"), (F.col("o_custkey") % 13).cast("string")).alias("name"), order_key().alias("line_no"), pick(order_key(), "M", "F", "F", F.lit(None).cast("string")).alias("gender"), F.when(order_key() % 5 == 0, order_key() % 90).alias("age"), pick(order_key(), "cue", "dialogue").alias("evidence"), F.concat(F.lit("a"), (order_key() % 6).cast("string")).alias("alias"),
     )
     return identity.profiles(m, ["book"]).withColumn("aliases", F.array_join("aliases", ","))
 
@@ -352,8 +355,8 @@ PROTOCOL = "x AS (SELECT o_custkey % 10 AS run, ['STRICT', 'REPAIRABLE', 'FAIL',
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     return orders(spark, sf_dir).select(
-        "o_orderkey", (F.col("o_custkey") % 10).alias("run"), pick(K, "STRICT", "REPAIRABLE", "FAIL", "OUT_OF_CANDIDATE").alias("verdict"), pick(K, "a", "UNKNOWN", none).alias("gold"), pick(K, "a", "b", "UNKNOWN", "a", none).alias("pred"),
-        F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1, (1 + K % 3).cast("int")).alias("candidates"),
+        "o_orderkey", (F.col("o_custkey") % 10).alias("run"), pick(order_key(), "STRICT", "REPAIRABLE", "FAIL", "OUT_OF_CANDIDATE").alias("verdict"), pick(order_key(), "a", "UNKNOWN", none).alias("gold"), pick(order_key(), "a", "b", "UNKNOWN", "a", none).alias("pred"),
+        F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1, (1 + order_key() % 3).cast("int")).alias("candidates"),
     )
 
 
@@ -382,7 +385,7 @@ def two_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderpriority AS kind, count(*) AS n, round(count(*) FILTER (o_orderkey % 3 = o_orderkey % 2) / count(*), 6) AS agreement, round(count(*) FILTER (o_orderkey % 4 > 0) / count(*), 6) AS stability FROM orders GROUP BY ALL")
 def judge_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement with a judge, and the share of samples whose repeats all give one answer."""
-    rows = orders(spark, sf_dir).select(F.col("o_orderpriority").alias("kind"), (K % 3).alias("answer"), (K % 2).alias("judge"), F.array(F.lit(1), F.lit(1), F.when(K % 4 > 0, 1).otherwise(2)).alias("repeats"))
+    rows = orders(spark, sf_dir).select(F.col("o_orderpriority").alias("kind"), (order_key() % 3).alias("answer"), (order_key() % 2).alias("judge"), F.array(F.lit(1), F.lit(1), F.when(order_key() % 4 > 0, 1).otherwise(2)).alias("repeats"))
     return evaluation.agreement_by_kind(rows, ["kind"]).select("kind", "n", F.round("agreement", 6).alias("agreement"), F.round("stability", 6).alias("stability"))
 
 
@@ -400,15 +403,15 @@ def rejected_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def run_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken invariants of a run's lines: missing fields, leaked control text, span lengths and order."""
-    start = F.when(K % 50 == 0, 0).otherwise(10 * K)
-    text = F.when(K % 9 > 0, F.when(K % 8 == 0, "```x").otherwise("abcd"))
-    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("run"), K.alias("seq"), text.alias("text"), F.when(K % 7 > 0, "s").alias("speaker"), start.alias("span_start"), (start + 4 + F.when(K % 6 == 0, 1).otherwise(0)).alias("span_end"))
+    start = F.when(order_key() % 50 == 0, 0).otherwise(10 * order_key())
+    text = F.when(order_key() % 9 > 0, F.when(order_key() % 8 == 0, "```x").otherwise("abcd"))
+    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("run"), order_key().alias("seq"), text.alias("text"), F.when(order_key() % 7 > 0, "s").alias("speaker"), start.alias("span_start"), (start + 4 + F.when(order_key() % 6 == 0, 1).otherwise(0)).alias("span_end"))
     return evaluation.gate_invariants(rows, ["run"], "seq")
 
 
 @query("WITH x AS (SELECT (o_orderkey % 2 = 0)::INT AS two, (o_orderkey % 3 = 0)::INT AS three, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 = 1 END, false)::INT AS five FROM orders) SELECT two + three + five AS score, count(*) AS n, sum(two)::BIGINT AS two, sum(three)::BIGINT AS three, sum(five)::BIGINT AS five FROM x GROUP BY 1")
 def signal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = {"two": K % 2 == 0, "three": K % 3 == 0, "five": F.when(K % 5 > 0, K % 5 == 1)}
+    signals = {"two": order_key() % 2 == 0, "three": order_key() % 3 == 0, "five": F.when(order_key() % 5 > 0, order_key() % 5 == 1)}
     return evaluation.signal_histogram(orders(spark, sf_dir), signals)
 
 
@@ -417,7 +420,7 @@ def signal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT run, hit, gold, pred, round(hit / greatest(pred, 1), 6) AS precision, round(hit / greatest(gold, 1), 6) AS recall FROM y"""
 )
 def mention_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("run"), F.array(K % 3, K % 5).alias("gold_mentions"), F.array(K % 4, K % 3).alias("pred_mentions"))
+    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("run"), F.array(order_key() % 3, order_key() % 5).alias("gold_mentions"), F.array(order_key() % 4, order_key() % 3).alias("pred_mentions"))
     return evaluation.mention_scores(rows, ["run"]).withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
 
 
@@ -427,15 +430,15 @@ def mention_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(count(*) FILTER (go = 'UNKNOWN' AND po = 'UNKNOWN') / greatest(count(*) FILTER (po = 'UNKNOWN'), 1), 6) AS unknown_precision, round(count(*) FILTER (go = 'UNKNOWN' AND po = 'UNKNOWN') / greatest(count(*) FILTER (go = 'UNKNOWN'), 1), 6) AS unknown_recall FROM x GROUP BY run"""
 )
 def binding_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none, half, third = F.lit(None).cast("string"), F.floor(K / 2), F.floor(K / 3)
-    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("run"), pick(K, "a", "UNKNOWN", none).alias("gold_owner"), pick(K, "a", "UNKNOWN").alias("pred_owner"), pick(half, "r", none).alias("gold_ref"), pick(third, "r", "q", none).alias("pred_ref"))
+    none, half, third = F.lit(None).cast("string"), F.floor(order_key() / 2), F.floor(order_key() / 3)
+    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("run"), pick(order_key(), "a", "UNKNOWN", none).alias("gold_owner"), pick(order_key(), "a", "UNKNOWN").alias("pred_owner"), pick(half, "r", none).alias("gold_ref"), pick(third, "r", "q", none).alias("pred_ref"))
     got = evaluation.binding_scores(rows, ["run"])
     return got.select("run", "n", *(F.round(c, 6).alias(c) for c in got.columns[2:]))
 
 
 @query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'FOURTH' WHEN o_orderkey % 2 = 0 THEN 'SECOND' ELSE 'CLEAN' END AS reason, count(*) AS n FROM orders GROUP BY 1")
 def pollution_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.pollution_audit(orders(spark, sf_dir), [("FOURTH", K % 4 == 0), ("SECOND", K % 2 == 0)])
+    return evaluation.pollution_audit(orders(spark, sf_dir), [("FOURTH", order_key() % 4 == 0), ("SECOND", order_key() % 2 == 0)])
 
 
 @query("WITH m AS (SELECT o_orderstatus AS run, substr(o_orderpriority, 1, 1) AS metric, count(*) AS value FROM orders GROUP BY ALL) SELECT m.run, m.metric, m.value, b.value AS base_value, m.value - b.value AS delta FROM m LEFT JOIN m b ON b.run = 'F' AND b.metric = m.metric")
@@ -468,19 +471,19 @@ def layered_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, (o_orderkey % 7 * 10 + CASE WHEN o_orderstatus = 'P' THEN 5 ELSE 0 END)::BIGINT AS score FROM orders ORDER BY score DESC, o_orderkey LIMIT 25")
 def priority_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the highest scores, ties by key: a top-k report."""
-    return sampling.priority_top(orders(spark, sf_dir), K % 7 * 10 + F.when(F.col("o_orderstatus") == "P", 5).otherwise(0), 25, "o_orderkey").select("o_orderkey", "score")
+    return sampling.priority_top(orders(spark, sf_dir), order_key() % 7 * 10 + F.when(F.col("o_orderstatus") == "P", 5).otherwise(0), 25, "o_orderkey").select("o_orderkey", "score")
 
 
 @query("SELECT o_orderkey, (o_orderkey % 2 = 0)::INT + (o_orderkey % 3 = 0)::INT + (o_orderstatus = 'F')::INT AS hardness, CASE WHEN o_orderpriority LIKE '1%' THEN 'urgent' WHEN o_orderpriority LIKE '%LOW%' THEN 'low' ELSE 'NONE' END AS bucket FROM orders")
 def hardness_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = [K % 2 == 0, K % 3 == 0, F.col("o_orderstatus") == "F"]
+    signals = [order_key() % 2 == 0, order_key() % 3 == 0, F.col("o_orderstatus") == "F"]
     return orders(spark, sf_dir).select("o_orderkey", sampling.hardness(signals).alias("hardness"), sampling.bucket_of(F.col("o_orderpriority"), [("urgent", "^1"), ("low", "LOW")]).alias("bucket"))
 
 
 @query("SELECT o_custkey, o_orderkey AS line_no, n::BIGINT AS chapter_no FROM (SELECT *, sum((o_orderpriority LIKE '1%')::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n BETWEEN 1 AND 2")
 def first_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders from the first urgent one on, until two urgent ones have passed."""
-    rows = orders(spark, sf_dir).withColumn("line_no", K)
+    rows = orders(spark, sf_dir).withColumn("line_no", order_key())
     return sampling.from_first_chapter(rows, ["o_custkey"], F.col("o_orderpriority").startswith("1"), 2).select("o_custkey", "line_no", "chapter_no")
 
 
@@ -490,7 +493,7 @@ def first_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def task_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three training samples for each segment that is spoken."""
-    rows = orders(spark, sf_dir).select(F.concat(F.lit("b"), (F.col("o_custkey") % 10).cast("string")).alias("book_hash"), K.alias("segment_id"), F.lit("t").alias("text"), F.array(F.lit("x"), "o_orderstatus").alias("candidates"), F.col("o_orderstatus").alias("speaker"), F.col("o_orderpriority").alias("action"), F.when(K % 3 == 0, "NARRATION").otherwise("SPEECH").alias("type"))
+    rows = orders(spark, sf_dir).select(F.concat(F.lit("b"), (F.col("o_custkey") % 10).cast("string")).alias("book_hash"), order_key().alias("segment_id"), F.lit("t").alias("text"), F.array(F.lit("x"), "o_orderstatus").alias("candidates"), F.col("o_orderstatus").alias("speaker"), F.col("o_orderpriority").alias("action"), F.when(order_key() % 3 == 0, "NARRATION").otherwise("SPEECH").alias("type"))
     ids = rows.select("segment_id", "book_hash")
     made = generators.task_samples(rows)
     key = F.substring(F.sha2(F.concat_ws("|", "book_hash", F.col("segment_id").cast("string"), "task").cast("binary"), 256), 1, 16)
@@ -501,14 +504,14 @@ def task_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, 'Who speaks?' || chr(10) || chr(10) || '[CANDIDATES]' || chr(10) || 'C1 a' || chr(10) || 'C2 ' || o_orderstatus || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || chr(10) || '[NOTE]' || chr(10) || o_orderpriority ELSE '' END AS prompt FROM orders")
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts of a title and sections; empty sections are left out."""
-    note = F.when(K % 2 == 0, F.col("o_orderpriority")).otherwise("")
+    note = F.when(order_key() % 2 == 0, F.col("o_orderpriority")).otherwise("")
     return orders(spark, sf_dir).select("o_orderkey", generators.prompt(F.lit("Who speaks?"), [("CANDIDATES", generators.candidate_list(F.array(F.lit("a"), "o_orderstatus"))), ("NOTE", note)]).alias("prompt"))
 
 
 @query("SELECT o_orderkey, ['MENTION', 'EMBODIMENT', NULL, 'TEMP_VOICE', 'VOICE_PHASE'][1 + o_orderkey % 5] AS type, CASE WHEN o_orderkey % 5 <> 2 THEN o_custkey END AS position FROM orders")
 def legacy_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old behaviour records as observations; unknown behaviours are none."""
-    rows = orders(spark, sf_dir).select("o_orderkey", generators.legacy_observation(pick(K, "Appear", "disguise", "dance", "VOICE_CHANGE", "grow"), F.lit("x"), F.lit(None).cast("string"), F.col("o_custkey")).alias("o"))
+    rows = orders(spark, sf_dir).select("o_orderkey", generators.legacy_observation(pick(order_key(), "Appear", "disguise", "dance", "VOICE_CHANGE", "grow"), F.lit("x"), F.lit(None).cast("string"), F.col("o_custkey")).alias("o"))
     return rows.select("o_orderkey", "o.type", "o.position")
 
 
@@ -526,7 +529,7 @@ def pronoun_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS sample_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS rule_answer, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 = 0 END AS rule_valid, CASE WHEN o_orderkey % 3 = 0 THEN 'm' END AS model_answer, CASE WHEN o_orderkey % 3 = 0 THEN true END AS model_valid FROM orders WHERE o_orderkey % 5 > 0")
 def label_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases that aren't done yet, with each arm's answer beside them."""
-    cases = orders(spark, sf_dir).select(K.alias("sample_id"), "o_orderstatus")
+    cases = orders(spark, sf_dir).select(order_key().alias("sample_id"), "o_orderstatus")
     rule = cases.where("sample_id % 2 = 0").select("sample_id", F.col("o_orderstatus").alias("answer"), (F.col("sample_id") % 4 == 0).alias("valid"))
     model = cases.where("sample_id % 3 = 0").select("sample_id", F.lit("m").alias("answer"), F.lit(True).alias("valid"))
     left = generators.pending(cases.select("sample_id"), cases.where("sample_id % 5 = 0"))
@@ -535,7 +538,7 @@ def label_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, nullif(array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'phase=' || o_orderstatus END, CASE WHEN o_orderkey % 3 = 0 THEN 'override=x' END, CASE WHEN o_orderkey % 5 = 0 THEN 'body=b' END], lambda z: z IS NOT NULL), ';'), '') AS state FROM orders")
 def state_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders(spark, sf_dir).select("o_orderkey", state.state_summary(F.when(K % 2 == 0, F.col("o_orderstatus")), F.when(K % 3 == 0, "x"), F.when(K % 5 == 0, "b")).alias("state"))
+    return orders(spark, sf_dir).select("o_orderkey", state.state_summary(F.when(order_key() % 2 == 0, F.col("o_orderstatus")), F.when(order_key() % 3 == 0, "x"), F.when(order_key() % 5 == 0, "b")).alias("state"))
 
 
 @query(
@@ -544,8 +547,8 @@ def state_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speakers by layers: an alias, the first mention with an alias, no role word, the only mention left."""
-    mentions = F.when(K % 3 == 0, F.array(F.lit("q"), F.lit("al"))).when(K % 3 == 1, F.array(F.lit("guard"), F.lit("q"))).otherwise(F.array(F.lit("q"), F.lit("r")))
-    rows = orders(spark, sf_dir).select("o_orderkey", pick(K, "al", "guard", "bo", F.lit(None).cast("string")).alias("speaker"), mentions.alias("mentions"))
+    mentions = F.when(order_key() % 3 == 0, F.array(F.lit("q"), F.lit("al"))).when(order_key() % 3 == 1, F.array(F.lit("guard"), F.lit("q"))).otherwise(F.array(F.lit("q"), F.lit("r")))
+    rows = orders(spark, sf_dir).select("o_orderkey", pick(order_key(), "al", "guard", "bo", F.lit(None).cast("string")).alias("speaker"), mentions.alias("mentions"))
     return state.layered_resolver(rows, spark.createDataFrame([("al", "Alice")], "surface string, canonical string"), ["guard"]).select("o_orderkey", "resolved")
 
 

@@ -9,7 +9,7 @@ from folio.functions.text import sentences
 from folio.lexicon import CHINESE
 from folio.operators import chapters, discovery, evaluation, lines, mentions, names, sampling, segments
 from folio.plans.base import query, table
-from folio.plans.records import K, orders, pick
+from folio.plans.records import order_key, orders, pick
 from folio.sources import readers
 
 
@@ -30,7 +30,7 @@ NAME_SQL = "['张三', '李四', '雷老虎', '王小明'][1 + o_custkey % 4]"
 @query(f"SELECT o_orderkey, replace({told(CUES)}, '{{}}', {NAME_SQL}) AS speaker FROM orders")
 def spoken_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is cued, with nobody known: names with adverbs, manners and actions around them, and cues that name nobody."""
-    text = F.replace(pick(K, *(c for c, _ in CUES)), F.lit("{}"), pick(F.col("o_custkey"), *NAMES))
+    text = F.replace(pick(order_key(), *(c for c, _ in CUES)), F.lit("{}"), pick(F.col("o_custkey"), *NAMES))
     return orders(spark, sf_dir).select("o_orderkey", segments.cue_speaker(text).alias("speaker"))
 
 
@@ -41,7 +41,7 @@ KNOWN_CUES = [("深吸一口气，雷老虎上前一步，拱手抱拳道：", "
 def known_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is cued where two names are known: in an earlier block, before a colon, behind a particle, with a rest behind the name."""
     known = F.array(F.lit("雷老虎"), F.lit("刘三刀"))
-    return orders(spark, sf_dir).select("o_orderkey", segments.cue_speaker(pick(K, *(c for c, _ in KNOWN_CUES)), known).alias("speaker"))
+    return orders(spark, sf_dir).select("o_orderkey", segments.cue_speaker(pick(order_key(), *(c for c, _ in KNOWN_CUES)), known).alias("speaker"))
 
 
 DELIVERIES = [
@@ -53,7 +53,7 @@ DELIVERIES = [
 @query(f"SELECT o_orderkey, {told(DELIVERIES)} AS cue FROM orders")
 def delivery_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a surface says of delivery and by which rule; a known name is none, but an interjection always is."""
-    cue = names.delivery_cue(pick(K, *(c for c, _ in DELIVERIES)), F.array(F.lit("哈哈"), F.lit("冷冷地")))
+    cue = names.delivery_cue(pick(order_key(), *(c for c, _ in DELIVERIES)), F.array(F.lit("哈哈"), F.lit("冷冷地")))
     rows = orders(spark, sf_dir).select("o_orderkey", cue.alias("c"))
     return rows.select("o_orderkey", F.when(F.col("c").isNotNull(), F.concat_ws("/", F.coalesce("c.hint", F.lit("-")), "c.matched_by")).alias("cue"))
 
@@ -67,7 +67,7 @@ CLASSES = [
 @query(f"SELECT o_orderkey, {told([(c[1],) for c in CLASSES])} AS reject, {told([(c[2],) for c in CLASSES])} = 't' AS is_group, {told([(c[3],) for c in CLASSES])} = 't' AS candidate FROM orders")
 def surface_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surfaces that no name may be, groups of people, and forms of a candidate."""
-    s = pick(K, *(c[0] for c in CLASSES))
+    s = pick(order_key(), *(c[0] for c in CLASSES))
     return orders(spark, sf_dir).select("o_orderkey", names.hard_reject(s).alias("reject"), names.is_group(s).alias("is_group"), names.candidate_ok(s).alias("candidate"))
 
 
@@ -103,7 +103,7 @@ SUBJECTS = [("深吸一口气，雷老虎上前一步，拱手抱拳道：“走
 
 @query(f"SELECT o_orderkey, {told(SUBJECTS)} AS subjects FROM orders")
 def proposed_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders(spark, sf_dir).select("o_orderkey", F.array_join(segments.subjects(pick(K, *(c for c, _ in SUBJECTS))), ",").alias("subjects"))
+    return orders(spark, sf_dir).select("o_orderkey", F.array_join(segments.subjects(pick(order_key(), *(c for c, _ in SUBJECTS))), ",").alias("subjects"))
 
 
 VARIANTS = [("对闫呢", "闫呢"), ("指着甜妹", "甜妹"), ("小王明", "小王明"), ("向一二三四五", "向一二三四五"), ("和平", "和平")]
@@ -117,7 +117,7 @@ SUBJECT_CASES = [
 @query(f"SELECT o_orderkey, {told(VARIANTS)} AS variants, {told(CALLED)} AS called, {told(INTRODUCED)} AS introduced, {told(SUBJECT_CASES)} AS subjects FROM orders")
 def mention_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names behind particles, called, introduced, and before verbs of saying."""
-    of = lambda cases: pick(K, *(c for c, _ in cases))
+    of = lambda cases: pick(order_key(), *(c for c, _ in cases))
     joined = lambda c, n: F.array_join(c, ",").alias(n)
     return orders(spark, sf_dir).select("o_orderkey", joined(names.name_variants(of(VARIANTS)), "variants"), joined(mentions.called(of(CALLED)), "called"), joined(mentions.introduced(of(INTRODUCED)), "introduced"), joined(mentions.cue_subjects(of(SUBJECT_CASES)), "subjects"))
 
@@ -129,7 +129,7 @@ def mention_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mention_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is called, introduced and cued in each book, with the places, buckets and a confidence."""
-    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("book"), K.alias("pos"), F.when(K % 4 == 0, "张三，走").when(K % 4 == 1, "我是李四").otherwise("").alias("text"), F.when(K % 4 == 2, "王五说。王五问").otherwise("").alias("context"))
+    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("book"), order_key().alias("pos"), F.when(order_key() % 4 == 0, "张三，走").when(order_key() % 4 == 1, "我是李四").otherwise("").alias("text"), F.when(order_key() % 4 == 2, "王五说。王五问").otherwise("").alias("context"))
     found = mentions.mention_rows(rows, ["book"], "pos").withColumn("bucket", F.floor(F.col("pos") / 500))
     return mentions.mention_lexicon(found, ["book"], "pos", "bucket").drop("narrative")
 
@@ -140,8 +140,8 @@ MENTION_CASES = [
 
 
 def mention_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = pick(K, *(F.array(*map(F.lit, m)) if m else F.array().cast("array<string>") for m, _, _ in MENTION_CASES))
-    return orders(spark, sf_dir).select("o_orderkey", mentions.mention_class(held, pick(K, *(t for _, t, _ in MENTION_CASES))).alias("kind"))
+    held = pick(order_key(), *(F.array(*map(F.lit, m)) if m else F.array().cast("array<string>") for m, _, _ in MENTION_CASES))
+    return orders(spark, sf_dir).select("o_orderkey", mentions.mention_class(held, pick(order_key(), *(t for _, t, _ in MENTION_CASES))).alias("kind"))
 
 
 @query(f"SELECT o_orderkey, {told(MENTION_CASES)} AS kind FROM orders")
@@ -166,10 +166,10 @@ STORE_SQL = "WITH o AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN
 def candidate_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of five sources in order, each surface once; recent mentions come from the blocks of earlier texts."""
     entities = F.array(*map(F.lit, ["张三", "刘三刀", "雷老虎"]))
-    texts = F.when(K % 3 == 0, F.array(F.lit("雷老虎上前一步，又退"), F.lit("张三。路人"))).when(K % 3 == 1, F.array(F.lit("刘三刀刀光一闪"))).otherwise(F.array().cast("array<string>"))
+    texts = F.when(order_key() % 3 == 0, F.array(F.lit("雷老虎上前一步，又退"), F.lit("张三。路人"))).when(order_key() % 3 == 1, F.array(F.lit("刘三刀刀光一闪"))).otherwise(F.array().cast("array<string>"))
     one = lambda cond, x: F.when(cond, F.array(F.lit(x))).otherwise(F.array().cast("array<string>"))
-    said = F.concat(one(K % 5 < 3, "刘三刀"), one(K % 5 > 1, "新人"))
-    store = mentions.candidate_store(one(K % 2 == 0, "张三"), said, mentions.head_mentions(texts, entities), one(K % 7 == 0, "雷老虎"), entities)
+    said = F.concat(one(order_key() % 5 < 3, "刘三刀"), one(order_key() % 5 > 1, "新人"))
+    store = mentions.candidate_store(one(order_key() % 2 == 0, "张三"), said, mentions.head_mentions(texts, entities), one(order_key() % 7 == 0, "雷老虎"), entities)
     rows = orders(spark, sf_dir).select("o_orderkey", F.posexplode(store).alias("nth", "c"))
     return rows.select("o_orderkey", F.col("nth").cast("long").alias("nth"), "c.surface", "c.source")
 
@@ -184,7 +184,7 @@ BINDINGS = [
 def sure_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whose voice an event changes, where the text leaves no doubt."""
     candidates = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(n).alias("name")) for r, n in (("C0", "张三"), ("C1", "李四"), ("C2", "王五"))))
-    b = mentions.sure_binding(pick(K, *(c[0] for c in BINDINGS)), pick(K, *(c[1] for c in BINDINGS)), candidates)
+    b = mentions.sure_binding(pick(order_key(), *(c[0] for c in BINDINGS)), pick(order_key(), *(c[1] for c in BINDINGS)), candidates)
     return orders(spark, sf_dir).select("o_orderkey", F.concat_ws("/", b["owner"], b["reference"], b["status"], F.coalesce(b["span"], F.lit("-"))).alias("binding"))
 
 
@@ -209,7 +209,7 @@ def name_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surfaces that are an accepted name and one or two characters more; each order's surface is its own by a suffix of no weight."""
     asked = spark.createDataFrame([(s,) for s, _ in PREFIXES], "surface string")
     found = names.longest_prefix(asked, spark.createDataFrame([("abc",), ("abcx",)], "surface string")).select("surface", F.concat_ws("/", "name", "rest").alias("cut"))
-    return orders(spark, sf_dir).select("o_orderkey", pick(K, *(s for s, _ in PREFIXES)).alias("surface")).join(found, "surface", "left").select("o_orderkey", "cut")
+    return orders(spark, sf_dir).select("o_orderkey", pick(order_key(), *(s for s, _ in PREFIXES)).alias("surface")).join(found, "surface", "left").select("o_orderkey", "cut")
 
 
 @query("SELECT conv_id, turn, i - 1 AS nth, w AS surface FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, 'them|then|the|and|he|an')) AS w, generate_subscripts(regexp_extract_all(text, 'them|then|the|and|he|an'), 1) AS i FROM conversations)")
@@ -244,7 +244,7 @@ def evidence_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unique_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate of a surface where exactly one of its key has it."""
     o = orders(spark, sf_dir).withColumn("surface", F.col("o_orderpriority"))
-    return names.unique_lookup(o.select("o_orderkey", "o_custkey", "surface"), o.select("o_custkey", "surface", K.alias("candidate_id")), ["o_custkey"]).select("o_orderkey", "candidate_id")
+    return names.unique_lookup(o.select("o_orderkey", "o_custkey", "surface"), o.select("o_custkey", "surface", order_key().alias("candidate_id")), ["o_custkey"]).select("o_orderkey", "candidate_id")
 
 
 PAIRS = [("张三就是李四。", "t/-"), ("张三来了。李四就是王五", "f/-"), ("李四，人称张三", "t/-"), ("张三不是李四", "f/DENIED"), ("张三打李四", "f/FOUGHT"), ("没有", "f/-")]
@@ -253,7 +253,7 @@ PAIRS = [("张三就是李四。", "t/-"), ("张三来了。李四就是王五",
 @query(f"SELECT o_orderkey, {told(PAIRS)} AS evidence FROM orders")
 def alias_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether one sentence says that two names are one, or two."""
-    a, b, text = F.lit("张三"), F.lit("李四"), pick(K, *(t for t, _ in PAIRS))
+    a, b, text = F.lit("张三"), F.lit("李四"), pick(order_key(), *(t for t, _ in PAIRS))
     same = names.alias_evidence(a, b, text, "就是|人称")
     other = names.contradiction_evidence(a, b, text, [("DENIED", "不是"), ("FOUGHT", "打|杀")])
     return orders(spark, sf_dir).select("o_orderkey", F.concat_ws("/", F.when(same, "t").otherwise("f"), F.coalesce(other, F.lit("-"))).alias("evidence"))
@@ -283,8 +283,8 @@ def assigned_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def discovered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of ten books in three steps: cues harvested, sifted by the gate, and harvested again with the names so accepted."""
-    text = pick(K, "雷老虎说：“走。”雷老虎，来了。见雷老虎走。“好。”雷老虎道。雷老虎们", "虽然不知道：“谁？”天黑了。", "王小明问：“何在？”王小明，坐。问王小明去。王小明也笑。")
-    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("book"), K.alias("idx"), text.alias("text"))
+    text = pick(order_key(), "雷老虎说：“走。”雷老虎，来了。见雷老虎走。“好。”雷老虎道。雷老虎们", "虽然不知道：“谁？”天黑了。", "王小明问：“何在？”王小明，坐。问王小明去。王小明也笑。")
+    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("book"), order_key().alias("idx"), text.alias("text"))
     found = discovery.discover(rows, ["book"], "idx", CHINESE.quotes)
     return found.select("book", "surface", "reject")
 
@@ -300,8 +300,8 @@ def target_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of a table of contents whose serial stands in the body."""
     o = orders(spark, sf_dir).withColumn("doc_id", F.col("o_custkey") % 10)
-    entries = o.select("o_orderkey", "doc_id", F.when(K % 6 > 0, K % 50).alias("serial"))
-    return chapters.toc_body_links(entries, o.where("o_orderstatus = 'F'").select("doc_id", (K % 30).alias("serial"))).select("o_orderkey", "doc_id", "serial")
+    entries = o.select("o_orderkey", "doc_id", F.when(order_key() % 6 > 0, order_key() % 50).alias("serial"))
+    return chapters.toc_body_links(entries, o.where("o_orderstatus = 'F'").select("doc_id", (order_key() % 30).alias("serial"))).select("o_orderkey", "doc_id", "serial")
 
 
 @query(
@@ -311,7 +311,7 @@ def toc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chapter_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's changes to chapters: removed, retitled (the last one counts), retyped, moved to a volume, added."""
-    c = orders(spark, sf_dir).select(F.col("o_custkey").alias("doc_id"), K.alias("anchor_line"), F.col("o_orderpriority").alias("title"), F.col("o_orderpriority").alias("raw_title"), F.lit("PROVISIONAL").alias("state"), F.lit(1).alias("volume_index"), F.lit(1.0).alias("final_score"), (K + 1).alias("content_start"))
+    c = orders(spark, sf_dir).select(F.col("o_custkey").alias("doc_id"), order_key().alias("anchor_line"), F.col("o_orderpriority").alias("title"), F.col("o_orderpriority").alias("raw_title"), F.lit("PROVISIONAL").alias("state"), F.lit(1).alias("volume_index"), F.lit(1.0).alias("final_score"), (order_key() + 1).alias("content_start"))
     at = F.col("anchor_line")
     change = lambda rows, kind, value, seq: rows.select("doc_id", F.col("anchor_line").alias("target_line"), F.lit(kind).alias("type"), (value if not isinstance(value, str) else F.lit(value)).cast("string").alias("value"), F.lit(seq).alias("seq"))
     made = [change(c.where(at % 5 == 0), "REMOVE_CHAPTER", F.lit(None), 1), change(c.where(at % 7 == 0), "CHANGE_TITLE", "first", 1), change(c.where(at % 7 == 0), "CHANGE_TITLE", "second", 2), change(c.where(at % 3 == 0), "CHANGE_TYPE", F.when(at % 2 == 0, "REMOVE").otherwise("CHAPTER"), 1), change(c.where(at % 11 == 0), "ASSIGN_VOLUME", "4", 1)]
@@ -335,7 +335,7 @@ def view_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = orders(spark, sf_dir)
     place = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    v = o.select(F.col("o_custkey").alias("doc_id"), (K % 40).alias("chapter_id"), (place + F.when(K % 9 == 0, 100).otherwise(0)).alias("ordinal"), K.alias("anchor_line"), (K + F.when(K % 7 == 0, 30).otherwise(1)).alias("start_line"), (K + 20).alias("end_line"), F.lit(5000).alias("n_lines"))
+    v = o.select(F.col("o_custkey").alias("doc_id"), (order_key() % 40).alias("chapter_id"), (place + F.when(order_key() % 9 == 0, 100).otherwise(0)).alias("ordinal"), order_key().alias("anchor_line"), (order_key() + F.when(order_key() % 7 == 0, 30).otherwise(1)).alias("start_line"), (order_key() + 20).alias("end_line"), F.lit(5000).alias("n_lines"))
     return chapters.view_violations(v).select("doc_id", "anchor_line", F.array_join("violations", ",").alias("faults"))
 
 
