@@ -18,6 +18,7 @@ class Lexicon:
     sentence_end: str
     boilerplate: str = r"^https?://\S+$|^www\..+\.[a-z]{2,}$"
     salutation: str = ""
+    # fixed values: the line patterns below
     separator: str = r"^[*\-—＝=~☆★●○◆◇▁▂▃▄]{3,}\s*$"
     list_item: str = r"^\s*\d{1,3}[.、)）]\s*\S+.*$"
     message: str = r"^.{1,16}\s+\d{1,2}:\d{2}\s*$"

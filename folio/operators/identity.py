@@ -57,22 +57,22 @@ def replay_merges(log: DataFrame, entities: DataFrame, keys: list[str], seq: str
     return entities.select(*keys, "entity").distinct().join(last, [*keys, "entity"], "left").withColumn("cluster", F.coalesce("cluster", own))
 
 
-def clusters_by_links(links: DataFrame, nodes: DataFrame, checkpoint, limit: int = 60) -> DataFrame:
+def clusters_by_links(links: DataFrame, nodes: DataFrame, checkpoint) -> DataFrame:
     """Transitive clusters: node, cluster (least node) by spreading minima along links and jumping to the label's label.
 
-    ``checkpoint`` cuts the plan after each round; only one changed flag comes to the driver.
+    ``checkpoint`` cuts the plan after each round; only one changed flag comes to the driver. Rounds go on until no
+    label changes: minima only fall, so they end.
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u <> v").distinct()
     labels = nodes.select(F.col("node").alias("u"), F.col("node").alias("c"))
-    for _ in range(limit):
+    while True:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("c").alias("n")), "v").groupBy("u").agg(F.min("n").alias("n"))
         stepped = labels.join(near, "u", "left").select("u", F.least("c", F.coalesce("n", "c")).alias("m"), F.col("c").alias("old"))
         jump = stepped.select(F.col("u").alias("m"), F.col("m").alias("j"))
         after = checkpoint(stepped.join(jump, "m", "left").select("u", F.least("m", F.coalesce("j", "m")).alias("c"), "old"))
         labels = after.select("u", "c")
         if not after.where("c <> old").limit(1).count():
-            break
-    return labels.select(F.col("u").alias("node"), F.col("c").alias("cluster"))
+            return labels.select(F.col("u").alias("node"), F.col("c").alias("cluster"))
 
 
 def aliases_of(members: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:

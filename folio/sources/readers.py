@@ -44,6 +44,7 @@ def detect(raw: bytes) -> dict:
     if raw.isascii() and 0 not in raw:
         return {"charset": "UTF-8", "confidence": 1.0, "method": "ascii", "bom": 0, "alternatives": [], "text": raw.decode("ascii")}
     found = []
+    # fixed values: the weights below, by which strict decodings are scored and the confidence is taken
 
     def offer(name: str, charset: str, score) -> None:
         text = _decode(raw, charset)
