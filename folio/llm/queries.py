@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import byte_bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, token_counts, url_filter
+from folio.llm import byte_bpe, chat_format, decontaminate, license_scan, line_dedup, nearest, ngram_join, prefix_trie, quality_classifier, quality_rules, source_divergence, token_counts, url_filter
 from folio.llm.common import table
 
 #: Fixed values of the query on pages.
@@ -86,7 +86,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-OPERATORS = [op1_token_counts, op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_chat_format, op6_url_filter, op7_quality_classifier, op8_byte_bpe, op9_decontaminate, op10_license_scan]
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OPERATORS = [op1_token_counts, op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_chat_format, op6_url_filter, op7_quality_classifier, op8_byte_bpe, op9_decontaminate, op10_license_scan, op11_nearest_neighbours, op12_source_divergence, op13_prefix_trie]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -131,4 +143,19 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT r, x.host || x.path AS rule, x.verdict, row_number() OVER (PARTITION BY r ORDER BY length(x.host) + length(x.path) DESC, length(x.host) DESC, x.verdict DESC) AS k
                 FROM q, (VALUES {rules}) AS x(host, path, verdict) WHERE (q.host = x.host OR ends_with(q.host, '.' || x.host)) AND starts_with(q.path, x.path))
             SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (r)""",
+        "op12_source_divergence": """
+            WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+            w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+            n AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+            k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+            c AS (SELECT lang, source, term, coalesce(n.n, 0) AS n, total, sum(coalesce(n.n, 0)) OVER (PARTITION BY lang, source) AS own FROM g JOIN k USING (lang) LEFT JOIN n USING (lang, source, term)),
+            p AS (SELECT c.lang, source, term, c.n, 1 + (1000000000::HUGEINT * (c.n + 5)) // (own + 5 * v) AS p, 1 + (1000000000::HUGEINT * (total + 5)) // (v.n + 5 * v) AS q FROM c JOIN v ON v.lang = c.lang),
+            s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+            o AS (
+                SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g JOIN g AS h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+                UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+            r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+            SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50""",
     }
