@@ -30,6 +30,7 @@ from folio.llm.common import WORD, cut
 
 SHARD = 20_000
 FAMILY, LENT = 20, 4
+RESULT = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 
 
@@ -206,4 +207,4 @@ def prefix_trie(turns: DataFrame, id_col: str = "conv_id", shard: int = SHARD) -
     parent = F.coalesce("parent_conv_id", F.lit(whole.conv_id).cast("long")).alias("parent_conv_id")
     out = placed.join(ends, "node", "left").select("conv_id", "depth", parent, "n_convs", "n_children", "n_leaves", "saved_tokens", told.alias("ends_sha256"))
     root = (whole.conv_id, 0, None, whole.n_convs, first.n_children, first.n_leaves or 1, first.saved_tokens or 0, turnless.ends if turnless else NO_ENDS)
-    return out.unionByName(turns.sparkSession.createDataFrame([root] if whole.n_convs else [], out.schema))
+    return out.unionByName(turns.sparkSession.createDataFrame([root] if whole.n_convs else [], RESULT))
