@@ -61,8 +61,7 @@ def fit(x: np.ndarray, largest: float, rounds: int = 30) -> Coder:
     norms = np.linalg.norm(x, axis=1)
     full = np.column_stack([x / largest, np.sqrt(np.maximum(0.0, 1.0 - (norms / largest) ** 2))])
     mean = full.mean(axis=0)
-    _, _, axes = np.linalg.svd(full - mean, full_matrices=True)
-    axes = axes[: min(BITS, full.shape[1])].T
+    axes = np.linalg.eigh((full - mean).T @ (full - mean))[1][:, ::-1][:, :BITS]
     flat, made, rng = (full - mean) @ axes, [], np.random.default_rng(7)
     while sum(m.shape[1] for m in made) < BITS:
         turn = np.linalg.qr(rng.normal(size=(axes.shape[1], axes.shape[1])))[0]
