@@ -4,8 +4,8 @@ Messages point to the message they answer. Self-joins by pointer doubling enumer
 k joins a message knows its 2^k-th ancestor and the score summed on the way, so a tree of depth d takes log2(d)
 joins and each table keeps one row for each message, never a path. Leaves are branches; the branch with the
 highest mean score wins (then the longest, then the smallest leaf). The chosen leaf's ancestors are marked by the
-same tables, from jump 1 upward, and each path is then written as one conversation. Trees that are one path already
-take no jumps.
+same tables, from jump 1 upward, and each path is then written as one conversation. Every tree goes this way, those of a
+single branch too. The joins hold no text: texts are gathered once for each tree, and the marks, in the same order, pick.
 
 A turn is ``<turn:ROLE>TEXT</turn>`` and a line feed. Inside texts a backslash is doubled, and ``<turn:`` and
 ``</turn>`` get a backslash after ``<``; so neither control string ever stands in a text, and two replacements
@@ -43,30 +43,13 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(role, F.lit("%3E"), F.lit(">")), F.lit("%25"), F.lit("%"))
 
 
-def left_out(messages: DataFrame) -> DataFrame:
-    """The messages (tree, msg) that aren't on the best root-to-leaf path of their tree.
+def chosen_paths(messages: DataFrame) -> DataFrame:
+    """The best root-to-leaf path of each tree: columns tree, msg of the messages on it.
 
     ``messages`` has tree, msg (unique in its tree), parent (null at a root) and score. A message whose parent is
     missing is a root. A tree with several roots counts as one tree. Messages that answer each other in a circle
     have no root; no path holds them.
 
-    Trees in which every message answers an earlier one, one has no parent and no two have the same, are one path from
-    root to leaf, and nothing of them is left out; the self-joins are for the messages of all other trees.
-    """
-    base = messages.select("tree", "msg", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    by_parent = base.groupBy("tree", "parent").agg(F.count("*").alias("n"), F.min("msg").alias("msg"))
-    shapes = by_parent.groupBy("tree").agg(F.sum(F.when(F.col("parent").isNull(), F.col("n")).otherwise(0)).alias("roots"), F.max("n").alias("most"), F.min(F.coalesce(F.col("parent") < F.col("msg"), F.lit(True))).alias("forward"))
-    paths = base.groupBy("tree").agg(F.count("*").alias("n"))
-    # a forward tree of one root and one answer at most for each parent is a path if no parent is missing: then all but the last message are answered
-    answered = base.join(by_parent.where("parent is not null").select("tree", F.col("parent").alias("msg")), ["tree", "msg"], "left_semi").groupBy("tree").agg(F.count("*").alias("inner"))
-    odd = cut(shapes.join(paths, "tree").join(answered, "tree", "left").where("roots <> 1 or most > 1 or not forward or coalesce(inner, 0) <> n - 1").select("tree"))
-    rest = cut(base.join(odd, "tree", "left_semi"))
-    return rest.select("tree", "msg").join(chosen_paths(rest), ["tree", "msg"], "left_anti") if rest.limit(1).count() else rest.select("tree", "msg")
-
-
-def chosen_paths(messages: DataFrame) -> DataFrame:
-    """The best root-to-leaf path of each tree: columns tree, msg of the messages on it. ``messages`` is as for ``left_out``.
-
     Jumps double until every message has met its root; messages that lead into a circle never do, and are the only ones
     still jumping once jumps are longer than the largest tree.
     """
@@ -93,15 +76,19 @@ def chosen_paths(messages: DataFrame) -> DataFrame:
     return marked
 
 
-def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
+def format_turns(turns: DataFrame, loss_role: str = "assistant", marks: DataFrame | None = None) -> DataFrame:
     """One row for each conversation: tree, formatted, loss_mask (array of start, end in code points, from 0).
 
     ``turns`` has tree, place (the order), role and text; null roles and texts are empty. Equal places are ordered
-    by role and text, so repeated rows give the same output in any order.
+    by role and text, so repeated rows give the same output in any order. ``marks`` (tree, place, chosen: one row for each
+    turn) says which turns are formatted, all of them by default; a tree of which none is chosen has no row.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     made = turns.select("tree", "place", F.concat(F.lit(OPEN), escape_role(role), F.lit(">")).alias("head"), escape(text).alias("body"), (role == loss_role).alias("loss"))
     gathered = made.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("place", "head", "body", "loss"))).alias("t"))
+    if marks is not None:
+        told = marks.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("place", "chosen"))).alias("marks"))
+        gathered = gathered.join(told, "tree").select("tree", F.filter("t", lambda _, i: F.get("marks", i)["chosen"]).alias("t")).where(F.size("t") > 0)
     tail = F.lit(CLOSE + "\n")
     lengths = F.transform("t", lambda x: F.struct(F.length(x["head"]).alias("h"), F.length(x["body"]).alias("b"), x["loss"].alias("loss")))
     step = lambda a, x: F.struct((a["at"] + x["h"] + x["b"] + len(CLOSE) + 1).alias("at"), F.when(x["loss"], F.concat(a["mask"], F.array(F.struct((a["at"] + x["h"]).alias("start"), (a["at"] + x["h"] + x["b"]).alias("end"))))).otherwise(a["mask"]).alias("mask"))
@@ -130,7 +117,10 @@ def format_conversations(messages: DataFrame, loss_role: str = "assistant") -> D
     larger than its parent. Rows with a null tree or msg belong to no tree and are left out.
     """
     given = messages.where("tree is not null and msg is not null")
-    return format_turns(given.join(left_out(given), ["tree", "msg"], "left_anti").select("tree", F.col("msg").alias("place"), "role", "text"), loss_role)
+    narrow = cut(given.select("tree", "msg", "parent", "score"))
+    best = chosen_paths(narrow).select("tree", "msg", F.lit(True).alias("on"))
+    marks = narrow.select("tree", "msg").join(best, ["tree", "msg"], "left").select("tree", F.col("msg").alias("place"), F.coalesce("on", F.lit(False)).alias("chosen"))
+    return format_turns(given.select("tree", F.col("msg").alias("place"), "role", "text"), loss_role, marks)
 
 
 def linear_messages(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -87,10 +87,19 @@ def test_reply_trees_choose_the_best_branch(spark):
             best = max(best or (key, path), (key, path))
         want |= {(tree, m) for m in best[1]}
     frame = spark.createDataFrame(rows, "tree long, msg long, parent long, score double")
-    out = {tuple(r) for r in chat_format.left_out(frame).collect()}
-    assert {(t, m) for t, m, _, _ in rows} - out == want
-    got = chat_format.chosen_paths(spark.createDataFrame(rows, "tree long, msg long, parent long, score double"))
-    assert {tuple(r) for r in got.collect()} == want
+    assert {tuple(r) for r in chat_format.chosen_paths(frame).collect()} == want
+    made = chat_format.format_conversations(frame.selectExpr("*", "'user' AS role", "concat(tree, ' ', msg) AS text"))
+    read = made.select("tree", chat_format.parse_turns(made.formatted).alias("t")).collect()
+    assert {tuple(map(int, x.text.split())) for r in read for x in r.t} == want and len(read) == len({t for t, _ in want})
+
+
+def test_the_query_enumerates_its_own_trees(spark, sf, monkeypatch):
+    seen = []
+    chosen = chat_format.chosen_paths
+    monkeypatch.setattr(chat_format, "chosen_paths", lambda m: seen.append((m, out := chosen(m))) or out)
+    rows = table(spark, sf, "conversations").count() + 2
+    assert queries.op5_chat_format(spark, sf).count() > 0
+    assert len(seen) == 1 and seen[0][0].count() == seen[0][1].count() == rows
 
 
 RULES = queries.URL_RULES + [("net", "/es/", "allow"), ("exact.org", "/a", "block"), (None, "/", "block"), ("x.y", "", "block")]
@@ -154,29 +163,24 @@ def test_repeated_passages_go_and_clean_lines_stay(spark):
         assert got[i].text.split("\n") == lines, (i, kind)
 
 
-def test_runs_match_earlier_text_and_every_long_repeat_is_found(spark):
+def test_what_goes_is_each_long_run_that_stands_earlier(spark):
+    """Against the definition, which knows neither hashes nor fingerprints."""
     rng = random.Random(9)
-    pool = [" ".join(f"{rng.choice('abc')}{rng.randrange(50)}" for _ in range(rng.randint(1, 18))) for _ in range(30)]
-    rows = [(i, "\n".join(rng.choice(pool + ["", " "]) if rng.random() < 0.3 else pool[(s + k) % 30] for k in range(rng.randint(0, 14)))) for i in range(80) for s in [rng.randrange(30)]]
+    pool = [" ".join(f"{rng.choice('abc')}{rng.randrange(50)}" for _ in range(rng.randint(1, 40))) for _ in range(25)]
+    rows = [(i, "\n".join(rng.choice(pool + ["", " "]) if rng.random() < 0.25 else pool[(s + k) % 25] for k in range(rng.randint(0, 14)))) for i in range(120) for s in [rng.randrange(25)]]
+    rows += [(200, "\n".join(["x y z w v " * 3] * 30)), (201, "\n".join(["x y z w v " * 3] * 9))]
     seqs, span = plain_runs(rows)
-    got = {r.doc_id: [(x.start, x.end) for x in r.removed_runs] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    seen = {}
+    got = {r.doc_id: {p for x in r.removed_runs for p in range(x.start, x.end + 1)} for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = set()
     for i in sorted(seqs):
-        seq = seqs[i]
-        gone = {p for a, b in got[i] for p in range(a, b + 1)}
+        seq, gone = seqs[i], set()
         for k in range(len(seq)):
-            if m := span(seq, k, 25):
-                seen.setdefault(tuple(x for x, _, _ in seq[k : k + m]), (i, k))
-        for k in range(len(seq)):
-            m = span(seq, k, 50)
-            if m:
+            for m in range(span(seq, k, 50) or len(seq) + 1, len(seq) - k + 1):
                 text = tuple(x for x, _, _ in seq[k : k + m])
-                if ("run", text) in seen:  # a long repeat: some gram of it is a fingerprint that is known
-                    assert gone & {p for _, p, _ in seq[k : k + m]}, (i, k)
-                seen.setdefault(("run", text), (i, k))
-        kept_from = [k for k, (_, p, _) in enumerate(seq) if p in gone]
-        for k in kept_from:  # each deleted line stands earlier, too
-            assert any((j, q) < (i, k) and x == seq[k][0] for j in seqs for q, (x, _, _) in enumerate(seqs[j])), (i, k)
+                if text in seen:
+                    gone |= {p for _, p, _ in seq[k : k + m]}
+                seen.add(text)
+        assert got[i] & {p for _, p, _ in seq} == gone, i
 
 
 def test_all_lines_of_every_long_repeat_go(spark):
