@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions matched by short hash prefixes, then by full digests.
 
 A rule is a host and a path; it fits its host and all subdomains where the url's path starts with the rule's.
-Each url is expanded into its host's suffixes at label bounds, crossed with the path prefixes whose lengths occur
+Each url is expanded into its host's suffixes at label bounds (no longer than any rule's host), crossed with the path prefixes whose lengths occur
 in the rule table. Expressions and rules meet in an equi-join on the first 32 bits of their SHA-256; the full
 digest then confirms, and the longest rule wins. Of equally long rules the one with the longer host wins, then
 blocking before allowing.
@@ -11,7 +11,8 @@ Rules that share a short prefix are gathered in one row of the join, so an expre
 The rule table is broadcast only if it has at most ``BROADCAST_RULES`` rules, counted first. Larger tables are
 joined by shuffle: each expression gets one of ``SALTS`` salts by its url's id and path, and the rules are copied
 once for each salt, so the expressions of a host with a third of all pages are spread over as many tasks. A url has
-as many expressions as its host has suffixes, times the distinct path lengths of the rules that its path reaches.
+as many expressions as its host has suffixes of no more labels than a rule's host, times the distinct path lengths of the
+rules that its path reaches.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import ascii_lower
+from folio.llm.common import ascii_lower, let
 
 BROADCAST_RULES = 100_000
 SALTS = 16
@@ -36,10 +37,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and every suffix of it that starts after a dot."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+def host_suffixes(host: Column, most: int) -> Column:
+    """The suffixes of the host, itself included, that start at a label and have ``most`` labels at most."""
+
+    def of(labels: Column) -> Column:
+        last = F.slice(labels, F.greatest(F.size(labels) - most, F.lit(0)) + 1, most)
+        return let(last, lambda t: F.transform(F.sequence(F.lit(1), F.size(t)), lambda k: F.array_join(F.slice(t, k, F.size(t)), ".")))
+
+    return let(F.split(host, r"\."), of)
 
 
 def digests(rules: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def digests(rules: DataFrame) -> DataFrame:
     given = rules.where("rule_host is not null and rule_path is not null and verdict is not null")
     given = given.select(ascii_lower(F.col("rule_host")).alias("rule_host"), "rule_path", "verdict").distinct()
     best = F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("host_size"), (F.col("verdict") == "block").alias("blocks"), F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict").alias("verdict"))
-    return given.select(key.alias("rule_digest"), F.substring(key, 1, PREFIX).alias("prefix"), F.length("rule_path").alias("path_size"), best.alias("best"))
+    return given.select(key.alias("rule_digest"), F.substring(key, 1, PREFIX).alias("prefix"), F.length("rule_path").alias("path_size"), F.size(F.split("rule_host", r"\.")).alias("labels"), best.alias("best"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
@@ -59,11 +64,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     leaves every verdict to ``default``.
     """
     keyed = digests(rules)
-    figures = keyed.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("path_size")).alias("sizes")).first()
+    figures = keyed.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("path_size")).alias("sizes"), F.max("labels").alias("labels")).first()
     sizes = F.array(*(F.lit(n) for n in figures.sizes)).cast("array<int>")
     found = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     paths = F.transform(F.filter(sizes, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    pairs = F.flatten(F.transform(host_suffixes(F.col("host")), lambda h: F.transform(paths, lambda p: F.sha2(F.concat_ws(" ", h, p).cast("binary"), 256))))
+    pairs = F.flatten(F.transform(host_suffixes(F.col("host"), figures.labels or 1), lambda h: F.transform(paths, lambda p: F.sha2(F.concat_ws(" ", h, p).cast("binary"), 256))))
     asked = found.select("id", "host", "path", F.posexplode_outer(pairs).alias("k", "digest")).withColumn("prefix", F.substring("digest", 1, PREFIX))
     keyed = keyed.groupBy("prefix").agg(F.collect_list(F.struct("rule_digest", "best")).alias("candidates"))
     on = ["prefix"]
