@@ -1,8 +1,9 @@
 """License scans: matching statistics from a generalised suffix automaton of licence texts, chained into spans.
 
 The automaton holds the words of whole licences (the files in ``licenses``), of ``NOTICES`` and of ``PHRASES``.
-Streaming a text's words through it gives, at each word, the longest suffix that occurs in some template. A stretch is
-a maximal such match of ``MIN_MATCH`` words or more, or of a shorter template's whole length. Stretches are chained: one
+Streaming a text's words through it gives, at each word, the longest suffix that occurs in some template; templates that
+have only a shorter suffix stand on the way up its suffix links, so every template has a matching statistic of its own. A
+stretch is a maximal such match of ``MIN_MATCH`` words or more, or of a shorter template's whole length. Stretches are chained: one
 follows another of its template if, once what they share in the text is cut off its start, it begins at most
 ``MAX_GAP`` words behind the other in the text and in the template. A template's coverage is the share of its words in
 the chain that covers most (of equal ones the first, then the shortest); its label is given from ``COVER`` on. The
@@ -66,13 +67,23 @@ class LicenseMatcher:
         self.need = [min(min_match, len(w)) for _, w in self.templates]
         self.least, self.shortest = min(self.need, default=min_match), min((len(w) for _, w in self.phrases), default=min_match)
         size = len(sam.next)
-        #: At a state: (template, end in it) of every occurrence of its strings.
-        self.places: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+        #: At a state: by template, the ends in it of every occurrence of the state's strings.
+        self.places: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(size)]
         for t in range(len(self.templates)):
             for end, v in enumerate(sam.ends[t], 1):
                 while v > 0:
-                    self.places[v].append((t, end))
+                    self.places[v][t].append(end)
                     v = sam.link[v]
+        #: At a state: its suffix links up to ``least`` words at which further templates begin to match, and these.
+        self.further: list[list[tuple[int, list[int]]]] = [[] for _ in range(size)]
+        for v in range(1, size):
+            u, known = sam.link[v], len(self.places[v])
+            while u > 0 and sam.length[u] >= self.least:
+                if len(self.places[u]) > known:
+                    known = len(self.places[u])
+                    below = {t for _, ts in self.further[v] for t in ts}
+                    self.further[v].append((u, [t for t in self.places[u] if t not in self.places[v] and t not in below]))
+                u = sam.link[u]
         self.ending: list[list[tuple[int, str]]] = [[] for _ in range(size)]  # phrases that are suffixes of a state's strings
         own = defaultdict(list)
         for label, words in self.phrases:
@@ -87,49 +98,55 @@ class LicenseMatcher:
         root = nxt[0]
         v = n = 0
         out, base = root, []
-        stretches: list[tuple[int, int, int]] = []  # (end, length, state)
+        stretches: list[tuple[int, int, int, int]] = []  # (end, length, state, template)
+        now: dict[int, tuple[int, int]] = {}  # template: length and state of its match up to here
         for i, w in enumerate(words):
             to = out.get(w)
             if to is None:
-                if n >= least:
-                    stretches.append((i, n, v))
                 while v and to is None:
                     v = link[v]
                     to = nxt[v].get(w)
                 if to is None:
                     v = n = 0
                     out = root
-                    continue
-                n = length[v]
-            v, n = to, n + 1
-            out = nxt[v]
+                else:
+                    n = length[v]
+            if to is not None:
+                v, n = to, n + 1
+                out = nxt[v]
+            last, now = now, {}
+            if n >= least:
+                for t in self.places[v]:
+                    now[t] = (n, v)
+                for u, ts in self.further[v]:
+                    for t in ts:
+                        now[t] = (length[u], u)
+            for t, (size, state) in last.items():
+                if t not in now or now[t][0] != size + 1:
+                    stretches.append((i, size, state, t))
             if n >= shortest and (ending := self.ending[v]):
                 base += [(i + 1 - size, label) for size, label in ending if size <= n]
-        if n >= least:
-            stretches.append((len(words), n, v))
+        stretches += [(len(words), size, state, t) for t, (size, state) in now.items()]
         return base, self._chain(stretches) if stretches else []
 
-    def _chain(self, stretches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+    def _chain(self, stretches: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
         """The best chain of each template over its stretches in the order of the text; chains that no later stretch can follow are dropped."""
         open_: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)  # template: (words covered, -start, end, end in the template) of chains
         best: dict[int, tuple[int, int, int]] = {}  # template: words covered, -start, -end
-        for end, n, v in stretches:
-            start = end - n
-            for t in {t for t, _ in self.places[v]}:
-                open_[t] = [c for c in open_[t] if start - c[2] <= self.max_gap]
-            new = []
-            for t, at in self.places[v]:
-                if n < self.need[t]:
-                    continue
+        for end, n, v, t in stretches:
+            if n < self.need[t]:
+                continue
+            start, new = end - n, []
+            open_[t] = [c for c in open_[t] if start - c[2] <= self.max_gap]
+            for at in self.places[v][t]:
                 mine = (n, -start, end, at)
                 for covered, begin, last, place in open_[t]:
                     shared = max(0, last - start)
                     if shared < n and 0 <= at - n + shared - place <= self.max_gap:
                         mine = max(mine, (covered + n - shared, begin, end, at))
-                new.append((t, mine))
+                new.append(mine)
                 best[t] = max(best.get(t, (0, 0, 0)), (mine[0], mine[1], -mine[2]))
-            for t, chain in new:
-                open_[t].append(chain)
+            open_[t] += new
         spans = [(self.templates[t][0], -s, -e, c / len(self.templates[t][1])) for t, (c, s, e) in best.items()]
         return sorted(x for x in spans if x[3] >= self.cover)
 
