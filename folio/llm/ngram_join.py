@@ -45,6 +45,7 @@ HOT_IN_CHUNK, GROUP_ENTRIES = 64, 2_000_000  # a chunk flags a shingle of so man
 HOT = 2**16 - 1  # the count of flagged shingles; counts are kept in 16 bits
 PIVOTS = (3, 8, 64)  # document counts at which the global order is cut into fragments
 SKETCH = 512  # bits
+LIST_BLOCK = 2000  # entries of a list that meet others in one task
 PAIRS_FOR_ENTRY = 1000  # more pairs to bound than so many for each entry call for further hubs, as long as these halve them
 WORDS = 400_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -391,11 +392,35 @@ def _open_lists(entries: DataFrame) -> DataFrame:
 
 
 def _rest_pairs(entries: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of different components in one list that the bounds let link."""
-    whole = cut(entries.join(sets.select("doc", "c", "sketch"), "doc").select("key", F.struct("doc", "n", "suffix", "comp", "c", "sketch").alias("x")))
-    met = whole.join(whole.withColumnRenamed("x", "y"), "key")
-    may = (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & _may_link(share, "x", "y") & _sketches_near(share, "x", "y")
-    return met.where(may).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    """Pairs (a, b) of different components in one list that the bounds let link.
+
+    A list is cut into cells of like sizes and like shares of weight from the common element on, and large cells by hashes of
+    ids into blocks of about ``LIST_BLOCK`` entries. Cells meet only if their extremes allow a link, and each pair of blocks
+    is a key of its own, so no task pairs more than two blocks, and a list whose members can't link makes no rows.
+    """
+    need, of = share
+    at = [F.floor(F.log2("n") * 4).cast("int").alias("nb"), F.floor(F.col("suffix") * 50 / F.col("n")).cast("int").alias("sb")]
+    whole = cut(entries.join(sets.select("doc", "c", "sketch"), "doc").select("key", *at, F.struct("doc", "n", "suffix", "comp", "c", "sketch").alias("x")))
+    cells = whole.groupBy("key", "nb", "sb").agg(F.min("x.n").alias("least"), F.max("x.n").alias("most"), F.max("x.suffix").alias("suffix"), F.ceil(F.count("*") / LIST_BLOCK).alias("s"))
+    one, two = (cells.select("key", *(F.col(c).alias(f"{side}_{c}") for c in cells.columns if c != "key")) for side in "ab")
+    order = F.struct("a_nb", "a_sb") <= F.struct("b_nb", "b_sb")
+    sizes = (of * F.col("a_most") >= need * F.col("b_least")) & (of * F.col("b_most") >= need * F.col("a_least"))
+    weights = (need + of) * F.least("a_suffix", "b_suffix") >= need * (F.col("a_least") + F.col("b_least"))
+    same = (F.col("a_nb") == F.col("b_nb")) & (F.col("a_sb") == F.col("b_sb"))
+    meet = one.join(two, "key").where(order & sizes & weights).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("a_s"))))
+    meet = meet.withColumn("j", F.explode(F.sequence(F.when(same, F.col("i")).otherwise(1), F.col("b_s"))))
+    meet = cut(meet.select("key", "a_nb", "a_sb", "a_s", "i", "b_nb", "b_sb", "b_s", "j"))
+
+    def side(name: str, at: str, as_: str) -> DataFrame:
+        blocks = meet.select("*", F.col(f"{name}_nb").alias("nb"), F.col(f"{name}_sb").alias("sb"), F.col(at).alias("own"))
+        salts = cells.select("key", "nb", "sb", "s")
+        salted = whole.join(salts, ["key", "nb", "sb"]).withColumn("own", F.pmod(F.xxhash64("x.doc"), "s") + 1)
+        return salted.join(blocks, ["key", "nb", "sb", "own"]).select("key", "a_nb", "a_sb", "i", "b_nb", "b_sb", "j", F.col("x").alias(as_))
+
+    met = side("a", "i", "x").join(side("b", "j", "y"), ["key", "a_nb", "a_sb", "i", "b_nb", "b_sb", "j"])
+    alone = same & (F.col("i") == F.col("j"))
+    may = (~alone | (F.col("x.doc") < F.col("y.doc"))) & (F.col("x.comp") != F.col("y.comp")) & _may_link(share, "x", "y") & _sketches_near(share, "x", "y")
+    return met.where(may).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
 def _resolve(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
