@@ -177,7 +177,11 @@ def keep_good(docs: DataFrame, model: PuModel | None, text_col: str = "text") ->
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                x = np.stack([features(b"" if t is None else t.encode()) for t in batch.column(at).to_pylist()])
+                x = np.stack([features(b"" if t is None else t) for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array(model.score(x) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema) if model else docs
+    if not model:
+        return docs
+    # texts go as bytes, so that those that are no UTF-8 pass, too
+    raw = docs.withColumn(text_col, F.col(text_col).cast("binary"))
+    return raw.mapInArrow(run, raw.schema).withColumn(text_col, F.col(text_col).cast(docs.schema[text_col].dataType))
