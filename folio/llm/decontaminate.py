@@ -58,7 +58,7 @@ class ItemMatcher:
                 while v > 0 and sam.length[v] >= window and item not in owners[v]:
                     owners[v].add(item)
                     v = sam.link[v]
-        self.owners = owners
+        self.owners, self.cut = owners, sam.at_length(window)
         # nearest state with short items on each chain of suffix links, itself included
         self.marked, self.short = [-1] * size, short
         for v in sorted(range(1, size), key=sam.length.__getitem__):
@@ -91,7 +91,7 @@ class ItemMatcher:
             hit = 0
             if n >= window:
                 hit = window
-                at = sam.at_length(v, window)
+                at = self.cut[v]
                 if at not in seen:
                     seen.add(at)
                     items |= self.owners[at]
@@ -243,7 +243,7 @@ def _remove(docs: DataFrame, names: list[str], max_coverage: float, text_col: st
                 keep, texts = [], []
                 known = [None] * batch.num_rows if matcher else batch.column(len(names)).to_pylist()
                 for text, spans in zip(batch.column(at).to_pylist(), known, strict=True):
-                    raw = b"" if text is None else text.encode()
+                    raw = b"" if text is None else text
                     words = raw.translate(ALNUM).split()
                     spans = matcher.match(words)[0] if matcher else [(s["start"], s["end"]) for s in spans or []]
                     keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(words))
@@ -255,15 +255,18 @@ def _remove(docs: DataFrame, names: list[str], max_coverage: float, text_col: st
                         for a, b in spans:
                             parts.append(raw[last : starts[a]])
                             last = ends[b - 1]
-                        text = (b"".join(parts) + raw[last:]).decode()
+                        text = b"".join(parts) + raw[last:]
                     texts.append(text)
                 columns, schema = batch.columns[: len(names)], pa.schema([batch.schema.field(i) for i in range(len(names))])
                 columns[at] = pa.array(texts, schema.field(at).type)
                 if chars >= 0:
-                    columns[chars] = pa.array([c if t is None else len(t) for t, c in zip(texts, columns[chars].to_pylist(), strict=True)], schema.field(chars).type)
+                    columns[chars] = pa.array([c if t is None else len(t.decode(errors="replace")) for t, c in zip(texts, columns[chars].to_pylist(), strict=True)], schema.field(chars).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.select(*quoted(names)).schema)
+    # texts go as bytes, so that those that are no UTF-8 pass, too
+    raw_text = docs.withColumn(text_col, F.col(text_col).cast("binary"))
+    done = raw_text.mapInArrow(run, raw_text.select(*quoted(names)).schema)
+    return done.withColumn(text_col, F.col(text_col).cast(docs.schema[text_col].dataType))
 
 
 def items_digest(items: list) -> str:

@@ -49,11 +49,13 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
         return new
 
-    def at_length(self, v: int, n: int) -> int:
-        """The state of the suffix of n words of any string of v that is at least as long."""
-        while self.length[self.link[v]] >= n:
-            v = self.link[v]
-        return v
+    def at_length(self, n: int) -> list[int]:
+        """For each state, that of the suffix of n words of its strings; itself where these are shorter."""
+        at = list(range(len(self.next)))
+        for v in sorted(range(1, len(at)), key=self.length.__getitem__):
+            if self.length[self.link[v]] >= n:
+                at[v] = at[self.link[v]]
+        return at
 
     def find(self, words: list[bytes]) -> int:
         v = 0

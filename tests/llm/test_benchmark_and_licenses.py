@@ -1,6 +1,7 @@
 """Decontamination and license scans against plain versions."""
 
 import random
+import time
 
 import pytest
 from helpers import alnum_words, decontaminate as plain
@@ -100,17 +101,14 @@ def test_license_query(spark, sf):
     assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
 
 
-def plain_scan(text, templates, phrases, min_match, max_gap, cover):
-    """Stretches by trying every substring, chains by trying every earlier stretch."""
+def plain_scan(text, templates, min_match, max_gap, cover):
+    """Each template by itself: stretches by trying every substring of it, chains by trying every earlier stretch."""
     w = alnum_words(text)
-    own = [(label, alnum_words(t)) for label, t in templates]
-    known = {tuple(t[i:j]) for t in [*(t for _, t in own), *(alnum_words(p) for p in phrases)] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
-    longest = []
-    for end in range(len(w) + 1):
-        longest.append(next(n for n in range(end, -1, -1) if n == 0 or tuple(w[end - n : end]) in known))
-    ends = [e for e in range(1, len(w) + 1) if longest[e] and (e == len(w) or longest[e + 1] != longest[e] + 1)]
     out = []
-    for label, t in own:
+    for label, t in [(label, alnum_words(t)) for label, t in templates]:
+        known = {tuple(t[i:j]) for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+        longest = [next(n for n in range(end, -1, -1) if n == 0 or tuple(w[end - n : end]) in known) for end in range(len(w) + 1)]
+        ends = [e for e in range(1, len(w) + 1) if longest[e] and (e == len(w) or longest[e + 1] != longest[e] + 1)]
         stretches = [(e, longest[e], p) for e in ends if longest[e] >= min(min_match, len(t)) for p in range(longest[e], len(t) + 1) if t[p - longest[e] : p] == w[e - longest[e] : e]]
         chains = []
         for e, n, p in stretches:
@@ -137,7 +135,22 @@ def test_license_chains_equal_plain():
             cut = rng.randint(0, len(t))
             text += " " + " ".join([*t[:cut], *rng.choice([[], ["z"], ["z", "z", "z", "z"]]), *t[cut + rng.randint(0, 2) :]])
         matcher = license_scan.LicenseMatcher(templates, phrases, 2, 2, 0.3)
-        assert matcher.match([x.encode() for x in alnum_words(text)])[1] == plain_scan(text, templates, phrases, 2, 2, 0.3), text
+        assert matcher.match([x.encode() for x in alnum_words(text)])[1] == plain_scan(text, templates, 2, 2, 0.3), text
+
+
+def test_a_template_inside_another_is_found_with_it():
+    templates = [("x", "a b c d e f g h i j k l"), ("y", "d e f g"), ("z", "k l m n"), ("x2", "c d e f g h q")]
+    found = lambda text: [(s[0], s[1], s[2], s[3]) for s in license_scan.LicenseMatcher(templates, {}).match(text.encode().split())[1]]
+    assert found("a b c d e f g h i j k l") == [("x", 0, 12, 1.0), ("x2", 2, 8, 6 / 7), ("y", 3, 7, 1.0)]
+    assert found("q d e f g q") == [("y", 1, 5, 1.0)]
+
+
+def test_texts_of_one_word_take_linear_time():
+    words = [b"w"] * 500_000
+    matcher = decontaminate.ItemMatcher([(1, [b"w"] * 4000), (2, [b"w", b"w", b"v"])], 10)
+    began = time.time()
+    assert matcher.match(words) == ([(0, 500_000)], {1})
+    assert time.time() - began < 20
 
 
 def test_whole_licenses(spark):

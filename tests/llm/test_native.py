@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -128,6 +129,16 @@ def test_urls(spark, limit):
     assert {r.verdict for r in url_filter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_long_hosts_take_linear_time(spark):
+    host = "a." * 64_000 + "b.example.com"
+    pages = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, f"http://{host[:-4]}/en/x"), (3, "http://" + "." * 64_000 + "/es/")], "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "rule_host string, rule_path string, verdict string")
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: (None, "allow"), 3: (None, "allow")}
+    assert time.time() - began < 60
+
+
 def plain_runs(rows, gram=25, run=50):
     """The module's rules, step by step."""
     seqs = {}

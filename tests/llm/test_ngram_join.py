@@ -82,6 +82,18 @@ def test_many_near_copies_of_texts(spark, monkeypatch):
     assert as_dict(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
 
 
+@pytest.mark.parametrize("block", [3, 2000])
+def test_a_family_of_short_texts_under_one_template(spark, monkeypatch, block):
+    rng = random.Random(13)
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "PAIRS_FOR_ENTRY", 10**9)  # one round of hubs, then the rest
+    rows = []
+    for i in range(260):
+        kind, own = rng.randrange(3), rng.choice([1, 2, 3, 5, 8])
+        rows.append((i, " ".join([*(f"t{k}" for k in range(30)), *(f"k{kind}w{k}" for k in range(20)), *(f"o{rng.randrange(4)}" for _ in range(own))])))
+    assert as_dict(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+
+
 def test_keep_one_with_clashing_and_unordered_columns(spark):
     frame = spark.sql("SELECT id % 3 AS doc_id, 'own text ' || id % 3 AS text, map('k', id) AS _doc, id AS `a.b`, id AS _repeated FROM range(6)")
     got = ngram_join.keep_one(frame)

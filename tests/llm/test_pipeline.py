@@ -6,6 +6,8 @@ import zlib
 import pytest
 from helpers import alnum_words, near_duplicates as plain_groups, plain_words, sha
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from folio.llm import queries
 from folio.llm.common import checkpoint_dir, table
@@ -106,6 +108,20 @@ def test_whole_pipeline(spark, corpus):
     assert sum(len(plain_words(t)) for _, t in texts) > 160 * 110
 
 
+def test_text_that_is_no_utf8_passes_every_stage(spark, corpus):
+    raw = "X'" + ("a\u00e9 plain words of a text " * 30).encode().hex() + "ff62'"
+    odd = table(spark, corpus, "documents").where("doc_id < 3").withColumn("text", F.expr(f"cast({raw} AS string)")).withColumn("doc_id", F.col("doc_id") + 9000)
+    docs = table(spark, corpus, "documents").unionByName(odd)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, corpus)
+        assert out.count() > 0
+        docs = out if "text" in out.columns else docs
+    kept = table(spark, corpus, "benchmark").selectExpr("text").limit(1).crossJoin(odd.select("doc_id", "lang", "source", "n_chars").limit(1))
+    mixed = kept.withColumn("text", F.concat(F.expr(f"cast({raw} AS string)"), F.lit(" "), F.col("text"))).select(*COLUMNS)
+    done = STAGES["benchmark_decontamination"](spark, mixed, corpus).select(F.col("text").cast("binary").alias("t")).collect()
+    assert len(done) == 1 and bytes(done[0].t).endswith(b"\xffb ")
+
+
 def test_empty_tables(spark, corpus, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, corpus, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
