@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.checkpoints import cut
-from folio.functions.text import free_name
 
 
 def asof_last(points: DataFrame, facts: DataFrame, key: str | list[str], at: str, value: list[str], fact_at: str | None = None, tie: str | None = None, undated: bool = False) -> DataFrame:
@@ -59,30 +61,77 @@ def _blocks(start: Column, end: Column, levels: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), zero, step, lambda s: s["out"])
 
 
+LEAF = 200_000  # rows of a key from which on it is swept in parts
+PARTS = 256  # RADIX ** 4
+ENDLESS = 2**63 - 1
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers points from a stack of the intervals begun and not ended; rows come by key and leaf, position, kind and tie.
+
+    An interval that begins later and ends no sooner than another leaves nothing for it to win, so ends fall towards the
+    top of the stack, and what ended before a point is popped for good.
+    """
+    last, stack = None, []
+    for b in batches:
+        kinds = b.column("kind").to_numpy()
+        values, held = b.column("v").to_pylist(), []
+        for k, leaf, x, kind, end, v in zip(b.column("k").to_pylist(), b.column("leaf").to_pylist(), b.column("x").to_pylist(), kinds.tolist(), b.column("e").to_pylist(), values, strict=True):
+            if (k, leaf) != last:
+                last, stack = (k, leaf), []
+            if kind == 0:
+                while stack and stack[-1][0] <= end:
+                    stack.pop()
+                stack.append((end, v))
+            else:
+                while stack and x is not None and stack[-1][0] < x:
+                    stack.pop()
+                held.append(stack[-1][1] if stack and x is not None else None)
+        rows = b.column("row").filter(pa.array(kinds == 1))
+        yield pa.RecordBatch.from_arrays([rows, pa.array(held, b.schema.field("v").type)], ["row", "held"])
+
+
+def _covers(side: DataFrame) -> DataFrame:
+    """k, leaf, s, e, t, v: of the intervals that cover a leaf wholly (a < leaf < z), the one that wins it."""
+    levels = 4
+    blocks = F.explode(_blocks(F.col("a") + 1, F.col("z") - 1, levels))
+    best = F.max(F.struct("s", "t", "e", "v")).alias("w")
+    winners = side.where("z - a > 1").select("k", "s", "t", "e", "v", blocks.alias("b")).groupBy("k", "b.level", "b.block").agg(best)
+    width = F.pow(F.lit(float(RADIX)), F.col("level")).cast("long")
+    leaves = winners.select("k", F.explode(F.sequence(F.col("block") * width, (F.col("block") + 1) * width - 1)).alias("leaf"), "w.*")
+    return leaves.groupBy("k", "leaf").agg(best).select("k", "leaf", "w.*")
+
+
 def stab(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, value: list[str], closed: bool = True, tie: str | None = None) -> DataFrame:
     """``points`` with the interval of their key that holds them; an open end is endless, and of several the latest start wins, then the largest ``tie``.
 
-    Positions are integers; repeated points keep their rows. ``closed`` says whether the end belongs to the interval; one
-    that ends before it starts, or has no start, holds nothing. Each interval is cut into aligned blocks, of a few sizes,
-    of which one winner stays for each key and block, so a point meets one row for each block size and no two sides of a
-    key are ever paired.
+    Positions are integers; repeated points keep their rows, and points without a key or position hold nothing. ``closed``
+    says whether the end belongs to the interval; one that ends before it starts, or has no start, holds nothing.
+
+    Points and intervals of a key are sorted together once and swept in order, so no two sides are paired. A key of more
+    than ``LEAF`` rows is cut at ``PARTS`` quantiles of its positions: an interval stands in the leaf where it starts and in
+    the one where it ends, and of those that cover a leaf wholly one winner stands in it, found by aligned blocks of leaves.
     """
-    low, high = points.select(F.col(at).alias("x")).unionByName(intervals.select(F.col(start).alias("x"))).agg(F.min("x"), F.max("x")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    levels, size = 0, high - low + 1
-    while size > RADIX:
-        size, levels = -(-size // RADIX), levels + 1
-    last = F.least(F.coalesce(F.col(end) if closed else F.col(end) - 1, F.lit(high)), F.lit(high))
-    side = intervals.where(F.col(start).isNotNull() & (F.col(start) <= last)).select(key, F.col(start).alias("s"), (F.col(tie) if tie else F.lit(0)).alias("t"), F.struct(*value).alias("v"), F.explode(_blocks(F.col(start) - low, last - low, levels)).alias("b"))
-    winners = side.groupBy(key, "b.level", "b.block").agg(F.max_by("v", F.struct("s", "t")).alias("v"), F.max(F.struct("s", "t")).alias("r"))
-    row, own = free_name(points, "row"), [F.col(c) for c in points.columns]
-    asked = points.withColumn(row, F.monotonically_increasing_id())
-    asked = cut(asked)  # ids must not change between the two uses of the rows
-    place = F.col(at).cast("long") - low
-    looked = asked.select(key, row, F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.floor(place / RADIX**n).cast("long").alias("block")) for n in range(levels + 1)))).alias("b"))
-    met = looked.select(key, row, "b.level", "b.block").join(winners, [key, "level", "block"])
-    best = met.groupBy(row).agg(F.max_by("v", "r").alias("v"))
-    return asked.join(best, row, "left").select(*own, *(F.col(f"v.{v}").alias(f"held_{v}") for v in value))
+    stop = F.coalesce((F.col(end) if closed else F.col(end) - 1).cast("long"), F.lit(ENDLESS))
+    side = intervals.where(F.col(key).isNotNull() & F.col(start).isNotNull() & (F.col(start) <= stop)).select(F.col(key).alias("k"), F.col(start).cast("long").alias("s"), stop.alias("e"), (F.col(tie) if tie else F.lit(0)).alias("t"), F.struct(*value).alias("v"))
+    asked = points.select(F.col(key).alias("k"), F.col(at).cast("long").alias("x"), F.struct(*points.columns).alias("row"))
+    places = side.select("k", F.col("s").alias("x")).unionByName(asked.select("k", "x")).where("k is not null")
+    hot = cut(places.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > LEAF).select("k"))
+    side, asked = side.withColumn("leaf", F.lit(0)), asked.withColumn("leaf", F.lit(0))
+    if hot.limit(1).count():
+        cuts = cut(places.join(hot, "k").groupBy("k").agg(F.array_distinct(F.percentile_approx("x", [i / PARTS for i in range(1, PARTS)], 10_000)).alias("cuts")))
+        leaf = lambda x: F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col(x))), F.lit(0))
+        placed = side.join(cuts, "k", "left").withColumn("a", leaf("s")).withColumn("z", leaf("e"))
+        asked = asked.join(cuts, "k", "left").withColumn("leaf", F.when(F.col("x").isNull(), 0).otherwise(leaf("x"))).drop("cuts")
+        whole = ["k", "leaf", "s", "e", "t", "v"]
+        both = placed.withColumn("leaf", F.explode(F.array_distinct(F.array("a", "z")))).select(*whole)
+        side = both.unionByName(_covers(placed).select(*whole))
+    begun = side.select("k", "leaf", F.col("s").alias("x"), F.lit(0).alias("kind"), "t", "e", "v")
+    rows = begun.unionByName(asked.select("k", "leaf", "x", F.lit(1).alias("kind"), "row"), allowMissingColumns=True)
+    order = ["k", "leaf", "x", "kind", "t"]
+    kinds = f"row {rows.schema['row'].dataType.simpleString()}, held {rows.schema['v'].dataType.simpleString()}"
+    swept = rows.repartition("k", "leaf").sortWithinPartitions(*order).mapInArrow(_sweep, kinds)
+    return swept.select("row.*", *(F.col(f"held.{v}").alias(f"held_{v}") for v in value))
 
 
 def change_intervals(events: DataFrame, key: str, at: str, tie: str, value: str, clear: str = "CLEAR") -> DataFrame:
