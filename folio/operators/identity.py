@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def ordered_pair(df: DataFrame, a: str, b: str) -> DataFrame:
     """Unordered pairs in one form, so both directions meet in an equi-join; pairs of one and the same are left out."""
-    return df.withColumn(a, F.least(F.col(a), F.col(b))).withColumn(b, F.greatest(df[a], df[b])).where(F.col(a) != F.col(b))
+    return df.where(F.col(a) != F.col(b)).withColumns({a: F.least(F.col(a), F.col(b)), b: F.greatest(F.col(a), F.col(b))})
 
 
 def pair_evidence(evidence: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,7 +16,7 @@ def pair_evidence(evidence: DataFrame, keys: list[str]) -> DataFrame:
 
     ``evidence`` has a, b, relation, sign (+1 or -1), strength and hard.
     """
-    pairs = evidence.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "relation", "sign", "strength", "hard").where("a <> b")
+    pairs = ordered_pair(evidence.select(*keys, "a", "b", "relation", "sign", "strength", "hard"), "a", "b")
     by_kind = pairs.groupBy(*keys, "a", "b", "relation", "sign").agg(F.count("*").alias("n"), F.sum(F.col("sign") * F.col("strength")).alias("s"), F.bool_or("hard").alias("h"))
     label = F.concat_ws(":", "relation", F.col("sign").cast("string"))
     return by_kind.groupBy(*keys, "a", "b").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(label.alias("k"), F.col("n"))))).alias("counts"), F.sum("s").alias("strength"), F.bool_or("h").alias("hard_negative"))

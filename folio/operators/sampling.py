@@ -85,7 +85,23 @@ def hard_pool(rows: DataFrame, score: str, keep_from: int, low_quota: int, order
 def round_robin(rows: DataFrame, group: str, order: Column, n: int) -> DataFrame:
     """``n`` rows taken from the groups in turn: first rows of all groups, then second ones."""
     turn = rows.withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy(order)))
-    return turn.orderBy("turn", group).limit(n)
+    # no group gives more than n rows, so its others needn't be sorted
+    return turn.where(F.col("turn") <= n).orderBy("turn", group).limit(n)
+
+
+def filled_quota(rows: DataFrame, keys: list[str], kind: Column, quotas: dict[str, int], order: list) -> DataFrame:
+    """Rows of two kinds by quota for each key, with ``kind``; what one kind hasn't got, the other may fill.
+
+    Kinds are counted with partial sums, and no key keeps more rows of a kind than both quotas together while rows are
+    ranked. Rows of any other kind, or of none, are left out.
+    """
+    (one, n), (two, m) = quotas.items()
+    told = rows.withColumn("kind", kind).where(F.col("kind").isin(one, two))
+    counts = told.groupBy(*keys).agg(*(F.count_if(F.col("kind") == k).alias(f"__n{i}") for i, k in enumerate((one, two))))
+    ranked = told.withColumn("__rn", F.row_number().over(W.partitionBy(*keys, "kind").orderBy(*order))).where(F.col("__rn") <= n + m)
+    spare = lambda have, quota: F.greatest(F.lit(quota) - F.col(have), F.lit(0))
+    most = F.when(F.col("kind") == one, n + spare("__n1", m)).otherwise(m + spare("__n0", n))
+    return ranked.join(counts, keys).where(F.col("__rn") <= most).drop("__rn", "__n0", "__n1")
 
 
 def layered_round_robin(rows: DataFrame, layers: list[tuple[str, Column, int]], group: str, key: str, order: Column) -> DataFrame:

@@ -21,9 +21,8 @@ def told(cases: list[tuple], key: str = "o_orderkey") -> str:
 
 NAMES = ["张三", "李四", "雷老虎", "王小明"]
 CUES = [
-    ("{}说：", "{}"), ("忽然{}尖声叫道：", "{}"), ("{}叹了口气，说：", None), ("他还是劝道：", None), ("{}惨叫一声", None), ("众人齐声道：", None), ("饶有兴致道：", None), ("{}却说道：", "{}"), ("走到门口，{}开玩笑道：", "{}"), ("没有道：", None), ("没有动词", None), ("{}推开门道：", "{}"), ("{}叹了口气道：", "{}"), ("{}又轻声说道：", "{}"), ("推开门，道：", None),
+    ("{}说：", "{}"), ("忽然{}尖声叫道：", "{}"), ("{}叹了口气，说：", "{}"), ("他还是劝道：", None), ("{}惨叫一声", None), ("众人齐声道：", None), ("饶有兴致道：", None), ("{}却说道：", "{}"), ("走到门口，{}开玩笑道：", "{}"), ("没有道：", None), ("没有动词", None), ("{}推开门道：", "{}"), ("{}叹了口气道：", "{}"), ("{}又轻声说道：", "{}"), ("推开门，道：", None),
 ]
-CUES[2] = ("{}叹了口气，说：", "{}")
 NAME_SQL = "['张三', '李四', '雷老虎', '王小明'][1 + o_custkey % 4]"
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.checkpoints import checkpoint_dir
-from folio.operators import replay
+from folio.operators import replay, sampling, segments
 from folio.plans.base import query, table
-from folio.sources import packages
+from folio.sources import packages, sinks
 
 FILES = """f AS (SELECT CASE WHEN lang = 'en' THEN 'first' ELSE 'second' END AS batch, lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS source_name, 'chars-' || length(text) AS book_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents),
 j AS (SELECT *, first_value(sha256) OVER w AS first, row_number() OVER w AS k FROM f WINDOW w AS (PARTITION BY book_id ORDER BY batch, source_name, sha256))"""
@@ -61,3 +61,42 @@ def replayed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each run first leaves its record."""
     return replay.divergences(replayed(spark, sf_dir)).drop("first_method")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dense_rank() OVER (ORDER BY l_partkey, l_suppkey) AS pair_id FROM lineitem")
+def dense_pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the number of their part and supplier among all such pairs."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return sinks.with_dense_key(rows, "pair_id", "l_partkey", "l_suppkey")
+
+
+@query("SELECT count(*) AS n_keys, 0::BIGINT AS shared, 0::BIGINT AS missing, 0::BIGINT AS below FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
+def dense_key_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That the numbers of the pairs are unique and dense."""
+    return sinks.key_faults(sinks.dense_keys(table(spark, sf_dir, "lineitem"), "pair_id", "l_partkey", "l_suppkey"), "pair_id")
+
+
+@query(
+    """WITH m AS (SELECT conv_id, turn, text, nullif(role, 'user') AS speaker, regexp_extract_all(text, '[A-Z][a-z]+') AS mentions FROM conversations),
+    a AS (SELECT conv_id, turn, array_agg(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS previous,
+        list_filter(array_agg(speaker) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL) AS s,
+        flatten(array_agg(mentions) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS f FROM m)
+    SELECT conv_id, turn, coalesce(array_to_string(previous, ','), '') AS previous, coalesce(array_to_string(s[-3:], ','), '') AS recent_speakers, array_to_string(f[-6:], ',') AS recent_mentions FROM a"""
+)
+def causal_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each turn the five texts before it (as digests), the last three speakers who aren't the user, and the last six capitalised words."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.nullif("role", F.lit("user")).alias("speaker"), F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), F.lit(1)).alias("mentions"))
+    made = segments.causal_lists(rows, ["conv_id"], ["turn"], "sha", "speaker", "mentions")
+    return made.select("conv_id", "turn", *(F.array_join(c, ",").alias(c) for c in ("previous", "recent_speakers", "recent_mentions")))
+
+
+@query(
+    """WITH k AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'DONE' ELSE 'OPEN' END AS kind FROM orders),
+    r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, kind ORDER BY o_orderkey) AS rn, count(*) FILTER (kind = 'DONE') OVER (PARTITION BY o_custkey) AS d, count(*) FILTER (kind = 'OPEN') OVER (PARTITION BY o_custkey) AS o FROM k)
+    SELECT o_custkey, o_orderkey, kind FROM r WHERE rn <= CASE kind WHEN 'DONE' THEN 7 + greatest(0, 3 - o) ELSE 3 + greatest(0, 7 - d) END"""
+)
+def filled_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten orders of each customer, seven done and three open ones; where one kind falls short, more of the other."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    kind = F.when(F.col("o_orderstatus") == "F", "DONE").otherwise("OPEN")
+    return sampling.filled_quota(rows, ["o_custkey"], kind, {"DONE": 7, "OPEN": 3}, ["o_orderkey"]).select("o_custkey", "o_orderkey", "kind")

@@ -10,6 +10,7 @@ from folio.operators import asof, blocks, decisions, evaluation, identity, integ
 from folio.plans.base import query, table
 
 MICROS = "epoch_us(ts)"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +136,9 @@ def monotone_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.monotone_breaks(rows, ["l_orderkey"], "seq", ["l_shipdate", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")))
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.table_counts(spark, {t: table(spark, sf_dir, t) for t in ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")})
+    return integrity.table_counts(spark, {t: table(spark, sf_dir, t) for t in TABLES})
 
 
 @query("SELECT * FROM (SELECT o_custkey, o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O') QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) = 1")

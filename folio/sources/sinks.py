@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.checkpoints import cut
 from folio.functions.text import hash_of
 
 
@@ -13,6 +14,36 @@ def surrogate_key(df: DataFrame, name: str, *natural: str) -> DataFrame:
     return df.withColumn(name, F.xxhash64(*natural))
 
 
+def dense_keys(df: DataFrame, name: str, *natural: str) -> DataFrame:
+    """The distinct natural keys, numbered from 1 without gaps in their order; nulls are keys, too.
+
+    Keys are sorted into ranges, each range is numbered in its own task, and the counts of the ranges before it are added: only
+    one count for each range comes to the driver. No two keys share a number, as no two rows share a range and a place in it.
+    """
+    part, row = "__part", "__row"
+    ranged = df.select(*natural).distinct().repartitionByRange(*natural).sortWithinPartitions(*natural)
+    placed = cut(ranged.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sums, before = [], 0
+    for r in placed.groupBy(part).count().orderBy(part).collect():
+        sums.append((r[part], before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(sums, f"{part} int, __before long")
+    return placed.join(F.broadcast(offsets), part).select(*natural, (F.col("__before") + F.col(row) + 1).alias(name))
+
+
+def with_dense_key(df: DataFrame, name: str, *natural: str) -> DataFrame:
+    """``df`` with the number of its natural key among all of its own."""
+    keys = dense_keys(df, name, *natural).select(*(F.col(c).alias(f"__{c}") for c in natural), name)
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in natural]
+    return df.join(keys, on).select(*df.columns, name)
+
+
+def key_faults(keys: DataFrame, name: str) -> DataFrame:
+    """One row: keys, and how many numbers are shared, missing below the largest, or below 1; all 0 proves that keys are dense and unique."""
+    per = keys.groupBy(name).agg(F.count("*").alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_keys"), F.count_if(F.col("n") > 1).alias("shared"), F.coalesce(F.max(name) - F.count("*"), F.lit(0)).alias("missing"), F.count_if(F.col(name) < 1).alias("below"))
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
