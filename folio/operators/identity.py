@@ -27,14 +27,13 @@ def mergeable(pairs: DataFrame, least: float = 1.5) -> DataFrame:
     return pairs.where((F.col("strength") >= least) & ~F.col("hard_negative"))
 
 
-def candidate_pairs(candidates: DataFrame, keys: list[str], index: str = "idx", limit: int = 64) -> DataFrame:
-    """All i < j pairs of a key's candidates. Candidate lists are capped when they are compiled; longer ones are refused."""
-    big = candidates.groupBy(*keys).count().where(F.col("count") > limit).limit(1).count()
-    if big:
-        raise ValueError(f"a candidate list has more than {limit} entries")
-    left = candidates.select(*keys, F.col(index).alias("i"), F.col("candidate").alias("a"))
-    right = candidates.select(*keys, F.col(index).alias("j"), F.col("candidate").alias("b"))
-    return left.join(right, keys).where("i < j")
+def candidate_pairs(candidates: DataFrame, keys: list[str], index: str = "idx", block: int = 64) -> DataFrame:
+    """All i < j pairs of a key's candidates, numbered from 0. Lists are cut into blocks of ``block`` numbers, and each pair of blocks is a key of its own."""
+    rows = candidates.withColumn("__own", F.floor(F.col(index) / block))
+    rows = rows.join(rows.groupBy(*keys).agg(F.max("__own").alias("__last")), keys)
+    left = rows.select(*keys, F.col(index).alias("i"), F.col("candidate").alias("a"), F.col("__own").alias("__x"), F.explode(F.sequence("__own", "__last")).alias("__y"))
+    right = rows.select(*keys, F.col(index).alias("j"), F.col("candidate").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), "__own")).alias("__x"), F.col("__own").alias("__y"))
+    return left.join(right, [*keys, "__x", "__y"]).where("i < j").drop("__x", "__y")
 
 
 def cluster_pair_evidence(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -65,3 +65,9 @@ def test_causal_lists(spark):
         found = [m for x in rows if x[0] == r.k and x[1] <= r.i for m in x[4] or [] if m]
         assert (r.previous, r.recent_speakers, r.recent_mentions) == ([x[2] for x in past if x[2]][-5:], [x[3] for x in past if x[3]][-3:], found[-6:])
     assert got.count() == len(rows)
+
+
+def test_candidate_pairs_of_long_lists(spark):
+    df = spark.createDataFrame([(k, i, f"c{i}") for k, n in (("a", 150), ("b", 1), ("c", 3)) for i in range(n)], "k string, idx int, candidate string")
+    got = [tuple(r) for r in identity.candidate_pairs(df, ["k"]).select("k", "i", "a", "j", "b").collect()]
+    assert sorted(got) == sorted((k, i, f"c{i}", j, f"c{j}") for k, n in (("a", 150), ("b", 1), ("c", 3)) for j in range(n) for i in range(j))
