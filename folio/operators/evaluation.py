@@ -75,6 +75,21 @@ def recall_at(rows: DataFrame, ks: list[int], keys: list[str] | None = None) ->
 RANGES = 1024
 
 
+def gold_ranks(rows: DataFrame) -> DataFrame:
+    """Rows with a gold (column gold; the rest are left out) with gold_rank, its place from 1 in the array ``store`` of (surface, source), null if it isn't there, and size."""
+    place = F.array_position(F.transform("store", lambda c: c["surface"]), F.col("gold"))
+    return rows.where(F.col("gold").isNotNull()).withColumn("gold_rank", F.nullif(place, F.lit(0)).cast("int")).withColumn("size", F.size("store"))
+
+
+def store_report(rows: DataFrame, ks: list[int], keys: list[str]) -> DataFrame:
+    """By key: n, recall at each k and of the whole store, median and p95 of the size by index; ``rows`` as ``gold_ranks`` gives them. Equal keys meet, nulls too."""
+    share = lambda cond: F.round(F.count_if(cond) / F.count("*"), 6)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(share(F.col("gold_rank") <= k).alias(f"recall_{k}") for k in ks), share(F.col("gold_rank").isNotNull()).alias("recall_all"))
+    sizes = nearest_rank(rows, "size", {"size_p50": 0.5, "size_p95": 0.95}, keys).select(*(F.col(k).alias(f"__{k}") for k in keys), "size_p50", "size_p95")
+    same = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.lit(True))
+    return counts.join(sizes, same).drop(*(f"__{k}" for k in keys))
+
+
 def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], keys: list[str]) -> DataFrame:
     """Percentiles by index floor(share * n), capped at the last, in ascending order; not interpolated. Nulls are left out.
 

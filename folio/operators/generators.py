@@ -53,6 +53,11 @@ def relabel_empty(rows: DataFrame, answers: DataFrame, key: str = "sample_id") -
     return both.withColumn("mentions", F.when(F.size("mentions") == 0, held).otherwise(F.col("mentions"))).drop("__new")
 
 
+def none_rates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each key, and how many had no mention before (column was_empty) and have none now."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("was_empty").alias("none_before"), F.count_if(F.size("mentions") == 0).alias("none_after"))
+
+
 def voice_event_ir(book: Column, segment: Column, span: Column, text: Column, kind: Column) -> Column:
     """An event's id, span offsets and faults."""
     from folio.functions.text import align, hash_of

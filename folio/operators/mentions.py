@@ -20,9 +20,9 @@ def _none() -> Column:
     return F.array().cast(STRINGS)
 
 
-def _heads(text: Column) -> Column:
+def _heads(text: Column, name: str = NAME) -> Column:
     """The first four, three and two characters of a text, where these may be a name."""
-    return F.filter(F.array(*(F.left(text, F.lit(n)) for n in (4, 3, 2))), lambda x: x.rlike(NAME))
+    return F.filter(F.array(*(F.left(text, F.lit(n)) for n in (4, 3, 2))), lambda x: x.rlike(name))
 
 
 def called(text: Column) -> Column:
@@ -95,11 +95,11 @@ def mention_class(mentions: Column, text: Column) -> Column:
     )
 
 
-def head_mentions(contexts: Column, entities: Column) -> Column:
+def head_mentions(contexts: Column, entities: Column, name: str = NAME, breaks: str = BREAKS) -> Column:
     """array<string>, sorted: the entities that blocks of earlier texts are, or, of blocks longer than four, that they begin with: the longest of four, three or two characters."""
-    blocks = F.filter(F.transform(F.flatten(F.transform(F.coalesce(contexts, _none()), lambda t: F.split(t, BREAKS))), lambda b: F.trim(b)), lambda b: b != "")
+    blocks = F.filter(F.transform(F.flatten(F.transform(F.coalesce(contexts, _none()), lambda t: F.split(t, breaks))), lambda b: F.trim(b)), lambda b: b != "")
     known = lambda x: F.array_contains(entities, x)
-    best = lambda b: F.when(b.rlike(NAME), F.when(known(b), b)).when(F.length(b) > 4, F.get(F.filter(_heads(b), known), F.lit(0)))
+    best = lambda b: F.when(b.rlike(name), F.when(known(b), b)).when(F.length(b) > 4, F.get(F.filter(_heads(b, name), known), F.lit(0)))
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(blocks, best))))
 
 
