@@ -125,6 +125,12 @@ def latency_summary(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return nearest_rank(rows, value, {"median": 0.5, "p95": 0.95}, keys)
 
 
+def token_rates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Tokens read and written a second of all calls together, and on average; ``rows`` has tokens_in, tokens_out and seconds. No time gives null rates."""
+    rate = lambda c: F.round(F.try_divide(F.sum(c), F.sum("seconds")), 1)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), rate("tokens_in").alias("prompt_tokens_s"), rate("tokens_out").alias("generation_tokens_s"), F.round(F.avg("tokens_in"), 0).alias("avg_input_tokens"), F.round(F.avg("tokens_out"), 0).alias("avg_output_tokens"))
+
+
 def error_class(gold: Column, pred: Column, candidates: Column) -> Column:
     """What kind of error a labelled prediction is."""
     return (
@@ -155,6 +161,31 @@ def agreement_by_kind(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(n.alias("n"), (F.count_if(F.col("answer") == F.col("judge")) / n).alias("agreement"), (F.count_if(F.size(F.array_distinct("repeats")) == 1) / n).alias("stability"))
 
 
+def judge_counters(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How many answers pass each check: parsed, the asked id returned, a speaker among the candidates or UNKNOWN, evidence among what was given, all repeats equal, and UNKNOWN.
+
+    ``rows`` has parsed, asked, answered, speaker, candidates, evidence, given and repeats. Answers that weren't parsed pass
+    none of the others; no evidence is fine.
+    """
+    ok = F.coalesce(F.col("parsed"), F.lit(False))
+    none = F.array().cast("array<string>")
+    checks = {
+        "p1_parsed": F.lit(True), "p2_id": F.col("answered").eqNullSafe(F.col("asked")), "p3_speaker": (F.col("speaker") == "UNKNOWN") | F.array_contains("candidates", F.col("speaker")),
+        "p4_evidence": F.size(F.array_except(F.coalesce("evidence", none), F.coalesce("given", none))) == 0, "p5_stable": F.size(F.array_distinct("repeats")) == 1, "p6_unknown": F.col("speaker") == "UNKNOWN",
+    }
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.count_if(ok & c).alias(name) for name, c in checks.items()))
+
+
+def gate_probe(gated: DataFrame, labels: DataFrame) -> DataFrame:
+    """Surfaces by their label (name, or fragment where none says so) and the gate's verdict: label, reason (ACCEPTED, or why not), n, and the share of the label that was decided right."""
+    met = gated.join(labels.select("surface").where("label = 'name'").distinct().withColumn("__name", F.lit(True)), "surface", "left")
+    rows = met.select(F.when(F.col("__name"), "name").otherwise("fragment").alias("label"), F.coalesce("reject", F.lit("ACCEPTED")).alias("reason"))
+    counts = rows.groupBy("label", "reason").agg(F.count("*").alias("n"))
+    right = (F.col("label") == "name") == (F.col("reason") == "ACCEPTED")
+    w = W.partitionBy("label")  # a row for each reason
+    return counts.withColumn("right_share", F.round(F.sum(F.when(right, F.col("n")).otherwise(0)).over(w) / F.sum("n").over(w), 6))
+
+
 def nonperson_speakers(lines: DataFrame, rejected: DataFrame) -> DataFrame:
     """Lines by speakers that the name gate rejected: speaker, n (a semi-join, then a count)."""
     return lines.join(rejected.select(F.col("surface").alias("speaker")).distinct(), "speaker", "left_semi").groupBy("speaker").agg(F.count("*").alias("n"))

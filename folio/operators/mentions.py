@@ -25,16 +25,16 @@ def _heads(text: Column, name: str = NAME) -> Column:
     return F.filter(F.array(*(F.left(text, F.lit(n)) for n in (4, 3, 2))), lambda x: x.rlike(name))
 
 
-def called(text: Column) -> Column:
+def called(text: Column, name: str = "[一-龥]{2,4}", no_call: list[str] = NO_CALL) -> Column:
     """array<string>: the name that a speech begins by calling, if any."""
     t = F.regexp_replace(F.trim(text), "^[“‘「『\"]+", "")
-    name = F.regexp_extract(t, r"^([一-龥]{2,4})[，,！!？?。.；;：:、\s]", 1)
-    return F.when((name != "") & ~F.left(name, F.lit(1)).isin(*NO_CALL), F.array(name)).otherwise(_none())
+    found = F.regexp_extract(t, rf"^({name})[，,！!？?。.；;：:、\s]", 1)
+    return F.when((found != "") & ~F.left(found, F.lit(1)).isin(*no_call), F.array(found)).otherwise(_none())
 
 
-def introduced(text: Column) -> Column:
+def introduced(text: Column, words: list[str] = INTRODUCTIONS, name: str = "[一-龥]{2,4}") -> Column:
     """array<string>: the names by which speakers introduce themselves."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?:{'|'.join(INTRODUCTIONS)})([一-龥]{{2,4}})"), F.lit(1)), _none())
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?:{'|'.join(words)})({name})"), F.lit(1)), _none())
 
 
 def _of_block(block: Column) -> Column:
@@ -70,9 +70,9 @@ def cue_subjects(text: Column) -> Column:
     return F.flatten(F.transform(blocks, _of_block))
 
 
-def mention_rows(segments: DataFrame, keys: list[str], order: str, text: str = "text", context: str = "context") -> DataFrame:
-    """keys, order, surface, kind: a row for each mention in a segment's speech (vocative, self_intro) and in its context (cue)."""
-    kinds = [("vocative", called(F.col(text))), ("self_intro", introduced(F.col(text))), ("cue", cue_subjects(F.col(context)))]
+def mention_rows(segments: DataFrame, keys: list[str], order: str, text: str = "text", context: str = "context", kinds: list[tuple[str, Column]] | None = None) -> DataFrame:
+    """keys, order, surface, kind: a row for each mention in a segment's speech (vocative, self_intro) and in its context (cue), or of the given ``kinds``."""
+    kinds = kinds or [("vocative", called(F.col(text))), ("self_intro", introduced(F.col(text))), ("cue", cue_subjects(F.col(context)))]
     named = lambda kind: lambda s: F.struct(s.alias("surface"), F.lit(kind).alias("kind"))
     every = F.concat(*(F.transform(F.coalesce(found, _none()), named(kind)) for kind, found in kinds))
     return segments.select(*keys, order, F.explode(every).alias("__m")).select(*keys, order, "__m.surface", "__m.kind")

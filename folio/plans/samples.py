@@ -77,6 +77,32 @@ def contrast_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.contrasts(labelled, PATCHES).select("domain", "template_id", "number", "patch", "text", "label", "evidence")
 
 
+JUDGED = """j AS (SELECT role, conv_id * 1000 + turn AS asked, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{1,14}') AS said, lag(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{1,14}'), 1, []) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)"""
+
+
+@query(
+    f"""WITH {JUDGED} SELECT role, count(*) AS n, count(*) FILTER (t <> '') AS p1_parsed, count(*) FILTER (t <> '' AND length(t) % 10 > 0) AS p2_id, count(*) FILTER (t <> '' AND coalesce(said[1] IS NULL OR list_contains(before, said[1]), false)) AS p3_speaker,
+    count(*) FILTER (t <> '' AND len(list_filter(said, lambda x: NOT list_contains(list_concat(before, said[1:3]), x))) = 0) AS p4_evidence, count(*) FILTER (t <> '' AND len(list_distinct(said)) = 1) AS p5_stable, count(*) FILTER (t <> '' AND len(said) = 0) AS p6_unknown FROM j GROUP BY role"""
+)
+def judge_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as answers, by role: the first name is the speaker, the names of the turn before are the candidates, all names the evidence and the repeats."""
+    rows = turns(spark, sf_dir)
+    before = F.coalesce(F.lag("said").over(W.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>"))
+    asked = F.col("conv_id") * 1000 + F.col("turn")
+    answers = rows.select("role", (F.col("text") != "").alias("parsed"), asked.alias("asked"), F.when(F.length("text") % 10 > 0, asked).alias("answered"), F.coalesce(F.get("said", F.lit(0)), F.lit("UNKNOWN")).alias("speaker"), before.alias("candidates"), F.col("said").alias("evidence"), F.concat(before, F.slice("said", 1, 3)).alias("given"), F.col("said").alias("repeats"))
+    return evaluation.judge_counters(answers, ["role"])
+
+
+@query(
+    r"""WITH c AS (SELECT role, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS w, length(coalesce(text, '')) / 64 AS s, conv_id, turn FROM conversations), t AS (SELECT role, w, s, lag(w, 1, 0) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c)
+    SELECT role, count(*) AS n, round(sum(p) / sum(s), 1) AS prompt_tokens_s, round(sum(w) / sum(s), 1) AS generation_tokens_s, round(avg(p), 0) AS avg_input_tokens, round(avg(w), 0) AS avg_output_tokens FROM t GROUP BY role"""
+)
+def token_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words read (the turn before) and written by each role, where 64 characters take a second."""
+    rows = turns(spark, sf_dir).withColumn("tokens_out", F.size(F.regexp_extract_all("text", F.lit(r"([^ \t-\r]+)"), F.lit(1)))).withColumn("seconds", F.length("text") / 64)
+    return evaluation.token_rates(rows.withColumn("tokens_in", F.coalesce(F.lag("tokens_out").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(0))), ["role"])
+
+
 #: Words with a capital inside a sentence stand for names: Latin letters without accents.
 NAME = "[A-Z][a-z]{1,14}"
 TURNS = f"""c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{NAME}') AS said FROM conversations)"""

@@ -1,14 +1,16 @@
-"""Queries on names, cues and mentions. Orders stand for sentences: each takes one of a few written ones by its key, so that every rule has rows; the SQL states what each sentence must give."""
+"""Queries on names, cues and mentions, over the words of the tables. A few still give each order one of some written sentences of the default script by its key; the SQL states what each must give."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions.text import sentences
 from folio.lexicon import CHINESE
 from folio.operators import chapters, discovery, evaluation, lines, mentions, names, sampling, segments
 from folio.plans.base import query, table
+from folio.plans.datasets import SURFACES, surfaces
 from folio.plans.records import order_key, orders, pick
 from folio.sources import readers
 
@@ -19,18 +21,18 @@ def told(cases: list[tuple], key: str = "o_orderkey") -> str:
     return f"[{', '.join(word(c[-1]) for c in cases)}][1 + {key} % {len(cases)}]"
 
 
-NAMES = ["张三", "李四", "雷老虎", "王小明"]
-CUES = [
-    ("{}说：", "{}"), ("忽然{}尖声叫道：", "{}"), ("{}叹了口气，说：", "{}"), ("他还是劝道：", None), ("{}惨叫一声", None), ("众人齐声道：", None), ("饶有兴致道：", None), ("{}却说道：", "{}"), ("走到门口，{}开玩笑道：", "{}"), ("没有道：", None), ("没有动词", None), ("{}推开门道：", "{}"), ("{}叹了口气道：", "{}"), ("{}又轻声说道：", "{}"), ("推开门，道：", None),
-]
-NAME_SQL = "['张三', '李四', '雷老虎', '王小明'][1 + o_custkey % 4]"
+LINKS = " (?:of|de|der|la|que) "
 
 
-@query(f"SELECT o_orderkey, replace({told(CUES)}, '{{}}', {NAME_SQL}) AS speaker FROM orders")
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, trim(coalesce(text, ''), ' ') AS t FROM conversations), p AS (SELECT *, regexp_split_to_array(t, '{LINKS}') AS a, regexp_extract_all(t, '{LINKS}') AS v FROM c),
+    h AS (SELECT conv_id, turn, regexp_split_to_array(left(t, length(t) - length(a[-1]) - length(v[-1])), '[，。！？；：、\\s]') AS b, len(v) AS n FROM p)
+    SELECT conv_id, turn, CASE WHEN n > 0 AND regexp_full_match(list_filter(b, lambda x: trim(x) <> '')[-1], '[A-Za-z]{{2,12}}') THEN list_filter(b, lambda x: trim(x) <> '')[-1] END AS speaker FROM h"""
+)
 def spoken_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who is cued, with nobody known: names with adverbs, manners and actions around them, and cues that name nobody."""
-    text = F.replace(pick(order_key(), *(c for c, _ in CUES)), F.lit("{}"), pick(F.col("o_custkey"), *NAMES))
-    return orders(spark, sf_dir).select("o_orderkey", segments.cue_speaker(text).alias("speaker"))
+    """The word before the last linking word of each turn, if it is one of plain letters."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))
+    return rows.select("conv_id", "turn", segments.cue_speaker(F.col("t"), verbs=LINKS, name="^[A-Za-z]{2,12}$").alias("speaker"))
 
 
 KNOWN_CUES = [("深吸一口气，雷老虎上前一步，拱手抱拳道：", "雷老虎"), ("雷老虎也失笑的摇了摇头：", "雷老虎"), ("对刘三刀道：", "刘三刀"), ("刘三刀追赶道：", "刘三刀"), ("陌生客道：", "陌生客"), ("她说：", None), ("张三看着雷老虎笑道：“", "雷老虎"), ("没有冒号", None), ("刘三刀和雷老虎一起：", "刘三刀")]
@@ -70,33 +72,54 @@ def surface_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).select("o_orderkey", names.hard_reject(s).alias("reject"), names.is_group(s).alias("is_group"), names.candidate_ok(s).alias("candidate"))
 
 
-GATED = [
-    ("李寄舟", 100, 20, 5, None, None), ("李寄舟询", 12, 1, 0, "NAME_PLUS_RESIDUE", "李寄舟"), ("虽然不知", 10, 4, 2, "FUNCTION_WORD", None), ("李寄舟大师", 9, 5, 2, None, None), ("雷老虎", 5, 2, 2, "CUE_ONLY", None), ("闻天明", 8, 5, 0, "NO_INDEPENDENT", None), ("赵钱", 50, 9, 3, None, None), ("赵钱孙李", 20, 9, 3, "NAME_PLUS_RESIDUE", "赵钱"),
-    ("赵钱孙李周", 10, 9, 3, None, None), ("没见过", 0, 0, 0, "BAD_FINAL", None), ("钱多多", 0, 0, 0, "CUE_ONLY", None),
-]
+FUNCTION_WORDS = "the of and to in is that for with as le la les de des et un une que qui der die das und ein el los del una".split()
+#: Counts of benchmark words among the turns, left to right without overlaps, by cutting each text at the word.
+EVIDENCE = f"""{SURFACES}, c AS (SELECT coalesce(text, '') AS t FROM conversations), p AS (SELECT surface, string_split(t, surface) AS a FROM c, s WHERE contains(t, surface)), i AS (SELECT surface, a, unnest(range(1, len(a))) AS i FROM p),
+h AS (SELECT surface, CASE WHEN a[i] <> '' THEN right(a[i], 1) WHEN i > 1 THEN right(surface, 1) ELSE '' END AS l, CASE WHEN a[i + 1] <> '' THEN left(a[i + 1], 1) WHEN i + 1 < len(a) THEN left(surface, 1) ELSE '' END AS r FROM i),
+ev AS (SELECT s.surface, count(h.r) AS total, count(*) FILTER (r IN (':', '?')) AS cue_bound, count(DISTINCT r) AS right_kinds, count(*) FILTER (l IN ('', ' ', chr(10), ',', '.') AND r NOT IN (':', '?')) AS independent, count(*) FILTER (r IN (':', '|')) AS quote_right, count(*) FILTER (l IN ('', ' ', chr(10), ',', '.')) AS punct_left, count(*) FILTER (l = 'e') AS person_object FROM s LEFT JOIN h USING (surface) GROUP BY s.surface)"""
+GATED = f"""{EVIDENCE}, w AS (SELECT *, CASE WHEN lower(surface) IN ({', '.join(repr(x) for x in FUNCTION_WORDS)}) THEN 'FUNCTION_WORD' END AS word, CASE WHEN total = 0 OR right_kinds < 3 THEN 'CUE_ONLY' WHEN independent < 1 THEN 'NO_INDEPENDENT' END AS counts FROM ev),
+k AS (SELECT w.surface, list(length(x.surface) ORDER BY length(x.surface)) AS able FROM w JOIN w x ON starts_with(w.surface, x.surface) AND length(x.surface) < length(w.surface) AND x.word IS NULL AND x.counts IS NULL GROUP BY w.surface),
+d AS (SELECT surface, list_reduce(able, lambda a, x: CASE WHEN len(list_filter(a, lambda j: x - j <= 2 AND substr(surface, j + 1, x - j) <> 'ly')) = 0 THEN list_append(a, x) ELSE a END, []::BIGINT[]) AS names FROM k),
+e AS (SELECT surface, list_filter(names, lambda j: length(surface) - j <= 2 AND substr(surface, j + 1) <> 'ly')[1] AS cut FROM d),
+g AS (SELECT surface, CASE WHEN word IS NULL AND cut IS NOT NULL THEN left(surface, cut) END AS residue_of, coalesce(word, CASE WHEN cut IS NOT NULL THEN 'NAME_PLUS_RESIDUE' END, counts) AS reject FROM w LEFT JOIN e USING (surface))"""
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.surface_evidence(table(spark, sf_dir, "conversations"), surfaces(spark, sf_dir), cue_heads=":?", punct=" \n,.", overlapping=False, quotes=":|", takers="e")
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The surfaces of each of ten books: every tenth customer number is one."""
-    books = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 10).alias("book")).distinct()
-    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("surface"), F.lit(t).alias("total"), F.lit(r).alias("right_kinds"), F.lit(i).alias("independent")) for s, t, r, i, _, _ in GATED))).alias("s")
-    return names.gate(books.select("book", rows).select("book", "s.*"), keys=["book"])
+    """Benchmark words through the gate, by their places in the conversations; articles and the like are no names, and -ly is a title."""
+    return names.gate(evidence(spark, sf_dir), word=F.when(F.lower("surface").isin(*FUNCTION_WORDS), "FUNCTION_WORD"), titles=["ly"])
 
 
-GATED_SQL = ", ".join(f"('{s}', {'NULL' if r is None else repr(r)}, {'NULL' if p is None else repr(p)})" for s, _, _, _, r, p in GATED)
+@query(f"WITH {EVIDENCE} SELECT surface, total, cue_bound, right_kinds, independent, total - cue_bound AS free, quote_right, punct_left, person_object FROM ev")
+def surface_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counters of each word, matches left to right without overlaps."""
+    return evidence(spark, sf_dir)
 
 
-@query(f"SELECT book, surface, reject, residue_of FROM (SELECT DISTINCT c_custkey % 10 AS book FROM customer), (VALUES {GATED_SQL}) AS g(surface, reject, residue_of)")
+@query(f"WITH {GATED} SELECT surface, reject, residue_of FROM g")
 def name_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names by closed classes, residues of accepted names and corpus counts, in this order."""
-    return gated(spark, sf_dir).select("book", "surface", "reject", "residue_of")
+    return gated(spark, sf_dir).select("surface", "reject", "residue_of")
 
 
-@query(f"WITH g(surface, reject, residue_of) AS (VALUES {GATED_SQL}), r AS (SELECT coalesce(reject, 'ACCEPTED') AS reason, reject FROM g, (SELECT DISTINCT c_custkey % 10 AS book FROM customer)) SELECT reason, count(*) AS n, round((SELECT count(reject) / count(*) FROM r), 6) AS pollution_rate FROM r GROUP BY reason")
+@query(f"WITH {GATED}, r AS (SELECT coalesce(reject, 'ACCEPTED') AS reason, reject FROM g) SELECT reason, count(*) AS n, round((SELECT count(reject) / count(*) FROM r), 6) AS pollution_rate FROM r GROUP BY reason")
 def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.gate_summary(gated(spark, sf_dir)).withColumn("pollution_rate", F.round("pollution_rate", 6))
 
 
+@query(
+    f"""WITH {GATED}, n AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)), r AS (SELECT CASE WHEN w IS NULL THEN 'fragment' ELSE 'name' END AS label, coalesce(reject, 'ACCEPTED') AS reason FROM g LEFT JOIN n ON w = surface)
+    SELECT label, reason, count(*) AS n, round(sum(count(*) FILTER ((label = 'name') = (reason = 'ACCEPTED'))) OVER (PARTITION BY label) / sum(count(*)) OVER (PARTITION BY label), 6) AS right_share FROM r GROUP BY label, reason"""
+)
+def gate_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate against labels: words that a document has as whole words are names, all others fragments."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("surface"), F.lit("name").alias("label"))
+    return evaluation.gate_probe(gated(spark, sf_dir), words)
+
+
 SUBJECTS = [("深吸一口气，雷老虎上前一步，拱手抱拳道：“走”", "拱手抱,拱手抱拳,雷老虎,雷老虎上"), ("他走了，又说", ""), ("刘三刀摇头说", "刘三刀,刘三刀摇"), ("没有", ""), ("abc，王小明：", "王小明")]
 
 
@@ -122,15 +145,19 @@ def mention_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT o_custkey % 10 AS book, o_orderkey AS pos, o_orderkey // 500 AS bucket, u.surface, u.kind FROM orders, (VALUES (0, '张三', 'vocative'), (1, '李四', 'self_intro'), (2, '王五', 'cue'), (2, '王五', 'cue')) AS u(r, surface, kind) WHERE o_orderkey % 4 = u.r)
-    SELECT book, surface, count(*) AS total, count(*) FILTER (kind = 'vocative') AS vocative, count(*) FILTER (kind = 'self_intro') AS self_intro, count(*) FILTER (kind = 'cue') AS cue, count(DISTINCT bucket) AS n_buckets, min(pos) AS first, max(pos) AS last,
-        round(count(*) FILTER (kind = 'vocative') * 14.0::DOUBLE + count(*) FILTER (kind = 'self_intro') * 16.0 + count(*) FILTER (kind = 'cue') * 12.0 + least(count(*), 50) * 1.2 + CASE WHEN count(DISTINCT bucket) >= 3 THEN 3 ELSE 0 END, 1) AS confidence FROM m GROUP BY book, surface"""
+    """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations), x AS (SELECT *, lag(t, 1, '') OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM c),
+    m AS (SELECT role, conv_id, turn, 'vocative' AS kind, regexp_extract(trim(t, ' '), '^([A-Za-z]{2,12})[，,！!？?。.；;：:、\\s]', 1) AS surface FROM x UNION ALL SELECT role, conv_id, turn, 'self_intro', unnest(regexp_extract_all(t, '(?: is | est | ist )([A-Za-z]{2,12})', 1)) FROM x UNION ALL SELECT role, conv_id, turn, 'cue', unnest(regexp_extract_all(before, '([A-Za-z]{2,12}),', 1)) FROM x),
+    k AS (SELECT * FROM m WHERE surface <> '' AND NOT (kind = 'vocative' AND left(surface, 1) IN ('A', 'I')))
+    SELECT role, surface, count(*) AS total, count(*) FILTER (kind = 'vocative') AS vocative, count(*) FILTER (kind = 'self_intro') AS self_intro, count(*) FILTER (kind = 'cue') AS cue, count(DISTINCT conv_id) AS n_buckets, min(turn) AS first, max(turn) AS last,
+        round(count(*) FILTER (kind = 'vocative') * 14.0::DOUBLE + count(*) FILTER (kind = 'self_intro') * 16.0 + count(*) FILTER (kind = 'cue') * 12.0 + least(count(*), 50) * 1.2 + CASE WHEN count(DISTINCT conv_id) >= 3 THEN 3 ELSE 0 END, 1) AS confidence FROM k GROUP BY role, surface"""
 )
 def mention_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who is called, introduced and cued in each book, with the places, buckets and a confidence."""
-    rows = orders(spark, sf_dir).select((F.col("o_custkey") % 10).alias("book"), order_key().alias("pos"), F.when(order_key() % 4 == 0, "张三，走").when(order_key() % 4 == 1, "我是李四").otherwise("").alias("text"), F.when(order_key() % 4 == 2, "王五说。王五问").otherwise("").alias("context"))
-    found = mentions.mention_rows(rows, ["book"], "pos").withColumn("bucket", F.floor(F.col("pos") / 500))
-    return mentions.mention_lexicon(found, ["book"], "pos", "bucket").drop("narrative")
+    """Which words begin a turn, follow a word of being, or stand before a comma in the turn before, by role, with places, conversations and a confidence."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("t"))
+    rows = rows.withColumn("before", F.lag("t", 1, "").over(W.partitionBy("conv_id").orderBy("turn")))
+    name = "[A-Za-z]{2,12}"
+    kinds = [("vocative", mentions.called(F.col("t"), name, ["A", "I"])), ("self_intro", mentions.introduced(F.col("t"), [" is ", " est ", " ist "], name)), ("cue", F.regexp_extract_all("before", F.lit(f"({name}),"), F.lit(1)))]
+    return mentions.mention_lexicon(mentions.mention_rows(rows, ["role", "conv_id"], "turn", kinds=kinds), ["role"], "turn", "conv_id").drop("narrative")
 
 
 MENTION_CASES = [
@@ -200,15 +227,14 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.distinct_counts(orders(spark, sf_dir), ["o_custkey", "o_orderpriority"], ["o_orderstatus"])
 
 
-PREFIXES = [("abcx", "abc/x"), ("abcxy", "abcx/y"), ("abcxyz", "abcx/yz"), ("ab", None), ("abc", None), ("qabcx", None)]
-
-
-@query(f"SELECT o_orderkey, {told(PREFIXES)} AS cut FROM orders")
+@query(
+    """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS surface FROM conversations), n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS name FROM benchmark)
+    SELECT surface, name, substr(surface, length(name) + 1) AS rest FROM w JOIN n ON length(surface) >= 3 AND name IN (left(surface, length(surface) - 1), left(surface, length(surface) - 2)) AND length(name) >= 2 QUALIFY row_number() OVER (PARTITION BY surface ORDER BY length(name) DESC) = 1"""
+)
 def name_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surfaces that are an accepted name and one or two characters more; each order's surface is its own by a suffix of no weight."""
-    asked = spark.createDataFrame([(s,) for s, _ in PREFIXES], "surface string")
-    found = names.longest_prefix(asked, spark.createDataFrame([("abc",), ("abcx",)], "surface string")).select("surface", F.concat_ws("/", "name", "rest").alias("cut"))
-    return orders(spark, sf_dir).select("o_orderkey", pick(order_key(), *(s for s, _ in PREFIXES)).alias("surface")).join(found, "surface", "left").select("o_orderkey", "cut")
+    """Words of the conversations that are a benchmark word and one or two letters more."""
+    words = lambda name: table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("surface")).distinct()
+    return names.longest_prefix(words("conversations"), words("benchmark"))
 
 
 @query("SELECT conv_id, turn, i - 1 AS nth, w AS surface FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, 'them|then|the|and|he|an')) AS w, generate_subscripts(regexp_extract_all(text, 'them|then|the|and|he|an'), 1) AS i FROM conversations)")
@@ -330,8 +356,6 @@ def chapter_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def view_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with each row of a damaged chapter view."""
-    from pyspark.sql import Window as W
-
     o = orders(spark, sf_dir)
     place = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     v = o.select(F.col("o_custkey").alias("doc_id"), (order_key() % 40).alias("chapter_id"), (place + F.when(order_key() % 9 == 0, 100).otherwise(0)).alias("ordinal"), order_key().alias("anchor_line"), (order_key() + F.when(order_key() % 7 == 0, 30).otherwise(1)).alias("start_line"), (order_key() + 20).alias("end_line"), F.lit(5000).alias("n_lines"))
@@ -341,8 +365,6 @@ def view_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) WHERE o_orderstatus = 'F' AND i BETWEEN 2 AND 5")
 def scoped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one chapter within a range of indices: filled orders are the chapter."""
-    from pyspark.sql import Window as W
-
     rows = orders(spark, sf_dir).select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "F", 7).otherwise(8).alias("chapter_id"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("paragraph_index"))
     return readers.lookup(readers.scope(rows, 7, 2, 5), chapter_id=7).select("o_custkey", "o_orderkey")
 
