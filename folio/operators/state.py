@@ -104,31 +104,23 @@ def state_summary(phase: Column, override: Column, embodiment: Column) -> Column
 
 
 def recover_speakers(rows: DataFrame, keys: list[str], order: str, back: int = 5) -> DataFrame:
-    """Speakers filled in: null ones take the last speaker of the key, recovered ones included, unless a row resets; else the most frequent mention of the last rows.
+    """keys, order, speaker and how: null speakers take the last speaker of the key, recovered ones included, unless a row resets; else the most frequent mention of the ``back`` rows before, the smallest of equals.
 
-    ``rows`` has speaker, reset (boolean) and mentions (array). Recovery feeds back, so it is a group map over the rows of a key.
+    ``rows`` has speaker, reset (boolean) and mentions (array); null resets are none, null and empty mentions count for nothing, and an
+    empty speaker stays but is nobody's last. What is recovered feeds back, yet between two resets only the first mention that fills a
+    gap before any speaker does, so windows state it: the last speaker given, else the first such mention. Positions of a key are distinct.
     """
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        last, seen, speakers, how = None, [], [], []
-        for speaker, reset, names in zip(part.speaker, part.reset, part.mentions, strict=True):
-            names = [] if names is None else list(names)
-            last = None if reset else last
-            got, why = _text(speaker), "GIVEN"
-            if got is None:
-                recent = [n for row in seen[-back:] for n in row]
-                got, why = (last, "LAST") if last else (max(sorted(set(recent)), key=recent.count), "MODE") if recent else (None, "NONE")
-            last = got or last
-            seen.append(names)
-            speakers.append(got)
-            how.append(why)
-        out = part[[*keys, order]].copy()
-        out["speaker"], out["how"] = speakers, how
-        return out
-
-    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, order])
-    return rows.groupBy(*keys).applyInPandas(walk, f"{fields}, speaker string, how string")
+    over = W.partitionBy(*keys).orderBy(order)
+    recent = F.flatten(F.collect_list(F.filter(F.coalesce("mentions", F.array().cast("array<string>")), lambda m: m != "")).over(over.rowsBetween(-back, -1)))
+    marked = rows.select(*keys, order, "speaker", recent.alias("__recent"), F.sum(F.coalesce(F.col("reset"), F.lit(False)).cast("int")).over(over.rowsBetween(W.unboundedPreceding, 0)).alias("__episode"))
+    counts = F.transform(F.array_distinct("__recent"), lambda m: F.struct((-F.size(F.filter("__recent", lambda x: x == m))).alias("n"), m.alias("m")))
+    marked = marked.withColumn("__mode", F.array_min(counts)["m"])
+    before = W.partitionBy(*keys, "__episode").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    given = F.last(F.nullif("speaker", F.lit("")), ignorenulls=True).over(before)
+    filled = F.first(F.when(F.col("speaker").isNull(), F.col("__mode")), ignorenulls=True).over(before)
+    marked = marked.withColumn("__last", F.coalesce(given, filled))
+    how = F.when(F.col("speaker").isNotNull(), "GIVEN").when(F.col("__last").isNotNull(), "LAST").when(F.col("__mode").isNotNull(), "MODE").otherwise("NONE")
+    return marked.select(*keys, order, F.coalesce("speaker", "__last", "__mode").alias("speaker"), how.alias("how"))
 
 
 def layered_resolver(rows: DataFrame, aliases: DataFrame, blacklist: list[str]) -> DataFrame:

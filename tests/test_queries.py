@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from folio.plans import base, datasets, records, samples, speech, storage, structure, tables  # noqa: F401
+from folio.plans import base, datasets, holdings, records, samples, speech, storage, structure, tables  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -47,6 +47,28 @@ def test_recovered_speakers(spark):
     assert [(r.speaker, r.how) for r in got] == [("a", "GIVEN"), ("a", "LAST"), ("b", "MODE"), ("b", "LAST"), ("c", "MODE")]
 
 
+def test_recovered_speakers_equal_a_plain_walk(spark):
+    """Gaps, resets, ties of mentions, empty and null values, in keys with one row and with many."""
+    rng = random.Random(11)
+    rows = [
+        (k, o, rng.choice([None, None, None, "a", "b", ""]), rng.choice([True, False, False, None]), rng.choice([None, [], ["x"], ["y", "x"], ["z", "z", "x"], ["", None, "y"]]))
+        for k in range(30) for o in range(rng.choice([1, 4, 25]))
+    ]
+    want = {}
+    for k in range(30):
+        last, seen = None, []
+        for _, o, speaker, reset, names in (r for r in rows if r[0] == k):
+            last = None if reset else last
+            recent = [n for m in seen[-5:] for n in m]
+            mode = max(sorted(set(recent)), key=recent.count) if recent else None
+            got, how = (speaker, "GIVEN") if speaker is not None else (last, "LAST") if last else (mode, "MODE") if mode else (None, "NONE")
+            last = got or last
+            seen.append([n for n in names or [] if n])
+            want[k, o] = got, how
+    got = state.recover_speakers(spark.createDataFrame(rows, "k int, o int, speaker string, reset boolean, mentions array<string>"), ["k"], "o")
+    assert {(r.k, r.o): (r.speaker, r.how) for r in got.collect()} == want
+
+
 def test_asof_and_stab_equal_plain(spark):
     rng = random.Random(5)
     facts = [(rng.randrange(3), rng.randrange(40), i) for i in range(40)]
