@@ -160,44 +160,47 @@ def mention_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.mention_lexicon(mentions.mention_rows(rows, ["role", "conv_id"], "turn", kinds=kinds), ["role"], "turn", "conv_id").drop("narrative")
 
 
-MENTION_CASES = [
-    ([], "x", "NONE"), (["a", "b", "c"], "x", "multi_person"), (["Tom"], "x", "foreign_name"), (["一二三四五六"], "x", "long_name"), (["王将军"], "x", "role_title"), (["家丁"], "x", "group"), (["灵"], "x", "nonhuman"), (["张三"], "我是张三", "first_appearance"), (["张三"], "张三走", "chinese_name"), (["张三", "李四"], "x", "chinese_name"),
-]
+MENTION_SQL = """WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '([A-Z][a-z]+),', 1)) AS n FROM documents), c AS (SELECT doc_id, CASE WHEN n = 0 THEN 'NONE' WHEN n >= 3 THEN 'multi_person' ELSE 'foreign_name' END AS kind FROM d)"""
 
 
 def mention_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = pick(order_key(), *(F.array(*map(F.lit, m)) if m else F.array().cast("array<string>") for m, _, _ in MENTION_CASES))
-    return orders(spark, sf_dir).select("o_orderkey", mentions.mention_class(held, pick(order_key(), *(t for _, t, _ in MENTION_CASES))).alias("kind"))
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", mentions.mention_class(F.regexp_extract_all(t, F.lit("([A-Z][a-z]+),"), F.lit(1)), t).alias("kind"))
 
 
-@query(f"SELECT o_orderkey, {told(MENTION_CASES)} AS kind FROM orders")
+@query(f"{MENTION_SQL} SELECT doc_id, kind FROM c")
 def mention_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document by its words with a capital before a comma; the classes of the default script have tests."""
     return mention_cases(spark, sf_dir)
 
 
-@query(f"WITH c AS (SELECT o_orderkey, {told(MENTION_CASES)} AS kind FROM orders) SELECT o_orderkey, kind FROM c QUALIFY row_number() OVER (PARTITION BY kind ORDER BY o_orderkey) <= 300 // 9")
+@query(f"{MENTION_SQL} SELECT doc_id, kind FROM c QUALIFY row_number() OVER (PARTITION BY kind ORDER BY doc_id) <= 300 // 9")
 def mention_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equally many samples of each of nine classes, 300 in all at most: the quota is the feature."""
-    return sampling.equal_quota(mention_cases(spark, sf_dir), "kind", 300, 9, F.col("o_orderkey"))
-
-
-STORE_SQL = "WITH o AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN ['雷老虎', '张三'] WHEN 1 THEN ['刘三刀'] ELSE [] END AS recent FROM orders)"
+    return sampling.equal_quota(mention_cases(spark, sf_dir), "kind", 300, 9, F.col("doc_id"))
 
 
 @query(
-    f"""{STORE_SQL}, s AS (SELECT k, 'CUE' AS source, '张三' AS surface, 0 AS p, 0 AS i FROM o WHERE k % 2 = 0 UNION ALL SELECT k, 'AI_MENTION', '刘三刀', 1, 0 FROM o WHERE k % 5 < 3 UNION ALL SELECT k, 'RECENT_MENTION', unnest(list_sort(recent)), 2, unnest(range(len(recent))) FROM o
-        UNION ALL SELECT k, 'SCENE_ACTIVE', '雷老虎', 3, 0 FROM o WHERE k % 7 = 0 UNION ALL SELECT k, 'NEW_MENTION', '新人', 4, 0 FROM o WHERE k % 5 > 1), f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY k, surface ORDER BY p, i) = 1)
-    SELECT k AS o_orderkey, row_number() OVER (PARTITION BY k ORDER BY p, i) - 1 AS nth, surface, source FROM f"""
+    r"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations), x AS (SELECT *, lag(t, 1, '') OVER w AS p1, lag(t, 2, '') OVER w AS p2, first_value(t) OVER w AS t0 FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    o AS (SELECT conv_id, turn, p1, p2, regexp_extract_all(t, '([A-Z][a-z]+),', 1) AS cues, regexp_extract_all(t, '[A-Z][a-z]+') AS said, regexp_extract_all(t0, '[A-Z][a-z]+') AS known FROM x),
+    h AS (SELECT *, list_filter(list_concat(regexp_split_to_array(p1, '[，。！？；：、\s“”"《》]'), regexp_split_to_array(p2, '[，。！？；：、\s“”"《》]')), lambda b: b <> '') AS blocks FROM o),
+    r AS (SELECT *, list_sort(list_distinct(list_transform(blocks, lambda b: CASE WHEN regexp_matches(b, '^[A-Z][a-z]{1,3}$') THEN CASE WHEN list_contains(known, b) THEN b END WHEN length(b) > 4 THEN list_filter([left(b, 4), left(b, 3), left(b, 2)], lambda y: regexp_matches(y, '^[A-Z][a-z]{1,3}$') AND list_contains(known, y))[1] END))) AS recent FROM h),
+    s AS (SELECT conv_id, turn, 'CUE' AS source, unnest(cues) AS surface, 0 AS p, unnest(range(len(cues))) AS i FROM r UNION ALL SELECT conv_id, turn, 'AI_MENTION', unnest(said), 1, unnest(range(len(said))) FROM r UNION ALL SELECT conv_id, turn, 'RECENT_MENTION', unnest(recent), 2, unnest(range(len(recent))) FROM r
+        UNION ALL SELECT conv_id, turn, 'SCENE_ACTIVE', regexp_extract(p1, '[A-Z][a-z]+'), 3, 0 FROM r UNION ALL SELECT conv_id, turn, 'NEW_MENTION', unnest(said), 4, unnest(range(len(said))) FROM r),
+    g AS (SELECT s.* FROM s JOIN r USING (conv_id, turn) WHERE surface <> '' AND CASE source WHEN 'AI_MENTION' THEN list_contains(known, surface) WHEN 'NEW_MENTION' THEN NOT list_contains(known, surface) ELSE true END),
+    f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY conv_id, turn, surface ORDER BY p, i) = 1)
+    SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY p, i) - 1 AS nth, surface, source FROM f"""
 )
 def candidate_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of five sources in order, each surface once; recent mentions come from the blocks of earlier texts."""
-    entities = F.array(*map(F.lit, ["张三", "刘三刀", "雷老虎"]))
-    texts = F.when(order_key() % 3 == 0, F.array(F.lit("雷老虎上前一步，又退"), F.lit("张三。路人"))).when(order_key() % 3 == 1, F.array(F.lit("刘三刀刀光一闪"))).otherwise(F.array().cast("array<string>"))
-    one = lambda cond, x: F.when(cond, F.array(F.lit(x))).otherwise(F.array().cast("array<string>"))
-    said = F.concat(one(order_key() % 5 < 3, "刘三刀"), one(order_key() % 5 > 1, "新人"))
-    store = mentions.candidate_store(one(order_key() % 2 == 0, "张三"), said, mentions.head_mentions(texts, entities), one(order_key() % 7 == 0, "雷老虎"), entities)
-    rows = orders(spark, sf_dir).select("o_orderkey", F.posexplode(store).alias("nth", "c"))
-    return rows.select("o_orderkey", F.col("nth").cast("long").alias("nth"), "c.surface", "c.source")
+    """Candidates of each turn from five sources in order, each word once; entities are the words with a capital of the conversation's first turn, recent mentions come from the blocks of the two turns before."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))
+    rows = rows.select("*", F.lag("t", 1, "").over(w).alias("p1"), F.lag("t", 2, "").over(w).alias("p2"), F.first("t").over(w).alias("t0"))
+    words = lambda c, p="([A-Z][a-z]+)": F.regexp_extract_all(c, F.lit(p), F.lit(1))
+    known = words("t0")
+    recent = mentions.head_mentions(F.array("p1", "p2"), known, "^[A-Z][a-z]{1,3}$")
+    store = mentions.candidate_store(words("t", "([A-Z][a-z]+),"), words("t"), recent, F.slice(words("p1"), 1, 1), known)
+    return rows.select("conv_id", "turn", F.posexplode(store).alias("nth", "c")).select("conv_id", "turn", F.col("nth").cast("long").alias("nth"), "c.surface", "c.source")
 
 
 BINDINGS = [
@@ -272,16 +275,20 @@ def unique_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.unique_lookup(o.select("o_orderkey", "o_custkey", "surface"), o.select("o_custkey", "surface", order_key().alias("candidate_id")), ["o_custkey"]).select("o_orderkey", "candidate_id")
 
 
-PAIRS = [("张三就是李四。", "t/-"), ("张三来了。李四就是王五", "f/-"), ("李四，人称张三", "t/-"), ("张三不是李四", "f/DENIED"), ("张三打李四", "f/FOUGHT"), ("没有", "f/-")]
+GAP = "[^。！？.!?]{0,12}"
+JOINED = lambda cues: f"(regexp_matches(t, a || '{GAP}(?:{cues}){GAP}' || b) OR regexp_matches(t, b || '{GAP}(?:{cues}){GAP}' || a))"
 
 
-@query(f"SELECT o_orderkey, {told(PAIRS)} AS evidence FROM orders")
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, text AS t, regexp_extract_all(text, '[A-Z][a-z]+') AS w FROM conversations), n AS (SELECT *, w[1] AS a, w[2] AS b FROM c WHERE len(w) >= 2)
+    SELECT conv_id, turn, {JOINED(' is | est | ist | es ')} AS same, CASE WHEN {JOINED(' not | pas ')} THEN 'DENIED' WHEN {JOINED('[.]|, ')} THEN 'APART' END AS other FROM n"""
+)
 def alias_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether one sentence says that two names are one, or two."""
-    a, b, text = F.lit("张三"), F.lit("李四"), pick(order_key(), *(t for t, _ in PAIRS))
-    same = names.alias_evidence(a, b, text, "就是|人称")
-    other = names.contradiction_evidence(a, b, text, [("DENIED", "不是"), ("FOUGHT", "打|杀")])
-    return orders(spark, sf_dir).select("o_orderkey", F.concat_ws("/", F.when(same, "t").otherwise("f"), F.coalesce(other, F.lit("-"))).alias("evidence"))
+    """Whether a sentence of a turn says that its first two words with a capital are one, or two."""
+    w = F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), F.lit(1))
+    rows = table(spark, sf_dir, "conversations").where(F.size(w) >= 2).select("conv_id", "turn", "text", F.get(w, F.lit(0)).alias("a"), F.get(w, F.lit(1)).alias("b"))
+    a, b, t = F.col("a"), F.col("b"), F.col("text")
+    return rows.select("conv_id", "turn", names.alias_evidence(a, b, t, " is | est | ist | es ").alias("same"), names.contradiction_evidence(a, b, t, [("DENIED", " not | pas "), ("APART", "[.]|, ")]).alias("other"))
 
 
 SPOKEN_SQL = """t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '张三' ELSE '李四' END AS n FROM conversations), p AS (SELECT *, CASE WHEN turn % 4 < 2 THEN n END AS named FROM t WHERE turn % 4 < 3),

@@ -66,3 +66,39 @@ def test_checks_of_answers_and_token_rates(spark):
     assert tuple(evaluation.judge_counters(rows, []).first()) == (4, 3, 1, 2, 2, 2, 1)
     timed = spark.createDataFrame([("m", 10, 4, 1.0), ("m", 20, 8, 2.0), ("z", 1, 1, 0.0)], "model string, tokens_in int, tokens_out int, seconds double")
     assert sorted(tuple(r) for r in evaluation.token_rates(timed, ["model"]).collect()) == [("m", 2, 10.0, 4.0, 15.0, 6.0), ("z", 1, None, None, 1.0, 1.0)]
+
+
+PAIRS = [("张三就是李四。", "t/-"), ("张三来了。李四就是王五", "f/-"), ("李四，人称张三", "t/-"), ("张三不是李四", "f/DENIED"), ("张三打李四", "f/FOUGHT"), ("没有", "f/-")]
+
+
+def test_sentences_that_say_that_two_names_are_one(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PAIRS)], "i int, t string")
+    a, b, text = F.lit("张三"), F.lit("李四"), F.col("t")
+    said = F.concat_ws("/", F.when(names.alias_evidence(a, b, text, "就是|人称"), "t").otherwise("f"), F.coalesce(names.contradiction_evidence(a, b, text, [("DENIED", "不是"), ("FOUGHT", "打|杀")]), F.lit("-")))
+    assert {r.i: r.s for r in rows.select("i", said.alias("s")).collect()} == {i: e for i, (_, e) in enumerate(PAIRS)}
+
+
+MENTION_CASES = [
+    ([], "x", "NONE"), (["a", "b", "c"], "x", "multi_person"), (["Tom"], "x", "foreign_name"), (["一二三四五六"], "x", "long_name"), (["王将军"], "x", "role_title"), (["家丁"], "x", "group"), (["灵"], "x", "nonhuman"), (["张三"], "我是张三", "first_appearance"), (["张三"], "张三走", "chinese_name"), (["张三", "李四"], "x", "chinese_name"),
+]
+
+
+def test_nine_classes_of_mentions(spark):
+    rows = spark.createDataFrame([(i, m, t) for i, (m, t, _) in enumerate(MENTION_CASES)], "i int, m array<string>, t string")
+    got = {r.i: r.kind for r in rows.select("i", mentions.mention_class(F.col("m"), F.col("t")).alias("kind")).collect()}
+    assert got == {i: kind for i, (_, _, kind) in enumerate(MENTION_CASES)}
+
+
+@pytest.mark.parametrize(
+    ("cues", "said", "texts", "scene", "want"),
+    [
+        (["张三"], ["刘三刀", "新人"], ["雷老虎上前一步，又退", "张三。路人"], ["雷老虎"], [("张三", "CUE"), ("刘三刀", "AI_MENTION"), ("雷老虎", "RECENT_MENTION"), ("新人", "NEW_MENTION")]),
+        ([], ["新人"], ["刘三刀刀光一闪"], ["雷老虎"], [("刘三刀", "RECENT_MENTION"), ("雷老虎", "SCENE_ACTIVE"), ("新人", "NEW_MENTION")]),
+        ([], [], [], [], []),
+    ],
+)
+def test_store_of_candidates(spark, cues, said, texts, scene, want):
+    rows = spark.createDataFrame([(cues, said, texts, scene)], "cues array<string>, said array<string>, texts array<string>, scene array<string>")
+    entities = F.array(*map(F.lit, ["张三", "刘三刀", "雷老虎"]))
+    store = mentions.candidate_store(F.col("cues"), F.col("said"), mentions.head_mentions(F.col("texts"), entities), F.col("scene"), entities)
+    assert [tuple(c) for c in rows.select(store.alias("s")).first().s] == want
