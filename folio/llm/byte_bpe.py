@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 from struct import pack
 
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import text_bytes
+from folio.llm.common import held, text_bytes
 
 CACHE = 800_000
 CACHED_BYTES = 64
@@ -150,10 +149,9 @@ class _Cache(dict):
         return ids
 
 
-@lru_cache(maxsize=4)
 def loaded(path: str, pattern: str) -> ByteBpe:
-    """One table for each worker process."""
-    return ByteBpe.from_file(path, pattern)
+    """One table for each worker process, until another operator's tasks run there."""
+    return held((ByteBpe, path, pattern), lambda: ByteBpe.from_file(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folio.checkpoints import checkpoint_dir, cut
 from folio.functions.text import free_name
 
-__all__ = ["ALNUM", "LOWER", "UPPER", "WORD", "WORD_BREAK", "ascii_lower", "checkpoint_dir", "cut", "drop_folder", "free_name", "let", "quoted", "release", "table", "text_bytes"]
+__all__ = ["ALNUM", "LOWER", "UPPER", "WORD", "WORD_BREAK", "ascii_lower", "checkpoint_dir", "cut", "drop_folder", "drop_held", "free_name", "held", "let", "quoted", "release", "table", "text_bytes"]
 
 #: Words are maximal runs without space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +55,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_HELD: dict[Hashable, object] = {}
+
+
+def held[T](key: Hashable, make: Callable[[], T]) -> T:
+    """The table of one operator, made once for each worker process.
+
+    Workers outlive their stages, so a process holds one table at a time: another key's goes before this one is made.
+    """
+    if key not in _HELD:
+        drop_held()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def drop_held() -> None:
+    """Frees the table that an earlier stage has left in this worker process; tasks that need memory and no table begin with it."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def text_bytes(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, rows: int = 512):
     """Yields (ids as an Arrow array, texts as a list of bytes) for a few hundred rows at a time; null texts are empty."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import ALNUM, cut, free_name, quoted, text_bytes
+from folio.llm.common import ALNUM, cut, free_name, held, quoted, text_bytes
 from folio.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW = 10
@@ -130,15 +130,9 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
     yield block
 
 
-_MATCHERS: dict[str, ItemMatcher] = {}
-
-
 def _matcher(key: str, items: list[tuple], window: int) -> ItemMatcher:
     """The automaton of one block, built once for each worker process; only the last one is kept."""
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = ItemMatcher(items, window)
-    return _MATCHERS[key]
+    return held((ItemMatcher, key), lambda: ItemMatcher(items, window))
 
 
 def _scan(docs: DataFrame, items: list[tuple], window: int, kind: T.DataType, item_kind: T.DataType) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, free_name, quoted, release
+from folio.llm.common import cut, drop_held, free_name, quoted, release
 from folio.llm.components import connected_components, contract, labels
 
 K = 5
@@ -121,6 +121,7 @@ ANSWER = "grp int, docs binary, own binary, keys binary, df binary, weights bina
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[int]]]:
     """Chunks of documents: their ids, their words' hashes one after another, and how many words each has."""
+    drop_held()
     get = _WordHashes().__getitem__
     ids, words, lengths = [], [], []
     for batch in batches:
@@ -216,6 +217,7 @@ def _answer(packed: DataFrame, groups: int, buckets: int, repeats: bool) -> Data
     """
 
     def run(table: pa.Table) -> pa.Table:
+        drop_held()
         grp = table.column("grp")[0].as_py()
         docs = [np.frombuffer(x, dtype="i8") for x in table.column("docs").to_pylist()]
         keys = [_unpacked(x) for x in table.column("keys").to_pylist()]
@@ -279,6 +281,7 @@ def _gather(answers: DataFrame, share: tuple[int, int]) -> DataFrame:
     need, of = share
 
     def run(table: pa.Table) -> pa.Table:
+        drop_held()
         cat = lambda c, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(c).to_pylist()])
         tables = zip(table.column("docs").to_pylist(), table.column("own").to_pylist(), strict=True)
         doc = np.concatenate([np.frombuffer(d, dtype="i8")[np.frombuffer(o, dtype="u4")] for d, o in tables])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import text_bytes
+from folio.llm.common import drop_held, text_bytes
 
 MAX_ROWS = 4_000
 STEPS, RATE, L2 = 400, 0.5, 1e-4
@@ -174,6 +174,7 @@ def keep_good(docs: DataFrame, model: PuModel | None, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
