@@ -8,8 +8,8 @@ each share. A linear model over shape features then minimises prior * R+(P) + ma
 logistic loss; where the second term turns negative, its gradient is reversed, so the model can't profit from fitting it.
 
 Features say how a whole text looks, not which document it is: the distribution of its bytes, how often words
-repeat, their length and the text's length. The model is fitted on the driver from ``MAX_ROWS`` positive and as many
-unlabelled texts at most, one for each id, chosen by a hash of their ids; that is all that comes to the driver.
+repeat, their length and the text's length. The model is fitted in one task from ``MAX_ROWS`` positive and as many
+unlabelled texts at most, one for each id, chosen by a hash of their ids; only its weights come to the driver.
 Scoring covers all rows.
 """
 
@@ -141,17 +141,26 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
     rows = given.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("raw").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             for (ids, texts), ys in zip(text_bytes([batch], "id", "raw", batch.num_rows), [batch.column("y")], strict=False):
                 yield pa.RecordBatch.from_arrays([ids, ys, pa.array([features(t).astype("f4") for t in texts], pa.list_(pa.float32()))], names=["id", "y", "x"])
 
-    got = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<float>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    y = got["y"].to_numpy()
-    if not (y == 1).any() or not (y == 0).any():
-        return None
-    x = np.stack(got["x"].to_numpy()).astype("f8")
-    positive, unlabelled = x[y == 1], x[y == 0]
-    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
+    def fitted(got: pa.Table) -> pa.Table:
+        drop_held()
+        got = got.sort_by([("id", "ascending"), ("y", "ascending")])
+        y = got["y"].to_numpy()
+        models = []
+        if (y == 1).any() and (y == 0).any():
+            x = np.stack(got["x"].to_numpy()).astype("f8")
+            positive, unlabelled = x[y == 1], x[y == 0]
+            models.append(fit(positive, unlabelled, estimate_prior(positive, unlabelled)))
+        vectors = [pa.array([getattr(m, c) for m in models], pa.list_(pa.float64())) for c in ("mean", "scale", "weights")]
+        return pa.table([*vectors, *(pa.array([getattr(m, c) for m in models], pa.float64()) for c in ("bias", "prior"))], names=["mean", "scale", "weights", "bias", "prior"])
+
+    of_texts = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<float>")
+    model = of_texts.groupBy().applyInArrow(fitted, "mean array<double>, scale array<double>, weights array<double>, bias double, prior double").first()
+    return model and PuModel(*(np.array(model[c]) for c in ("mean", "scale", "weights")), model.bias, model.prior)
 
 
 def score(docs: DataFrame, model: PuModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
