@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,37 +22,46 @@ def any_of(chars: str) -> str:
     return "[" + "".join("\\" + c if c in "\\]^-[" else c for c in chars) + "]"
 
 
-def profile(lines: DataFrame, keys: list[str], lex: Lexicon = LATIN) -> DataFrame:
-    """Counts, moments and ratios of the lines of each key. Two aggregates on the same keys share one shuffle of line rows."""
+def marks(lex: Lexicon) -> dict[str, Column]:
+    """What a profile counts of the lines that aren't blank."""
     opening, closing = lex.quotes[0]
     last = last_char(F.col("text"))
-    marked = lines.withColumn("bucket", F.floor(F.col("char_count") / BUCKET) * BUCKET)
-    live = ~F.col("is_blank")
-    # one row for each (key, length): everything below is a sum of these, so only they are shuffled again
-    by_length = marked.groupBy(*keys, "char_count", "bucket").agg(
-        F.count_if(live).alias("n"), F.count("*").alias("all"),
-        *(F.count_if(live & cond).alias(name) for name, cond in {
-            "full_indent": F.col("lead_full") >= 2, "space_indent": F.col("lead_space") >= 1, "tab_indent": F.col("lead_tab") >= 1, "terminal": one_of(last, lex.terminal), "colon_end": one_of(last, lex.colon),
-            "colon_any": F.col("text").rlike(any_of(lex.colon)), "quote_open": F.regexp_count("text", F.lit(any_of(opening))) > F.regexp_count("text", F.lit(any_of(closing))), "separator": F.trim("text").rlike(lex.separator),
-        }.items()),
-    )
-    hist = by_length.where("n > 0").groupBy(*keys, "bucket").agg(F.sum("n").alias("c"))
-    mode = hist.groupBy(*keys).agg(F.min(F.struct((-F.col("c")).alias("c"), "bucket")).alias("m")).select(*keys, F.col("m.bucket").alias("mode_len"))
-    w = W.partitionBy(*keys).orderBy("char_count").rowsBetween(W.unboundedPreceding, 0)
-    base = by_length.join(mode, keys, "left").withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(W.partitionBy(*keys)))
+    return {
+        "full_indent": F.col("lead_full") >= 2, "space_indent": F.col("lead_space") >= 1, "tab_indent": F.col("lead_tab") >= 1, "terminal": one_of(last, lex.terminal), "colon_end": one_of(last, lex.colon),
+        "colon_any": F.col("text").rlike(any_of(lex.colon)), "quote_open": F.regexp_count("text", F.lit(any_of(opening))) > F.regexp_count("text", F.lit(any_of(closing))), "separator": F.trim("text").rlike(lex.separator),
+    }
+
+
+def figures(base: DataFrame, keys: list[str], new_length: Column, *more: Column) -> DataFrame:
+    """Profiles from counts, of lines or by length, with each key's ``mode_len``; ``new_length`` holds once for each length.
+
+    A key whose lines are all blank has n = 0, and shares that are null.
+    """
+    w = W.partitionBy(*keys).orderBy("bucket", "char_count").rowsBetween(W.unboundedPreceding, 0)
+    base = base.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(W.partitionBy(*keys)))
     at = lambda k: F.min(F.when((F.col("n") > 0) & (F.col("upto") > k), F.col("char_count")))
     median = (at(F.floor((F.col("total") - 1) / 2)) + at(F.floor(F.col("total") / 2))) / 2
-    n = F.sum("n")
-    share = lambda c: F.sum(c) / F.sum("n")
+    n = F.nullif(F.sum("n"), F.lit(0))
+    share = lambda c: F.sum(c) / n
     mean = F.sum(F.col("n") * F.col("char_count")) / n
     square = F.sum(F.col("n") * F.col("char_count").cast("double") * F.col("char_count")) / n
-    out = base.groupBy(*keys).agg(
-        n.alias("n"), median.alias("median_len"), mean.alias("mean_len"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_len"), F.max("mode_len").alias("mode_len"),
+    return base.groupBy(*keys).agg(
+        F.sum("n").alias("n"), median.alias("median_len"), mean.alias("mean_len"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_len"), F.max("mode_len").alias("mode_len"),
         (F.sum(F.when(F.abs(F.col("char_count") - F.col("mode_len")) <= NEAR, F.col("n")).otherwise(0)) / n).alias("near_mode"), (F.sum(F.col("all") - F.col("n")) / F.sum("all")).alias("blank_ratio"),
         *(share(c).alias(c) for c in ("full_indent", "space_indent", "tab_indent", "terminal", "colon_end", "colon_any", "quote_open", "separator")),
-        (F.sum(F.when(F.col("char_count") <= SHORT, F.col("n")).otherwise(0)) / n).alias("very_short"), (F.sum(F.when(F.col("char_count") > LONG, F.col("n")).otherwise(0)) / n).alias("very_long"), F.count_if(F.col("n") > 0).alias("distinct_len"),
+        (F.sum(F.when(F.col("char_count") <= SHORT, F.col("n")).otherwise(0)) / n).alias("very_short"), (F.sum(F.when(F.col("char_count") > LONG, F.col("n")).otherwise(0)) / n).alias("very_long"), F.count_if(new_length).alias("distinct_len"), *more,
     )
-    return out.where("n > 0")
+
+
+def profile(lines: DataFrame, keys: list[str], lex: Lexicon = LATIN) -> DataFrame:
+    """Counts, moments and ratios of the lines of each key. Two aggregates on the same keys share one shuffle of line rows."""
+    live = ~F.col("is_blank")
+    marked = lines.withColumn("bucket", F.floor(F.col("char_count") / BUCKET) * BUCKET)
+    # one row for each (key, length): everything below is a sum of these, so only they are shuffled again
+    by_length = marked.groupBy(*keys, "char_count", "bucket").agg(F.count_if(live).alias("n"), F.count("*").alias("all"), *(F.count_if(live & cond).alias(name) for name, cond in marks(lex).items()))
+    hist = by_length.where("n > 0").groupBy(*keys, "bucket").agg(F.sum("n").alias("c"))
+    mode = hist.groupBy(*keys).agg(F.min(F.struct((-F.col("c")).alias("c"), "bucket")).alias("m")).select(*keys, F.col("m.bucket").alias("mode_len"))
+    return figures(by_length.join(mode, keys, "left"), keys, F.col("n") > 0).where("n > 0")
 
 
 def profile_simple(lines: DataFrame, keys: list[str], lex: Lexicon = LATIN) -> DataFrame:
@@ -146,26 +154,26 @@ def chapter_profiles(lines: DataFrame, starts: DataFrame, id_col: str = "doc_id"
 def layout_regions(lines: DataFrame, id_col: str = "doc_id", start: str = "start_line", window: int = 200, lex: Lexicon = LATIN) -> DataFrame:
     """Stretches of a chapter whose layout class differs from the whole chapter's.
 
-    Windows of ``window`` lines are profiled and classed as rows; only the (start, end, class) triples of a chapter,
-    one for each window, then go through a group map, because a region's start sticks until a window differs.
+    A region begins where the one before it ended and lasts until a window of ``window`` lines differs, whose class it
+    gets; the last window ends one too. Lines are read once and shuffled once, by chapter and without their texts. Each
+    counts for its window and for the chapter, which is window -1 and so the first row of the last window function.
     """
-    numbered = lines.withColumn("__first", F.min("line_no").over(W.partitionBy(id_col, start)))
-    numbered = numbered.withColumn("win", F.floor((F.col("line_no") - F.col("__first")) / window))
-    whole = classified(profile(numbered, [id_col, start], lex)).select(id_col, start, F.col("profile_type").alias("whole_type"))
-    each = classified(profile(numbered, [id_col, start, "win"], lex)).select(id_col, start, "win", "profile_type", "confidence")
-    ends = numbered.groupBy(id_col, start, "win").agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi"))
-    rows = ends.join(each, [id_col, start, "win"], "left").join(whole, [id_col, start], "left")
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("win")
-        out, begin = [], None
-        for x in part.itertuples(index=False):
-            begin = x.lo if begin is None else begin
-            last = x.hi == part.hi.iloc[-1]
-            if x.profile_type != x.whole_type and x.hi > x.lo or last:
-                out.append((getattr(x, id_col), getattr(x, start), begin, x.hi, x.profile_type, x.confidence))
-                begin = None
-        return pd.DataFrame(out, columns=[id_col, start, "from_line", "to_line", "profile_type", "confidence"])
-
-    kind = lines.schema
-    return rows.groupBy(id_col, start).applyInPandas(walk, f"{id_col} {kind[id_col].dataType.simpleString()}, {start} {kind[start].dataType.simpleString()}, from_line int, to_line int, profile_type string, confidence double")
+    chapter, keys, live = [id_col, start], [id_col, start, "win"], ~F.col("is_blank")
+    rows = lines.select(*chapter, "line_no", F.when(live, F.col("char_count")).alias("char_count"), *(F.when(live, cond).alias(name) for name, cond in marks(lex).items()))
+    rows = rows.withColumn("__first", F.min("line_no").over(W.partitionBy(*chapter)))
+    rows = rows.withColumn("win", F.explode(F.array(F.lit(-1).cast("long"), F.floor((F.col("line_no") - F.col("__first")) / window))))
+    rows = rows.withColumns({"bucket": F.floor(F.col("char_count") / BUCKET) * BUCKET, "n": F.col("char_count").isNotNull().cast("long"), "all": F.lit(1), **{name: F.col(name).cast("long") for name in marks(lex)}})
+    # all windows up to the profiles want the lines in the same order, by bucket and length
+    w = W.partitionBy(*keys, "bucket").orderBy("char_count")
+    rows = rows.withColumns({"c": F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)), "before": F.lag("char_count").over(w)})
+    # the last line of a bucket has its whole count
+    rows = rows.withColumn("mode_len", F.min(F.when(F.col("n") > 0, F.struct((-F.col("c")).alias("c"), "bucket"))).over(W.partitionBy(*keys))["bucket"])
+    each = figures(rows, keys, ~F.col("char_count").eqNullSafe(F.col("before")), F.min("line_no").alias("lo"), F.max("line_no").alias("hi"))
+    each = each.withColumn("profile_type", F.when(F.col("n") > 0, profile_class()))
+    each = each.select(*keys, "lo", "hi", "profile_type", F.when(F.col("n") > 0, profile_confidence()).alias("confidence"))
+    w = W.partitionBy(*chapter).orderBy("win")
+    each = each.withColumns({"whole_type": F.first("profile_type").over(w), "after": F.lead("lo").over(w)})
+    differs = ~F.col("profile_type").eqNullSafe(F.col("whole_type")) & (F.col("hi") > F.col("lo"))
+    each = each.withColumn("ends", (F.col("win") < 0) | F.col("after").isNull() | differs)
+    each = each.withColumn("from_line", F.last(F.when(F.col("ends"), F.col("after")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    return each.where("ends and win >= 0").select(*chapter, F.col("from_line").cast("int").alias("from_line"), F.col("hi").cast("int").alias("to_line"), "profile_type", "confidence")

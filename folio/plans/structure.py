@@ -90,7 +90,7 @@ def layout_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def layout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of five lines that differ from their document's layout; a region's start sticks, so there is no SQL."""
+    """Windows of five lines that differ from their document's layout; a region's start sticks. No SQL is registered."""
     rows = document_lines(spark, sf_dir).withColumn("start_line", F.lit(1))
     return layout.layout_regions(rows, window=5)
 

@@ -96,6 +96,51 @@ def test_cross_line_quotes(spark):
     assert got.quote_cross == pytest.approx(inside / 60)
 
 
+def plain_regions(spark, rows, window):
+    """Windows one after another, their classes by the plain profile."""
+    parts, keyed = {}, []
+    for r in rows.collect():
+        parts.setdefault((r.doc_id, r.start_line), []).append(r)
+    spans = {}
+    for chapter, part in parts.items():
+        first = min(r.line_no for r in part)
+        for r in part:
+            k = (r.line_no - first) // window
+            keyed += [(f"{chapter}{i}", *r) for i in (-1, k)]
+            spans.setdefault(chapter, {}).setdefault(k, []).append(r.line_no)
+    frame = spark.createDataFrame(keyed, "key string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+    kinds = {r.key: (r.profile_type, round(r.confidence, 9)) for r in layout.classified(layout.profile_simple(frame, ["key"])).collect()}
+    out = set()
+    for chapter, windows in spans.items():
+        whole, begin = kinds.get(f"{chapter}-1", (None, None)), None
+        for k in sorted(windows):
+            lo, hi, kind = min(windows[k]), max(windows[k]), kinds.get(f"{chapter}{k}", (None, None))
+            begin = lo if begin is None else begin
+            if kind[0] != whole[0] and hi > lo or k == max(windows):
+                out.add((*chapter, begin, hi, *kind))
+                begin = None
+    return out
+
+
+@pytest.mark.parametrize("window", [1, 3, 5, 200])
+def test_layout_regions(spark, window):
+    """Stretches of short, blank and ended lines, in chapters of which the first has no number."""
+    rng = random.Random(window)
+    stretch = lambda: rng.choice([lambda: "", lambda: "x" * rng.randint(1, 5), lambda: "y" * rng.randint(20, 60) + ".", lambda: "a:" + "z" * 9, lambda: "w" * 40])
+    texts = ["\n".join(f() for f in (stretch() for _ in range(12)) for _ in range(rng.randint(1, 9))) for _ in range(8)]
+    rows = lines.physical_lines(doc(spark, *texts, "\n\n\n", "x", ""), spans=False)
+    rows = rows.withColumn("start_line", F.when(F.col("line_no") > 7, F.floor(F.col("line_no") / 20) * 20).cast("int"))
+    got = layout.layout_regions(rows, window=window).collect()
+    want = plain_regions(spark, rows, window)
+    assert len(got) == len(want) and {(*tuple(r)[:-1], r.confidence and round(r.confidence, 9)) for r in got} == want
+
+
+def test_layout_regions_read_and_shuffle_lines_once(spark):
+    rows = lines.physical_lines(doc(spark, "a\nb\n"), spans=False).withColumn("start_line", F.col("line_no") * 0)
+    plan = layout.layout_regions(rows, window=5)._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("posexplode("), plan.count("Exchange "), plan.count("InPandas")) == (1, 1, 0)
+
+
 def test_poetry_and_runs(spark):
     text = "床前明月光\n疑是地上霜\n举头望明月\n\n张三：你好\n李四：再见\n1. 甲\n2. 乙\n张三 20:31\n收尾的一句话。"
     rows = lines.physical_lines(doc(spark, text), spans=False)
